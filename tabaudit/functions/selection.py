@@ -1,69 +1,64 @@
 """Exact order statistics of one column without ordering the table.
 
-A value is mapped to a 48-bit integer that grows with it (``_order_key``). Three rounds then fix that
-integer 16 bits at a time: each round counts rows per 16-bit digit among the rows that share the prefix
-found so far, and a running total over those at most 65,538 counts tells which digit holds the wanted rank.
-What is left after round three are the few distinct values with one key, which are ranked exactly.
+A value is mapped to a 40-bit integer that grows with it (``_order_key``). Two rounds then fix that
+integer 20 bits at a time: each round counts rows per 20-bit digit among the rows that share the prefix
+found so far, and a running total over those at most 2**20 + 2 counts tells which digit holds the wanted rank.
+What is left after the last round are the values with one key, a relative width of about 1e-9, which are
+ranked exactly.
 
 A round shuffles one short list of counts per task, never rows, so neither the number of distinct values
-nor a value that fills a third of the table matters. The price is four scans of one column. All rounds are one lazy
-plan: the prefix of a round is a scalar subquery of the next.
+nor a value that fills a third of the table matters. The price is three scans of one column. All rounds are one
+lazy plan: the prefix of a round is a scalar subquery of the next.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-DIGIT = 1 << 16
-ROUNDS = 3
-_CENTRE = 1 << 47  # keys of non-negative values start here
+BITS = 20
+DIGIT = 1 << BITS
+ROUNDS = 2
+_CENTRE = 1 << (BITS * ROUNDS - 1)  # keys of non-negative values start here
+_MAGNITUDES = 1024  # log2(1 + |x|) of a double stays below this
 
 
 def _order_key(col: Column) -> Column:
-    """A 48-bit integer that never decreases as the value grows.
-
-    ``log2(1 + |x|)`` spreads every magnitude of a double over 1024 units, at 37 bits of resolution each.
-    """
+    """A 40-bit integer that never decreases as the value grows."""
     x = col.cast("double")
-    magnitude = F.log2(F.lit(1.0) + F.abs(x)) * F.lit(float(1 << 37))
+    magnitude = F.log2(F.lit(1.0) + F.abs(x)) * F.lit(float(_CENTRE // _MAGNITUDES))
     magnitude = F.least(F.floor(F.least(magnitude, F.lit(float(_CENTRE - 1)))), F.lit(_CENTRE - 1))
     return F.when(x < 0, F.lit(_CENTRE - 1) - magnitude).otherwise(F.lit(_CENTRE) + magnitude)
 
 
 def _values(df: DataFrame, col: str) -> DataFrame:
-    rows = df.select(F.col(col).alias("v")).filter(F.col("v").isNotNull())
+    counted = F.col(col).isNotNull()
     if isinstance(df.schema[col].dataType, (T.FloatType, T.DoubleType)):
-        rows = rows.filter(~F.isnan("v"))
-    return rows.withColumn("k", _order_key(F.col("v")))
+        counted &= ~F.isnan(col)
+    return df.filter(counted).select(F.col(col).alias("v"), _order_key(F.col(col)).alias("k"))
+
 
+def _reached(rank: str) -> str:
+    return f"upto >= floor((total + {rank}) / 2)"
 
-def _running(counts: DataFrame, order: str) -> DataFrame:
+
+def _ranked(counts: str, order: str) -> str:
     """Running and grand totals over a short list; its length is bounded by the digit, not by the data."""
-    upto = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    everything = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    return counts.withColumn("upto", F.sum("n").over(upto)).withColumn("total", F.sum("n").over(everything))
-
-
-def _lower_middle_prefix(values: DataFrame) -> Column | None:
-    """The key of the lower middle value, as nested scalar subqueries."""
-    prefix: Column | None = None
-    for done in range(ROUNDS):
-        shift = 16 * (ROUNDS - 1 - done)
-        head = F.shiftright(F.col("k"), shift)
-        # Rows outside the prefix fall into one digit below (-1) or above (65536) the range.
-        digit = head if prefix is None else head - prefix * F.lit(DIGIT)
-        digit = F.greatest(F.lit(-1).cast("bigint"), F.least(digit, F.lit(DIGIT).cast("bigint")))
-        counts = (
-            values.select(digit.alias("digit"), head.alias("head"))
-            .groupBy("digit")
-            .agg(F.count("*").alias("n"), F.min("head").alias("head"))
-        )
-        ranked = _running(counts, "digit")
-        reached = F.col("upto") >= F.floor((F.col("total") + 1) / 2)
-        prefix = ranked.agg(F.min(F.when(reached, F.col("head"))).alias("head")).scalar()
-    return prefix
+    return f"""SELECT *, sum(n) OVER (ORDER BY {order} ROWS UNBOUNDED PRECEDING) AS upto,
+                      sum(n) OVER (ORDER BY {order} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS total
+               FROM ({counts})"""
+
+
+def _leading_digits(rounds: int) -> str:
+    """A query for the first digits of the lower middle key; each round nests the one before."""
+    head = digit = f"shiftright(k, {BITS * (ROUNDS - rounds)})"
+    if rounds > 1:
+        # Rows outside the prefix fall into one digit below or above the range.
+        digit = f"greatest(-1, least({head} - ({_leading_digits(rounds - 1)}) * {DIGIT}, {DIGIT}))"
+    counts = f"""SELECT digit, count(*) AS n, min(head) AS head
+                 FROM (SELECT {digit} AS digit, {head} AS head FROM {{keyed}}) GROUP BY digit"""
+    return f"SELECT min(CASE WHEN {_reached('1')} THEN head END) FROM ({_ranked(counts, 'digit')})"
 
 
 def middle_values(df: DataFrame, col: str) -> DataFrame:
@@ -71,17 +66,11 @@ def middle_values(df: DataFrame, col: str) -> DataFrame:
 
     NULL (and NaN) do not count; both are NULL when nothing is left.
     """
-    values = _values(df, col)
-    side = F.signum((F.col("k") - _lower_middle_prefix(values)).cast("double"))
     # Below and above the key collapse to one row each; only the values on the key stay apart.
-    pieces = (
-        values.withColumn("side", side)
-        .groupBy("side", F.when(F.col("side") == 0, F.col("v")).alias("on_key"))
-        .agg(F.count("*").alias("n"), F.min("v").alias("v"))
-    )
-    ranked = _running(pieces, "v")
-    at_lower = F.col("upto") >= F.floor((F.col("total") + 1) / 2)
-    at_upper = F.col("upto") >= F.floor((F.col("total") + 2) / 2)
-    return ranked.agg(
-        F.min(F.when(at_lower, F.col("v"))).alias("lower"), F.min(F.when(at_upper, F.col("v"))).alias("upper")
-    )
+    pieces = f"""SELECT side, CASE WHEN side = 0 THEN v END AS on_key, count(*) AS n, min(v) AS v
+                 FROM (SELECT v, sign(k - ({_leading_digits(ROUNDS)})) AS side FROM {{keyed}})
+                 GROUP BY side, CASE WHEN side = 0 THEN v END"""
+    statement = f"""SELECT min(CASE WHEN {_reached("1")} THEN v END) AS lower,
+                           min(CASE WHEN {_reached("2")} THEN v END) AS upper
+                    FROM ({_ranked(pieces, "v")})"""
+    return df.sparkSession.sql(statement, keyed=_values(df, col))

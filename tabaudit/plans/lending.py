@@ -199,18 +199,21 @@ def impute(df: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
 def transform(df: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
     """Ages, tenure, labels, ratios, tiers. One projection."""
     not_employed = F.col("days_employed") == s.not_employed_days
-    df = derive.days_to_years(df, "days_birth", "age_years")
-    df = derive.days_to_years(df, "days_employed", "employment_tenure_years", null_when=not_employed)
-    df = fix.value_flag(df, "days_employed", s.not_employed_days, "is_unemployed_or_pensioner")
-    df = fix.narrow_type(df, "cnt_fam_members", "tinyint")
-    df = derive.code_to_label(
-        df, "region_rating_client", dict(s.region_labels), s.region_default, "region_risk_label"
-    )
     no_ltv = (F.col("name_contract_type") == s.revolving) | F.col("amt_goods_price").isNull()
-    df = derive.guarded_ratio(df, "amt_credit", "amt_goods_price", "ltv_ratio", null_when=no_ltv)
-    df = derive.guarded_ratio(df, "amt_annuity", "amt_income_total", "dti_ratio")
-    df = derive.band(df, "amt_income_total", s.income_edges, s.income_labels, "income_tier")
-    return derive.band(df, "age_years", s.age_edges, s.age_labels, "age_band")
+    region = C.code_to_label("region_rating_client", dict(s.region_labels), s.region_default)
+    measured = df.withColumns(
+        {
+            "age_years": C.days_to_years("days_birth"),
+            "employment_tenure_years": C.days_to_years("days_employed", null_when=not_employed),
+            "is_unemployed_or_pensioner": C.value_flag("days_employed", s.not_employed_days),
+            "cnt_fam_members": F.col("cnt_fam_members").try_cast("tinyint"),
+            "region_risk_label": region,
+            "ltv_ratio": C.guarded_ratio("amt_credit", "amt_goods_price", null_when=no_ltv),
+            "dti_ratio": C.guarded_ratio("amt_annuity", "amt_income_total"),
+            "income_tier": C.band("amt_income_total", s.income_edges, s.income_labels),
+        }
+    )
+    return derive.band(measured, "age_years", s.age_edges, s.age_labels, "age_band")
 
 
 def clean(df: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
