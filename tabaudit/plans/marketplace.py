@@ -333,6 +333,17 @@ def variance_profile(t: Tables, rounded: bool = True) -> DataFrame:
     return profile.numeric_profile(t.orders, {"delivery_days_variance": 1 if rounded else None})
 
 
+def late_orders(t: Tables, rounded: bool = True) -> DataFrame:
+    """How many orders were late, by how many days on average, and at most."""
+    days = "delivery_days_variance"
+    metrics = {
+        "late_orders": F.count("*"),
+        "avg_days_late": segment.mean_expr(days, 1 if rounded else None),
+        "max_days_late": F.max(days),
+    }
+    return segment.profile_metrics(t.orders, [F.col("is_late_delivery") == 1], metrics)
+
+
 def freight_profile(t: Tables, rounded: bool = True) -> DataFrame:
     return profile.numeric_profile(t.order_items, {"freight_ratio": 4 if rounded else None})
 
