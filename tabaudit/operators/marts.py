@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabaudit.functions.columns import mean
+from tabaudit.operators import skew
 from tabaudit.operators.star import ROWS, fold
 
 
@@ -67,21 +68,23 @@ def bridged_summary(
     ``<block>_<measure>_sum``, ``_count`` and ``_mean``; measures of the bridge itself come without a prefix.
 
     The bridge is folded to one row per ``(via, entity)``, each block to one row per ``via``; the
-    blocks then join on the same partitioning, and one aggregate per entity ends it. That is one scan of the bridge
-    instead of one per block, the distinct count is a plain count, and neither a hot entity nor a hot ``via``
-    key gathers raw rows.
+    blocks then join on the same partitioning, and one aggregate per entity ends it. Next to one scan per block
+    that shuffles the bridge twice instead of once per block, and the distinct count is a plain count. A hot
+    entity combines on the map side; the entities of a hot ``via`` key are spread with salts.
 
     ``fan_out=True`` repeats a block's row for every bridge row, as the plain join does: an order
     paid once with three items of one seller counts three times in that seller's revenue. ``False`` counts it
     once per entity.
     """
-    state = fold(bridge, [via, entity], measures)
+    hot = skew.hot_buckets(bridge, via)
+    state = skew.spread(fold(bridge, [via, entity], measures), via, [entity], hot)
     for name, block in blocks.items():
         rows = block.df if block.where is None else block.df.filter(block.where)
-        right = fold(rows, [block.via], block.measures)
+        right = fold(skew.repeat(rows, block.via, hot), [block.via, skew.SALT], block.measures)
         renamed = {c: f"_{name}_{c}" for c in right.columns}
         right = right.select(*[F.col(c).alias(new) for c, new in renamed.items()])
-        state = state.join(right, F.col(via) == F.col(renamed[block.via]), "left")
+        match = F.col(via) == F.col(renamed[block.via])
+        state = state.join(right, match & (F.col(skew.SALT) == F.col(renamed[skew.SALT])), "left")
 
     weight = F.col(ROWS) if fan_out else F.lit(1).cast("bigint")
     aggs = []

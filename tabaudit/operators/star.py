@@ -1,17 +1,26 @@
 """Aggregates over a join of facts, without carrying the joined rows.
 
 Joining items to orders, payments and reviews and then averaging means shipping every row through every
-join, once per partner. A hot key (one order, seller or product with a third of all rows) then fills one
-task, and two hot sides multiply. Here each side is **folded** to one row per join key first: a row count,
-plus sum and non-NULL count of each measure. Folding combines on the map side, so a hot key is one row
-per task. A join of folded sides is a product of counts and sums, and counts, sums and means of the full join
-follow exactly:
+join, once per partner, and two hot sides multiply. Here a side can be **folded** to one row per join key: a row
+count, plus sum and non-NULL count of each measure. Folding combines on the map side, so a hot key is one
+row per task. A join of folded sides is a product of counts and sums, and counts, sums and means of the full
+join follow exactly:
 
     rows   = n_left * n_right
     sum(x) = sum_x * n_other          for x on either side
     cnt(x) = cnt_x * n_other
 
 Fan-out (several payments or reviews per order) is therefore kept exactly as the plain join would have it.
+
+When is it worth a shuffle? ``star_fold`` folds
+
+* both sides of a key on which some link can fan out: nothing may multiply row by row. Rows of a hot key
+  that differ in their other keys are spread with salts (see ``skew``);
+* the running state when at most one key is left to join: it shrinks to the size of that dimension, and if
+  it has no group columns yet, the fold and the join share one exchange.
+
+With several keys left and unique partners, folding would move all rows for little, so the rows join as they
+are. Both inputs of that join are plain shuffles, which is the case AQE splits when a key is hot.
 Small dimensions are broadcast by Catalyst or AQE from their measured size; no hint is forced.
 """
 
@@ -24,6 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabaudit.functions.columns import mean, percent
+from tabaudit.operators import skew
 
 ROWS = "_rows"
 
@@ -78,6 +88,10 @@ def _refold(df: DataFrame, keys: Sequence[str], measures: Sequence[str]) -> Data
     return df.groupBy(*keys).agg(*aggs)
 
 
+def _folded_columns(measures: Sequence[str]) -> list[str]:
+    return [ROWS, *[x for m in measures for x in (_sum(m), _cnt(m))]]
+
+
 def _unique_order(names: Sequence[str]) -> list[str]:
     return list(dict.fromkeys(names))
 
@@ -116,34 +130,57 @@ def star_fold(
     def measures_of(i: int) -> list[str]:
         return [m for m in measures if measure_owner[m] == i]
 
-    state = fold(frames[0], labels_of(0), measures_of(0))
+    if not links:
+        return fold(frames[0], list(by), measures_of(0))
+    fans_out = {link.left for link in links if not link.unique}
+
+    def keys_before(j: int, columns: Sequence[str]) -> list[str]:
+        """Group columns and pending join keys that the state has before link ``j``."""
+        pending = [links[k].left for k in range(j, len(links)) if left_owner[k] <= j]
+        return _unique_order([c for c in [*by, *pending] if c in columns])
+
+    def pays(j: int) -> bool:
+        pending = {links[k].left for k in range(j, len(links)) if left_owner[k] <= j}
+        return len(pending) <= 1 or links[j].left in fans_out
+
     have = measures_of(0)
+    start = keys_before(0, frames[0].columns)
+    state = (fold if pays(0) else _as_folded)(frames[0], start, have)
+    hot: Column | None = None
     for j, link in enumerate(links):
         i = j + 1
+        if j == 0 or links[j - 1].left != link.left:
+            # A new key: drop what only the last one needed, then see whether the new one must be spread.
+            if j > 0:
+                keys = keys_before(j, state.columns)
+                state = _refold(state, keys, have) if pays(j) else state.select(*keys, *_folded_columns(have))
+            others = [c for c in keys_before(j, state.columns) if c != link.left]
+            hot = None
+            if link.left in fans_out and left_owner[j] == 0 and others:
+                hot = skew.hot_buckets(frames[0], link.left)
+                state = skew.spread(state, link.left, others, hot)
+
         kept = labels_of(i)
-        right_keys = _unique_order([link.key, *kept])
-        make = _as_folded if link.unique else fold
-        right = make(frames[i], right_keys, measures_of(i))
+        right = frames[i] if hot is None else skew.repeat(frames[i], link.key, hot)
+        right_keys = _unique_order([link.key, *kept, *([] if hot is None else [skew.SALT])])
+        right = (_as_folded if link.unique else fold)(right, right_keys, measures_of(i))
         renamed = {c: f"_r{i}_{c}" for c in right.columns}
         right = right.select(*[F.col(c).alias(new) for c, new in renamed.items()])
 
-        joined = state.join(right, F.col(link.left) == F.col(renamed[link.key]))
+        match = F.col(link.left) == F.col(renamed[link.key])
+        if hot is not None:
+            match &= F.col(skew.SALT) == F.col(renamed[skew.SALT])
         left_rows, right_rows = F.col(ROWS), F.col(renamed[ROWS])
-        columns = [F.col(c) for c in state.columns if not c.startswith(("_rows", "_sum_", "_cnt_"))]
+        columns = [F.col(c) for c in state.columns if c not in _folded_columns(have)]
         columns += [F.col(renamed[c]).alias(c) for c in kept if c not in state.columns]
         columns.append((left_rows * right_rows).alias(ROWS))
         for m in have:
             columns += [(F.col(x) * right_rows).alias(x) for x in (_sum(m), _cnt(m))]
         for m in measures_of(i):
             columns += [(F.col(renamed[x]) * left_rows).alias(x) for x in (_sum(m), _cnt(m))]
-        state = joined.select(*columns)
         have = have + measures_of(i)
-
-        pending = [links[k].left for k in range(j + 1, len(links)) if left_owner[k] <= i]
-        present = set(state.columns)
-        keys = _unique_order([c for c in [*by, *pending] if c in present])
-        state = _refold(state, keys, have)
-    return state if links else _refold(state, list(by), have)
+        state = state.join(right, match).select(*columns)
+    return _refold(state, list(by), have)
 
 
 def rows_of() -> Column:
