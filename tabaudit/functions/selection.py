@@ -13,8 +13,7 @@ lazy plan: the prefix of a round is a scalar subquery of the next.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 BITS = 20
@@ -24,19 +23,20 @@ _CENTRE = 1 << (BITS * ROUNDS - 1)  # keys of non-negative values start here
 _MAGNITUDES = 1024  # log2(1 + |x|) of a double stays below this
 
 
-def _order_key(col: Column) -> Column:
+def _order_key(col: str) -> str:
     """A 40-bit integer that never decreases as the value grows."""
-    x = col.cast("double")
-    magnitude = F.log2(F.lit(1.0) + F.abs(x)) * F.lit(float(_CENTRE // _MAGNITUDES))
-    magnitude = F.least(F.floor(F.least(magnitude, F.lit(float(_CENTRE - 1)))), F.lit(_CENTRE - 1))
-    return F.when(x < 0, F.lit(_CENTRE - 1) - magnitude).otherwise(F.lit(_CENTRE) + magnitude)
+    x = f"CAST({col} AS DOUBLE)"
+    magnitude = f"log2(1D + abs({x})) * {_CENTRE // _MAGNITUDES}D"
+    magnitude = f"least(floor(least({magnitude}, {_CENTRE - 1}D)), {_CENTRE - 1}L)"
+    return f"CASE WHEN {x} < 0 THEN {_CENTRE - 1}L - {magnitude} ELSE {_CENTRE}L + {magnitude} END"
 
 
 def _values(df: DataFrame, col: str) -> DataFrame:
-    counted = F.col(col).isNotNull()
+    name = f"`{col}`"
+    counted = f"{name} IS NOT NULL"
     if isinstance(df.schema[col].dataType, (T.FloatType, T.DoubleType)):
-        counted &= ~F.isnan(col)
-    return df.filter(counted).select(F.col(col).alias("v"), _order_key(F.col(col)).alias("k"))
+        counted += f" AND NOT isnan({name})"
+    return df.filter(counted).selectExpr(f"{name} AS v", f"{_order_key(name)} AS k")
 
 
 def _reached(rank: str) -> str:

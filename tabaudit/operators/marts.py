@@ -8,9 +8,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabaudit.functions.columns import mean
 from tabaudit.operators import skew
-from tabaudit.operators.star import ROWS, fold
+from tabaudit.operators.star import ROWS, folded_columns, fold
 
 
 def rollup_to_parent(
@@ -80,31 +79,30 @@ def bridged_summary(
     state = skew.spread(fold(bridge, [via, entity], measures), via, [entity], hot)
     for name, block in blocks.items():
         rows = block.df if block.where is None else block.df.filter(block.where)
-        right = fold(skew.repeat(rows, block.via, hot), [block.via, skew.SALT], block.measures)
-        renamed = {c: f"_{name}_{c}" for c in right.columns}
-        right = right.select(*[F.col(c).alias(new) for c, new in renamed.items()])
-        match = F.col(via) == F.col(renamed[block.via])
-        state = state.join(right, match & (F.col(skew.SALT) == F.col(renamed[skew.SALT])), "left")
-
-    weight = F.col(ROWS) if fan_out else F.lit(1).cast("bigint")
-    aggs = []
+        keys = [block.via, skew.SALT]
+        right = fold(skew.repeat(rows, block.via, hot), keys, block.measures)
+        columns = [*keys, *folded_columns(block.measures)]
+        right = right.selectExpr(*[f"`{c}` AS `_{name}_{c}`" for c in columns])
+        match = f"`{via}` = `_{name}_{block.via}` AND `{skew.SALT}` = `_{name}_{skew.SALT}`"
+        state = state.join(right, F.expr(match), "left")
+
+    weight = f"`{ROWS}`" if fan_out else "1L"
+    aggs = {}
     for m in measures:
-        aggs += [F.sum(f"_sum_{m}").alias(f"{m}_sum"), F.sum(f"_cnt_{m}").alias(f"{m}_count")]
+        aggs |= {f"{m}_sum": f"sum(`_sum_{m}`)", f"{m}_count": f"sum(`_cnt_{m}`)"}
     for name, block in blocks.items():
-        aggs.append(F.count(f"_{name}_{ROWS}").alias(f"{name}_keys"))
+        aggs[f"{name}_keys"] = f"count(`_{name}_{ROWS}`)"
         for m in block.measures:
-            total = weight * F.col(f"_{name}__sum_{m}")
-            count = weight * F.col(f"_{name}__cnt_{m}")
-            aggs += [F.sum(total).alias(f"{name}_{m}_sum"), F.sum(count).alias(f"{name}_{m}_count")]
-    out = state.groupBy(entity).agg(*aggs)
+            aggs[f"{name}_{m}_sum"] = f"sum({weight} * `_{name}__sum_{m}`)"
+            aggs[f"{name}_{m}_count"] = f"sum({weight} * `_{name}__cnt_{m}`)"
+    out = state.groupBy(entity).agg(*[F.expr(f"{sql} AS `{name}`") for name, sql in aggs.items()])
     for name, block in blocks.items():
         if block.required:
-            out = out.filter(F.col(f"{name}_keys") > 0)
-
-    kept = list(measures)
-    kept += [f"{name}_{m}" for name, block in blocks.items() for m in block.measures]
-    columns = [entity, *[f"{name}_keys" for name in blocks]]
-    for m in kept:
-        total, count = F.col(f"{m}_sum"), F.col(f"{m}_count")
-        columns += [total, count, mean(total, count, None).alias(f"{m}_mean")]
-    return out.select(*columns)
+            out = out.filter(f"`{name}_keys` > 0")
+
+    averaged = [*measures, *[f"{name}_{m}" for name, block in blocks.items() for m in block.measures]]
+    columns = [f"`{c}`" for c in (entity, *[f"{name}_keys" for name in blocks])]
+    for m in averaged:
+        average = f"try_divide(CAST(`{m}_sum` AS DOUBLE), CAST(`{m}_count` AS DOUBLE))"
+        columns += [f"`{m}_sum`", f"`{m}_count`", f"{average} AS `{m}_mean`"]
+    return out.selectExpr(*columns)

@@ -23,29 +23,23 @@ MIN_ROWS = 5_000_000  # a bucket below this fits a task anyway
 SALT = "_salt"
 
 
-def _bucket(key: str) -> Column:
+def _bucket(key: str) -> str:
     # As text, so that an int and a bigint that are equal share a bucket.
-    return F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(BUCKETS)).cast("int")
+    return f"CAST(pmod(xxhash64(CAST(`{key}` AS STRING)), {BUCKETS}) AS INT)"
 
 
 def hot_buckets(df: DataFrame, key: str, min_rows: int | None = None) -> Column:
     """Number of salts per hot bucket of ``key``, as a scalar map. One scan of one column."""
     floor = MIN_ROWS if min_rows is None else min_rows
-    counts = df.select(_bucket(key).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n"))
-    summary = counts.agg(F.sum("n").alias("total"), F.collect_list(F.struct("bucket", "n")).alias("counts"))
-
-    def is_hot(e: Column) -> Column:
-        return (e["n"] > floor) & (e["n"] * SHARE > F.col("total"))
-
-    def with_salts(e: Column) -> Column:
-        return F.struct(e["bucket"], F.ceil(e["n"] * SHARE / F.col("total")).cast("int"))
-
-    entries = F.transform(F.filter("counts", is_hot), with_salts)
-    return summary.select(F.map_from_entries(entries).alias("hot")).scalar()
+    counts = df.selectExpr(f"{_bucket(key)} AS bucket").groupBy("bucket").agg(F.expr("count(*) AS n"))
+    summary = counts.agg(F.expr("sum(n) AS total"), F.expr("collect_list(struct(bucket, n)) AS counts"))
+    hot = f"filter(counts, e -> e.n > {floor} AND e.n * {SHARE} > total)"
+    salted = f"transform({hot}, e -> struct(e.bucket, CAST(ceil(e.n * {SHARE} / total) AS INT)))"
+    return summary.selectExpr(f"map_from_entries({salted}) AS hot").scalar()
 
 
 def _salts(hot: Column, key: str) -> Column:
-    return F.coalesce(F.try_element_at(hot, _bucket(key)), F.lit(1))
+    return F.coalesce(F.try_element_at(hot, F.expr(_bucket(key))), F.lit(1))
 
 
 def spread(df: DataFrame, key: str, by: Sequence[str], hot: Column) -> DataFrame:

@@ -65,30 +65,39 @@ def _cnt(m: str) -> str:
     return f"_cnt_{m}"
 
 
+def _named(sql: str, name: str) -> str:
+    return f"{sql} AS `{name}`"
+
+
+def _group(df: DataFrame, keys: Sequence[str], aggs: Mapping[str, str]) -> DataFrame:
+    return df.groupBy(*keys).agg(*[F.expr(_named(sql, name)) for name, sql in aggs.items()])
+
+
+def _project(df: DataFrame, columns: Mapping[str, str]) -> DataFrame:
+    return df.selectExpr(*[_named(sql, name) for name, sql in columns.items()])
+
+
 def fold(df: DataFrame, keys: Sequence[str], measures: Sequence[str] = ()) -> DataFrame:
     """Raw rows to one row per key: row count, and sum and non-NULL count of every measure."""
-    aggs = [F.count("*").alias(ROWS)]
+    aggs = {ROWS: "count(*)"}
     for m in measures:
-        aggs += [F.sum(m).alias(_sum(m)), F.count(m).alias(_cnt(m))]
-    return df.groupBy(*keys).agg(*aggs)
+        aggs |= {_sum(m): f"sum(`{m}`)", _cnt(m): f"count(`{m}`)"}
+    return _group(df, keys, aggs)
 
 
 def _as_folded(df: DataFrame, keys: Sequence[str], measures: Sequence[str]) -> DataFrame:
     """The folded form of a table whose key is unique: a projection, no shuffle."""
-    extra = []
+    columns = {k: f"`{k}`" for k in keys} | {ROWS: "1L"}
     for m in measures:
-        extra += [F.col(m).alias(_sum(m)), F.col(m).isNotNull().cast("bigint").alias(_cnt(m))]
-    return df.select(*keys, F.lit(1).cast("bigint").alias(ROWS), *extra)
+        columns |= {_sum(m): f"`{m}`", _cnt(m): f"CAST(`{m}` IS NOT NULL AS BIGINT)"}
+    return _project(df, columns)
 
 
 def _refold(df: DataFrame, keys: Sequence[str], measures: Sequence[str]) -> DataFrame:
-    aggs = [F.sum(ROWS).alias(ROWS)]
-    for m in measures:
-        aggs += [F.sum(_sum(m)).alias(_sum(m)), F.sum(_cnt(m)).alias(_cnt(m))]
-    return df.groupBy(*keys).agg(*aggs)
+    return _group(df, keys, {c: f"sum(`{c}`)" for c in folded_columns(measures)})
 
 
-def _folded_columns(measures: Sequence[str]) -> list[str]:
+def folded_columns(measures: Sequence[str]) -> list[str]:
     return [ROWS, *[x for m in measures for x in (_sum(m), _cnt(m))]]
 
 
@@ -121,6 +130,10 @@ def star_fold(
     by_owner = {c: owner(c) for c in by}
     measure_owner = {m: owner(m) for m in measures}
     left_owner = [owner(link.left) for link in links]
+    for j, link in enumerate(links):
+        if left_owner[j] > j:
+            raise ValueError(f"{link.left!r} comes from a table that is linked later")
+    fans_out = {link.left for link in links if not link.unique}
 
     def labels_of(i: int) -> list[str]:
         """What later steps need from table i besides measures: group columns and keys of later links."""
@@ -130,56 +143,56 @@ def star_fold(
     def measures_of(i: int) -> list[str]:
         return [m for m in measures if measure_owner[m] == i]
 
-    if not links:
-        return fold(frames[0], list(by), measures_of(0))
-    fans_out = {link.left for link in links if not link.unique}
-
-    def keys_before(j: int, columns: Sequence[str]) -> list[str]:
-        """Group columns and pending join keys that the state has before link ``j``."""
-        pending = [links[k].left for k in range(j, len(links)) if left_owner[k] <= j]
-        return _unique_order([c for c in [*by, *pending] if c in columns])
+    def pending(j: int) -> list[str]:
+        """Join keys that the state holds for link ``j`` and later ones."""
+        return _unique_order([links[k].left for k in range(j, len(links)) if left_owner[k] <= j])
 
     def pays(j: int) -> bool:
-        pending = {links[k].left for k in range(j, len(links)) if left_owner[k] <= j}
-        return len(pending) <= 1 or links[j].left in fans_out
+        return len(pending(j)) <= 1 or links[j].left in fans_out
 
     have = measures_of(0)
-    start = keys_before(0, frames[0].columns)
-    state = (fold if pays(0) else _as_folded)(frames[0], start, have)
+    if not links:
+        return fold(frames[0], list(by), have)
+
+    labels = [c for c in by if by_owner[c] == 0]  # group columns in the state so far
+    keys = _unique_order([*labels, *pending(0)])
+    state = (fold if pays(0) else _as_folded)(frames[0], keys, have)
     hot: Column | None = None
     for j, link in enumerate(links):
         i = j + 1
         if j == 0 or links[j - 1].left != link.left:
             # A new key: drop what only the last one needed, then see whether the new one must be spread.
+            keys = _unique_order([*labels, *pending(j)])
             if j > 0:
-                keys = keys_before(j, state.columns)
-                state = _refold(state, keys, have) if pays(j) else state.select(*keys, *_folded_columns(have))
-            others = [c for c in keys_before(j, state.columns) if c != link.left]
+                kept = [*keys, *folded_columns(have)]
+                state = _refold(state, keys, have) if pays(j) else state.select(*kept)
+            others = [c for c in keys if c != link.left]
             hot = None
             if link.left in fans_out and left_owner[j] == 0 and others:
                 hot = skew.hot_buckets(frames[0], link.left)
                 state = skew.spread(state, link.left, others, hot)
+                keys = [*keys, skew.SALT]
 
-        kept = labels_of(i)
+        brought = [c for c in labels_of(i) if c not in keys]
         right = frames[i] if hot is None else skew.repeat(frames[i], link.key, hot)
-        right_keys = _unique_order([link.key, *kept, *([] if hot is None else [skew.SALT])])
+        right_keys = _unique_order([link.key, *brought, *([] if hot is None else [skew.SALT])])
         right = (_as_folded if link.unique else fold)(right, right_keys, measures_of(i))
-        renamed = {c: f"_r{i}_{c}" for c in right.columns}
-        right = right.select(*[F.col(c).alias(new) for c, new in renamed.items()])
+        right_columns = [*right_keys, *folded_columns(measures_of(i))]
+        right = _project(right, {f"_r_{c}": f"`{c}`" for c in right_columns})
 
-        match = F.col(link.left) == F.col(renamed[link.key])
+        match = f"`{link.left}` = `_r_{link.key}`"
         if hot is not None:
-            match &= F.col(skew.SALT) == F.col(renamed[skew.SALT])
-        left_rows, right_rows = F.col(ROWS), F.col(renamed[ROWS])
-        columns = [F.col(c) for c in state.columns if c not in _folded_columns(have)]
-        columns += [F.col(renamed[c]).alias(c) for c in kept if c not in state.columns]
-        columns.append((left_rows * right_rows).alias(ROWS))
+            match += f" AND `{skew.SALT}` = `_r_{skew.SALT}`"
+        columns = {c: f"`{c}`" for c in keys} | {c: f"`_r_{c}`" for c in brought}
+        columns[ROWS] = f"`{ROWS}` * `_r_{ROWS}`"
         for m in have:
-            columns += [(F.col(x) * right_rows).alias(x) for x in (_sum(m), _cnt(m))]
+            columns |= {x: f"`{x}` * `_r_{ROWS}`" for x in (_sum(m), _cnt(m))}
         for m in measures_of(i):
-            columns += [(F.col(renamed[x]) * left_rows).alias(x) for x in (_sum(m), _cnt(m))]
+            columns |= {x: f"`_r_{x}` * `{ROWS}`" for x in (_sum(m), _cnt(m))}
+        state = _project(state.join(right, F.expr(match)), columns)
         have = have + measures_of(i)
-        state = state.join(right, match).select(*columns)
+        keys = [*keys, *brought]
+        labels += [c for c in by if by_owner[c] == i]
     return _refold(state, list(by), have)
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,6 +33,7 @@ class Given:
         self.spark = spark
         self.folder = folder.rstrip("/")
         self._read: dict[str, DataFrame] = {}
+        self._derived: dict[str, DataFrame] = {}
 
     def __getattr__(self, name: str) -> DataFrame:
         if name not in TABLES:
@@ -41,9 +43,11 @@ class Given:
         return self._read[name]
 
     def derive(self, template: Callable[[Dialect], str]) -> DataFrame:
-        text = template(SPARK)
-        used = {name: getattr(self, name) for name in TABLES if "{" + name + "}" in text}
-        return self.spark.sql(text, **used)
+        if template.__name__ not in self._derived:
+            text = template(SPARK)
+            used = {name: getattr(self, name) for name in TABLES if "{" + name + "}" in text}
+            self._derived[template.__name__] = self.spark.sql(text, **used)
+        return self._derived[template.__name__]
 
 
 @dataclass(frozen=True)
@@ -71,6 +75,10 @@ def duck(template: Callable[[Dialect], str]) -> str:
     return template(DUCK).format(**{name: name for name in TABLES})
 
 
+# Tables are opened once per session and folder; only plans are kept, no rows.
+_OPENED: WeakKeyDictionary[SparkSession, dict[str, Given]] = WeakKeyDictionary()
+
+
 @dataclass(frozen=True)
 class Query:
     name: str
@@ -78,7 +86,10 @@ class Query:
     oracle: str | None = None
 
     def __call__(self, spark: SparkSession, folder: str) -> DataFrame:
-        return self.build(Given(spark, folder))
+        folders = _OPENED.setdefault(spark, {})
+        if folder not in folders:
+            folders[folder] = Given(spark, folder)
+        return self.build(folders[folder])
 
 
 REGISTRY: dict[str, Query] = {}
