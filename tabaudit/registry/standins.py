@@ -130,7 +130,7 @@ def product_category(d: Dialect) -> str:
 
 def marketplace_orders(d: Dialect) -> str:
     bought = d.plus("o_orderdate", "HOUR", "o_orderkey % 24")
-    arrived = d.plus(d.plus("o_orderdate", "DAY", "5 + (o_orderkey * 13) % 52"), "HOUR", "o_orderkey % 24")
+    arrived = d.plus(d.plus("o_orderdate", "DAY", "5 + (o_orderkey * 13) % 53"), "HOUR", "o_orderkey % 24")
     return f"""
     SELECT o_orderkey AS order_id, o_custkey AS customer_id,
            CASE WHEN o_orderkey % 50 = 49 THEN 'canceled' WHEN o_orderkey % 20 = 6 THEN 'shipped'
