@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
-from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -75,8 +74,8 @@ def duck(template: Callable[[Dialect], str]) -> str:
     return template(DUCK).format(**{name: name for name in TABLES})
 
 
-# Tables are opened once per session and folder; only plans are kept, no rows.
-_OPENED: WeakKeyDictionary[SparkSession, dict[str, Given]] = WeakKeyDictionary()
+# Tables are opened once per session and folder, for the life of the process; plans are kept, no rows.
+_OPENED: dict[SparkSession, dict[str, Given]] = {}
 
 
 @dataclass(frozen=True)

@@ -20,8 +20,26 @@ RECOMMENDED = {
 }
 
 
-def build_session(app: str = "tabaudit", master: str | None = None, **extra: str) -> SparkSession:
+PARTITION_BYTES = 128 << 20
+
+
+def shuffle_partitions(shuffled_bytes: int) -> int:
+    """Partitions that keep each shuffle task near 128 MB, well inside an executor's memory."""
+    return max(1, -(-shuffled_bytes // PARTITION_BYTES))
+
+
+def build_session(
+    app: str = "tabaudit", master: str | None = None, shuffled_bytes: int | None = None, **extra: str
+) -> SparkSession:
+    """A session with the recommended settings.
+
+    ``shuffled_bytes`` is the size of the largest expected shuffle: of the columns a plan moves, not of
+    the files. It sets the number of partitions AQE starts from; AQE merges the small ones again.
+    """
     builder = SparkSession.builder.appName(app)
+    if shuffled_bytes is not None:
+        start = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+        builder = builder.config(start, str(shuffle_partitions(shuffled_bytes)))
     if master is not None:
         builder = builder.master(master)
     for key, value in {**RECOMMENDED, **extra}.items():

@@ -43,6 +43,8 @@ def read_csv_typed(
         fields.append(T.StructField(corrupt_column, T.StringType(), True))
         options["columnNameOfCorruptRecord"] = corrupt_column
         scope.append(corrupt_column)
+    # Every file's own header is checked against these names, so files of another shape fail loudly.
+    options["enforceSchema"] = "false"
     if not multi_line:
         options["lineSep"] = "\n"
     reader = spark.read.options(**options).option("mode", mode)

@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabaudit import sources
-from tabaudit.session import checkpoint_dir, cut_lineage
+from tabaudit.session import checkpoint_dir, cut_lineage, shuffle_partitions
 from tabaudit.sources.storage import versions
 
 SCHEMA = T.StructType(
@@ -45,6 +45,17 @@ def test_csv_with_a_missing_column_fails_early(spark, tmp_path):
         sources.read_csv_typed(spark, write(tmp_path / "t.csv", "id\n1\n"), SCHEMA)
 
 
+def test_csv_files_of_another_shape_fail(spark, tmp_path):
+    write(tmp_path / "a.csv", "id,amount,name\n1,2.5,x\n")
+    write(tmp_path / "b.csv", "id,name,amount\n1,x,2.5\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        sources.read_csv_typed(spark, str(tmp_path), SCHEMA).collect()
+
+
+def test_shuffle_partitions():
+    assert [shuffle_partitions(n) for n in (0, 1, 128 << 20, (128 << 20) + 1)] == [1, 1, 1, 2]
+
+
 def test_csv_scan_reads_the_scope_only(spark, tmp_path):
     path = write(tmp_path / "t.csv", "id,amount,name,x1,x2\n1,2.5,x,1,2\n")
     plan = sources.read_csv_typed(spark, path, SCHEMA)._jdf.queryExecution().executedPlan().toString()
