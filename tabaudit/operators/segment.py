@@ -256,12 +256,13 @@ def monthly_trend(
     """Volume and rate per calendar month, ``start`` and ``end`` included to the second.
 
     An ``end`` without a time of day is its midnight: the rest of that day is outside. The bounds are
-    compared with the raw timestamp, so they are pushed down to the scan.
+    compared with the raw timestamp, so they are pushed down to the scan. The month is cut from the text
+    form, which involves no time zone.
     """
     low, high = (F.lit(text).cast("timestamp_ntz") for text in (start, end))
     rows = _where(df, where).filter(F.col(ts).between(low, high))
     return (
-        rows.groupBy(F.date_format(ts, "yyyy-MM").alias("month"))
+        rows.groupBy(F.substring(F.col(ts).cast("string"), 1, 7).alias("month"))
         .agg(F.count("*").alias("volume"), rate_expr(flag, scale).alias("rate"))
         .orderBy("month")
     )

@@ -43,7 +43,8 @@ class Link:
     """A table to join: ``left`` (a column of the fact or of an earlier link) equals ``df[right]``.
 
     ``unique=True`` says that ``right`` is a key of ``df``. It is a promise about speed only: it skips
-    folding this side, and the result stays exact when it is wrong.
+    folding this side, and the result stays exact when it is wrong. Leave it off for a table that the same
+    plan aggregates or joins on that key, because AQE could not split a hot key of such a join.
     """
 
     df: DataFrame

@@ -536,7 +536,8 @@ def _totals(c, digits):
 
 
 def _revenue_by_category(c, digits):
-    links = [_order_link(c), _product_link(c)]
+    # The revenue may be planned in rather than stored; then orders are already joined on their key.
+    links = [Link(c.tables.orders, "order_id"), _product_link(c)]
     return segment.joined_total(
         c.tables.order_items, links, "product_category_english", "order_revenue",
         c.settings.min_volume, scale=digits(2),

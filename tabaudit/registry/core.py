@@ -62,7 +62,7 @@ class Dialect:
 
     def time_text(self, ts: str) -> str:
         if self.name == "spark":
-            return f"date_format({ts}, 'yyyy-MM-dd HH:mm:ss')"
+            return f"left(CAST({ts} AS STRING), 19)"
         return f"strftime({ts}, '%Y-%m-%d %H:%M:%S')"
 
 

@@ -532,7 +532,7 @@ def _dedupe_latest(t: Given) -> DataFrame:
     kept = clean.dedupe_latest(t.lineitem, ["l_orderkey", "l_linenumber"], _LATEST)
     return kept.select(
         *("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_returnflag"),
-        F.date_format("l_shipdate", "yyyy-MM-dd").alias("shipped"),
+        F.substring(F.col("l_shipdate").cast("string"), 1, 10).alias("shipped"),
     )
 
 
