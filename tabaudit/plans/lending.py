@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -120,6 +120,15 @@ class Settings:
     ltv_cut: float = 1.2
     min_employer_volume: int = 500
     top_employers: int = 5
+    # Profiles: ages, income tiers, housing and a bound on debt to income.
+    high_risk_ages: tuple = ("20s", "30s")
+    high_risk_tiers: tuple = ("Low", "Mid")
+    high_risk_housing: tuple = ("Rented apartment", "With parents")
+    high_risk_dti_above: float = 0.2
+    low_risk_ages: tuple = ("50s", "60 plus")
+    low_risk_tiers: tuple = ("Upper-Mid", "High")
+    low_risk_housing: tuple = ("House / apartment",)
+    low_risk_dti_below: float = 0.1
 
 
 DEFAULTS = Settings()
@@ -230,22 +239,23 @@ def verify(df: DataFrame) -> DataFrame:
 # --- segment -------------------------------------------------------------------------------------
 
 
-def _high_risk():
+def _in_segment(ages, tiers, housing, dti: Column) -> Column:
     return C.in_every(
-        F.col("age_band").isin("20s", "30s"),
-        F.col("income_tier").isin("Low", "Mid"),
-        F.col("name_housing_type").isin("Rented apartment", "With parents"),
-        F.col("dti_ratio") > 0.2,
+        F.col("age_band").isin(list(ages)),
+        F.col("income_tier").isin(list(tiers)),
+        F.col("name_housing_type").isin(list(housing)),
+        dti,
     )
 
 
-def _low_risk():
-    return C.in_every(
-        F.col("age_band").isin("50s", "60 plus"),
-        F.col("income_tier").isin("Upper-Mid", "High"),
-        F.col("name_housing_type") == "House / apartment",
-        F.col("dti_ratio") < 0.1,
-    )
+def _high_risk(s: Settings) -> Column:
+    over = F.col("dti_ratio") > s.high_risk_dti_above
+    return _in_segment(s.high_risk_ages, s.high_risk_tiers, s.high_risk_housing, over)
+
+
+def _low_risk(s: Settings) -> Column:
+    under = F.col("dti_ratio") < s.low_risk_dti_below
+    return _in_segment(s.low_risk_ages, s.low_risk_tiers, s.low_risk_housing, under)
 
 
 def _profile_kpis(digits: Callable[[int], int | None]) -> dict:
@@ -285,9 +295,13 @@ def _mean_ltv(df, s, digits):
     return segment.mean_by(df, "target", "ltv_ratio", F.col("ltv_ratio").isNotNull(), digits(4))
 
 
+def _one_profile(member: Callable[[Settings], Column]) -> Report:
+    return lambda df, s, digits: segment.profile_metrics(df, [member(s)], _profile_kpis(digits))
+
+
 def _profiles(df, s, digits):
     kpis = _profile_kpis(digits) | {"avg_ltv": segment.mean_expr("ltv_ratio", digits(4))}
-    rules = [(_high_risk(), "High Risk"), (_low_risk(), "Low Risk")]
+    rules = [(_high_risk(s), "High Risk"), (_low_risk(s), "Low Risk")]
     return segment.compare_profiles(df, rules, "Standard", kpis, "risk_profile")
 
 
@@ -322,8 +336,8 @@ REPORTS: dict[str, Report] = {
     "by_dti_band": _dti_bands,
     "mean_ltv_by_target": _mean_ltv,
     "by_dti_and_ltv": _dti_ltv,
-    "high_risk_profile": lambda df, s, digits: segment.profile_metrics(df, [_high_risk()], _profile_kpis(digits)),
-    "low_risk_profile": lambda df, s, digits: segment.profile_metrics(df, [_low_risk()], _profile_kpis(digits)),
+    "high_risk_profile": _one_profile(_high_risk),
+    "low_risk_profile": _one_profile(_low_risk),
     "risk_profiles": _profiles,
     "by_employment": _by("is_unemployed_or_pensioner"),
     "top_employers": _top_employers,
