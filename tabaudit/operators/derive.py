@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabaudit.functions import columns as C
+from tabaudit.operators import skew
 
 
 def days_to_years(
@@ -67,24 +68,26 @@ def translate_lookup(
     name: str,
     overrides: Mapping[str, str] | None = None,
     lookup_key: str | None = None,
-    salts: int = 1,
+    spread_hot: bool = False,
 ) -> DataFrame:
     """Add a label by lookup; manual overrides win; no match leaves NULL.
 
     The lookup key must be unique (``duplicate_keys`` checks it). No broadcast is forced: Catalyst and AQE
     broadcast the lookup while its measured size is below the session's threshold. Beyond that it is a
-    shuffled join whose hot partitions AQE splits. ``salts`` splits them without AQE: rows of one key go to
-    that many tasks and the lookup, one row per key, is repeated as often. The salt is a hash of the row,
-    so a retried task sends its rows to the same place.
+    shuffled join of plain inputs, whose hot partitions AQE splits; ``spread_hot`` salts hot keys instead, for
+    sessions without AQE.
     """
     pairs = lookup.select(F.col(lookup_key or on).alias("_key"), F.col(value).alias("_label"))
     match = F.col(on) == F.col("_key")
-    if salts > 1:
-        pairs = pairs.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        match &= F.pmod(F.xxhash64(*df.columns), F.lit(salts)) == F.col("_salt")
+    rows = df
+    if spread_hot:
+        hot = skew.hot_buckets(df, on)
+        rows = skew.spread(df, on, df.columns, hot)
+        pairs = skew.repeat(pairs, "_key", hot).withColumnRenamed(skew.SALT, "_key_salt")
+        match &= F.col(skew.SALT) == F.col("_key_salt")
     label = F.col("_label")
     if overrides:
         manual = C.classify([(F.col(on) == raw, text) for raw, text in overrides.items()], None)
         label = F.coalesce(manual, label)
-    joined = df.join(pairs, match, "left")
+    joined = rows.join(pairs, match, "left")
     return joined.select(*[F.col(c) for c in df.columns if c != name], label.alias(name))

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tabaudit.functions import columns as C
-from tabaudit.operators import derive
+from tabaudit.operators import derive, skew
 
 
 def values(df, col):
@@ -101,9 +101,10 @@ def test_classify_takes_the_first_rule(spark):
     assert values(derive.classify(df, rules, "none", "c"), "c") == ["some", "some", "none"]
 
 
-@pytest.mark.parametrize("salts", [1, 5])
-def test_translate_lookup(spark, salts):
+@pytest.mark.parametrize("spread_hot", [False, True])
+def test_translate_lookup(spark, spread_hot, monkeypatch):
+    monkeypatch.setattr(skew, "MIN_ROWS", 1)
     df = frame(spark, ["a", "b", "c", None, "d"] * 3, "string")
     lookup = spark.createDataFrame([("a", "Apple"), ("b", "Pear")], "x string, label string")
-    out = derive.translate_lookup(df, lookup, "x", "label", "label", {"b": "PEAR", "d": "Date"}, salts=salts)
+    out = derive.translate_lookup(df, lookup, "x", "label", "label", {"b": "PEAR", "d": "Date"}, spread_hot=spread_hot)
     assert values(out, "label") == ["Apple", "PEAR", None, None, "Date"] * 3

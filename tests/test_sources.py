@@ -115,6 +115,14 @@ def test_materialize_by_partition(spark, tmp_path):
     assert (tmp_path / "m" / "k=a").is_dir()
 
 
+def test_materialize_as_a_table(spark, tmp_path):
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS marts LOCATION '{tmp_path}'")
+    df = spark.createDataFrame([(1, "a"), (2, "b")], "id int, k string")
+    for _ in range(2):
+        out = sources.materialize(df, "marts.letters", as_table=True)
+    assert sorted(rows(out)) == [(1, "a"), (2, "b")]
+
+
 def test_materialize_temporary_uses_the_checkpoint_folder(spark):
     kept = sources.materialize_temporary(spark.range(4).toDF("id"), "four")
     assert spark.table("four").count() == 4
