@@ -7,8 +7,9 @@ What is left after the last round are the values with one key, a relative width
 ranked exactly.
 
 A round shuffles one short list of counts per task, never rows, so neither the number of distinct values
-nor a value that fills a third of the table matters. The price is three scans of one column. All rounds are one
-lazy plan: the prefix of a round is a scalar subquery of the next.
+nor a value that fills a third of the table matters: the first round tells 512 digits per doubling of the value
+apart, and in the second only the rows on the prefix count one by one. The price is three scans of one column. All
+rounds are one lazy plan: the prefix of a round is a scalar subquery of the next.
 """
 
 from __future__ import annotations

@@ -4,10 +4,11 @@ A join sends all rows of a key to one task. Where AQE can split that task (both
 is left to AQE. It cannot when an input was aggregated on the key or when the next step reuses the
 partitioning; there the rows of a hot key get a salt, and the partner row is repeated once per salt.
 
-Hot is decided by exact counts of hash buckets of the key, not of the keys: at most 65,536 counts leave the scan, a
-bucket is hot above a thousandth of all rows, so at most a thousand can be, and their numbers of salts add up
-to two thousand at most. A hot bucket holds one 65,536th of the other keys, so hardly any partner row is
-repeated. Counts and salts are functions of the data, so a retried task sends its rows to the same place.
+Hot is decided by exact counts of hash buckets of the key, not of the keys: a scan task sends at most 4,096
+counts, a bucket is hot above a thousandth of all rows, so at most a thousand can be, and their numbers of
+salts add up to two thousand at most. A hot bucket holds one 4,096th of the other keys, so few partner rows are
+repeated: with a third of all rows on one key, it gets 334 salts and 8 % more partner rows are shuffled. Counts
+and salts are functions of the data, so a retried task sends its rows to the same place.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BUCKETS = 1 << 16
+BUCKETS = 1 << 12
 SHARE = 1000
 MIN_ROWS = 5_000_000  # a bucket below this fits a task anyway
 SALT = "_salt"
