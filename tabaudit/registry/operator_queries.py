@@ -964,7 +964,8 @@ _WIDE_BANDS = (
 @query(
     "share_distribution_ordered",
     f"""WITH d AS ({duck(deliveries)}),
-        v AS (SELECT date_diff('day', CAST(promised AS DATE), CAST(actual AS DATE)) AS v FROM d WHERE actual IS NOT NULL)
+        v AS (SELECT date_diff('day', CAST(promised AS DATE), CAST(actual AS DATE)) AS v FROM d
+              WHERE actual IS NOT NULL)
         SELECT CASE WHEN v <= -1001 THEN 'Early by more than 1000 days' WHEN v <= -1 THEN 'Early'
                     WHEN v = 0 THEN 'On time' WHEN v <= 1000 THEN 'Late' ELSE 'Late by more than 1000 days' END AS band,
                count(*) AS volume, count(*) * 100.0::DOUBLE / (SELECT count(*) FROM v) AS share
@@ -1001,7 +1002,11 @@ def _monthly_trend(t: Given) -> DataFrame:
     )
 
 
-@query("top_entities", f"{_SUPPLIER_SQL} SELECT * FROM s WHERE total_orders >= 550 ORDER BY total_revenue DESC, l_suppkey LIMIT 10")
+@query(
+    "top_entities",
+    f"""{_SUPPLIER_SQL} SELECT * FROM s WHERE total_orders >= 550
+        ORDER BY total_revenue DESC, l_suppkey LIMIT 10""",
+)
 def _top_entities(t: Given) -> DataFrame:
     _, base, blocks = _supplier_blocks(t)
     summary = marts.entity_summary(base, blocks, "l_suppkey")

@@ -74,7 +74,8 @@ def main() -> int:
         except Exception as e:  # noqa: BLE001 - report and go on with the next query
             problem = f"{type(e).__name__}: {str(e)[:600]}"
         bad += problem is not None
-        print(f"{'ok  ' if problem is None else 'FAIL'} {name} {time.time() - started:.2f}s {problem or ''}", flush=True)
+        state = "ok  " if problem is None else "FAIL"
+        print(f"{state} {name} {time.time() - started:.2f}s {problem or ''}", flush=True)
     print(f"{bad} differences")
     return bad
 

@@ -96,7 +96,8 @@ def test_dedupe_latest(spark):
     df = spark.createDataFrame(rows, "k string, score int, day string")
     out = clean.dedupe_latest(df, "k", ["day", "score"])
     assert out.columns == df.columns
-    assert sorted(tuple(r) for r in out.collect()) == [("a", 4, "2018-02-01"), ("b", 1, "2017-01-01"), ("c", 3, "2018-01-01")]
+    want = [("a", 4, "2018-02-01"), ("b", 1, "2017-01-01"), ("c", 3, "2018-01-01")]
+    assert sorted(tuple(r) for r in out.collect()) == want
     assert sorted(clean.dedupe_latest(df.repartition(5), "k", ["day", "score"]).collect()) == sorted(out.collect())
 
 

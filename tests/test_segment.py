@@ -78,7 +78,8 @@ def test_headline_counts_unknown_outcomes_in_the_total_only(spark):
 
 
 def test_month_trend_ends_at_midnight(spark):
-    data = [("2018-08-31 00:00:00", 1), ("2018-08-31 00:00:01", 1), ("2018-08-01 10:00:00", 0), ("2016-12-31 23:59:59", 1)]
+    inside = [("2018-08-31 00:00:00", 1), ("2018-08-01 10:00:00", 0)]
+    data = [*inside, ("2018-08-31 00:00:01", 1), ("2016-12-31 23:59:59", 1)]
     df = spark.createDataFrame(data, "t string, late int").withColumn("t", F.col("t").cast("timestamp_ntz"))
     assert rows(segment.monthly_trend(df, "t", "late", "2017-01-01", "2018-08-31")) == [("2018-08", 2, 50.0)]
 
