@@ -157,3 +157,31 @@ def test_rollup_leaves_null_without_children(spark):
     child = spark.createDataFrame([(1, 5), (1, 6), (3, 1)], "k int, v int")
     out = marts.rollup_to_parent(parent, child, "k", {"total": F.sum("v")})
     assert rows(out) == [(1, 11), (2, None)]
+
+
+def test_aqe_can_split_a_hot_key_of_a_join_of_plain_inputs(spark):
+    small = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.shuffle.partitions": "16",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "100KB",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "100KB",
+        "spark.sql.adaptive.forceOptimizeSkewedJoin": "false",
+    }
+    before = {k: spark.conf.get(k, None) for k in small}
+    items = spark.range(0, 600_000, 1, 8).select(
+        F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id")).alias("order_id"),
+        (F.col("id") % 5).alias("seller_id"),
+        F.pmod(F.xxhash64("id"), F.lit(1_000_000_007)).alias("x"),  # incompressible, so that sizes show
+    )
+    orders = spark.range(600_000).withColumnRenamed("id", "order_id")
+    sellers = spark.range(5).select(F.col("id").alias("seller_id"), (F.col("id") % 2).alias("state"))
+    links = [Link(orders, "order_id", unique=True), Link(sellers, "seller_id", unique=True)]
+    try:
+        for k, v in small.items():
+            spark.conf.set(k, v)
+        got = star.star_fold(items, links, ["state"], ["x"])
+        assert sorted(r[1] for r in got.collect()) == [240_000, 360_000]
+        assert "skew=true" in got._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
