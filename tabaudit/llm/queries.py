@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabaudit.llm import exact_dedup
+from tabaudit.llm import exact_dedup, secret_scan
 from tabaudit.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,3 +35,56 @@ SELECT doc_id,
 FROM d
 WINDOW same AS (PARTITION BY body)
 """
+
+
+@query
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.secrets(table(spark, sf_dir, "documents"))
+
+
+# Kind, role, pattern of a run, group to measure, least length.
+_SECRET_KINDS = (
+    ("assign", "secret", r"""((?i:password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
+    ("access", "access", r"AKIA[A-Z0-9]+", 0, 20),
+    ("hex", "secret", r"[0-9a-f]+", 0, 24),
+    ("login", "access", r"""((?i:client_?id|user_?name|user|login|account))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9_.@-]+)""", 2, 3),
+    ("endpoint", "endpoint", r"[A-Za-z][A-Za-z0-9+.-]{1,15}://[A-Za-z0-9.:@/?&=_%#~-]+", 0, 8),
+    ("blob", "secret", r"[A-Za-z0-9+/_=-]+", 0, 32),
+)
+_SECRET_HITS = " UNION ALL ".join(
+    f"""SELECT doc_id, {number} AS kind, '{name}' AS name, '{role}' AS role, {least} AS least,
+    regexp_extract_all(body, '{pattern}') AS m, regexp_extract_all(body, '{pattern}', {part}) AS v,
+    string_split_regex(body, '{pattern}') AS g FROM d"""
+    for number, (name, role, pattern, part, least) in enumerate(_SECRET_KINDS)
+)
+
+SQL["op6_secret_scan"] = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS body FROM documents),
+hits AS ({_SECRET_HITS}),
+each AS (SELECT doc_id, kind, name, role, least, m, v, g, unnest(range(1, len(m) + 1)) AS i FROM hits),
+placed AS (
+  SELECT doc_id, kind, name, role, least, length(m[i]) AS size, length(v[i]) AS part,
+         sum(length(g[i]) + length(m[i])) OVER (PARTITION BY doc_id, kind ORDER BY i) AS stop
+  FROM each),
+found AS (SELECT doc_id, kind, name, role, stop - size AS start, stop FROM placed WHERE part >= least),
+base AS (SELECT * FROM found WHERE kind < 3),
+weak AS (
+  SELECT w.* FROM found w WHERE kind >= 3
+  AND NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = w.doc_id AND b.start < w.stop AND w.start < b.stop)
+  AND EXISTS (SELECT 1 FROM base b WHERE b.doc_id = w.doc_id AND b.role <> w.role
+              AND b.start - w.stop <= 300 AND w.start - b.stop <= 300)),
+spans AS (SELECT * FROM base UNION ALL SELECT * FROM weak),
+lists AS (
+  SELECT doc_id,
+         count(*) FILTER (WHERE kind = 0) AS n_assign,
+         count(*) FILTER (WHERE kind = 1) AS n_access,
+         count(*) FILTER (WHERE kind = 2) AS n_hex,
+         string_agg(concat(name, ':', CAST(start AS BIGINT), ':', CAST(stop AS BIGINT)), ',' ORDER BY start, kind, stop) FILTER (WHERE kind < 3) AS base_spans,
+         string_agg(concat(name, ':', CAST(start AS BIGINT), ':', CAST(stop AS BIGINT)), ',' ORDER BY start, kind, stop) AS spans
+  FROM spans GROUP BY doc_id)
+SELECT d.doc_id,
+       coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(base_spans, '')) AS base_sha256,
+       coalesce(spans, '') AS spans
+FROM d LEFT JOIN lists ON d.doc_id = lists.doc_id
+"""
