@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabaudit.llm import exact_dedup, secret_scan
+from tabaudit.llm import exact_dedup, secret_scan, warc
 from tabaudit.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -88,3 +88,27 @@ SELECT d.doc_id,
        coalesce(spans, '') AS spans
 FROM d LEFT JOIN lists ON d.doc_id = lists.doc_id
 """
+
+
+@query
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+# SHA-1 in base 32: each letter stands for five of the 160 bits, four hexadecimal digits hold 16 of them.
+SQL["op9_warc"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS hex FROM pages),
+q AS (
+  SELECT page_id, payload,
+         array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST(
+           ((CAST(concat('0x', substr(concat(hex, '00'), 1 + (5 * i) // 4, 2)) AS INTEGER) >> (3 - (5 * i) % 4)) & 31)
+           AS INTEGER), 1)), '') AS payload_digest
+  FROM p)
+SELECT page_id,
+       CAST(strlen(payload) AS BIGINT) AS payload_bytes,
+       payload_digest,
+       CASE WHEN page_id = min(page_id) OVER same THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> min(page_id) OVER same THEN min(page_id) OVER same END AS refers_to
+FROM q
+WINDOW same AS (PARTITION BY payload)
+"""
