@@ -87,9 +87,10 @@ def word_hashes(text: str, inside: np.ndarray | None = None) -> np.ndarray:
 
     The hash of a word is a polynomial of its code points, taken for all words at once from prefix sums.
     """
-    points = code_points(text)
-    if inside is None:
-        inside = _letters_and_digits()
+    return hashes_of_points(code_points(text), _letters_and_digits() if inside is None else inside)
+
+
+def hashes_of_points(points: np.ndarray, inside: np.ndarray) -> np.ndarray:
     starts, ends = word_spans(points, inside)
     if not len(starts):
         return np.zeros(0, np.uint64)
