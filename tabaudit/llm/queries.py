@@ -5,8 +5,20 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-
-from tabaudit.llm import exact_dedup, language_id, license_scan, near_dedup, packing, quality, secret_scan, warc
+from pyspark.sql import functions as F
+
+from tabaudit.llm import (
+    exact_dedup,
+    fingerprints,
+    language_id,
+    license_scan,
+    merge_dropout,
+    near_dedup,
+    packing,
+    quality,
+    secret_scan,
+    warc,
+)
 from tabaudit.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,6 +40,19 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
 
+@query
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = merge_dropout.decoded(merge_dropout.encoded(table(spark, sf_dir, "documents")))
+    decoded = F.sha2(F.col("decoded").cast("binary"), 256)
+    return rows.select(
+        "doc_id",
+        "ids",
+        F.size("ids").cast("long").alias("n_ids"),
+        decoded.alias("decoded_sha256"),
+        (decoded == F.col("text_sha256")).alias("lossless"),
+    )
+
+
 @query
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
@@ -120,6 +145,11 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+@query
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.neighbours(table(spark, sf_dir, "documents"))
+
+
 # SHA-1 in base 32: each letter stands for five of the 160 bits, four hexadecimal digits hold 16 of them.
 SQL["op9_warc"] = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS hex FROM pages),
