@@ -61,15 +61,16 @@ class Codec:
                 self.ids[name] = i
                 self.score[name] = model.get_score(i)
             self.bytes.append(data)
-        order = sorted(self.score, key=lambda name: -self.score[name])
-        self.rank = {name: n for n, name in enumerate(order)}
+        # Pieces of equal score have equal rank: the leftmost candidate is next.
+        order = {score: n for n, score in enumerate(sorted(set(self.score.values()), reverse=True))}
+        self.rank = {name: order[score] for name, score in self.score.items()}
         self.skip_below = int(dropout * 2**32)
         self.seed = seed
         self.seen: dict[tuple[str, int], bytes] = {}
 
     def _skipped(self, key: int, place: int, piece: str) -> bool:
         """Keyed hash of a candidate: the upper half of a product of key, place and piece."""
-        x = (key + place * 0x9E3779B97F4A7C15) * (2 * self.rank[piece] + 0xD1342543DE82EF95)
+        x = (key + place * 0x9E3779B97F4A7C15) * (2 * self.ids[piece] + 0xD1342543DE82EF95)
         return (x >> 32) & 0xFFFFFFFF < self.skip_below
 
     def _key(self, unit: str, occurrence: int) -> int:
