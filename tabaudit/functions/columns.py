@@ -65,22 +65,33 @@ def days_to_years(col: ColumnLike, null_when: Column | None = None, scale: int =
     return years if null_when is None else F.when(~F.coalesce(null_when, F.lit(False)), years)
 
 
+def fitting_cast(col: ColumnLike, to, exact: bool = False) -> Column:
+    """A cast that fails on a value the type cannot hold; with ``exact``, also on one that it would change."""
+    col = as_column(col)
+    cast = col.try_cast(to)
+    lost = col.isNotNull() & cast.isNull()
+    if exact:
+        lost = lost | (cast != col)
+    wrong = F.concat(F.lit(f"does not fit {to if isinstance(to, str) else to.simpleString()}: "), col.cast("string"))
+    return F.when(lost, F.raise_error(wrong).cast(to)).otherwise(cast)
+
+
 def guarded_ratio(
     num: ColumnLike,
     den: ColumnLike,
     scale: int | None = 4,
-    precision: int = 6,
+    precision: int = 38,
     null_when: Column | None = None,
 ) -> Column:
-    """Ratio that is NULL for a zero denominator or where ``null_when`` holds.
+    """Ratio that is NULL for a zero denominator or where ``null_when`` holds, and nowhere else.
 
-    With a ``scale`` the result is rounded half-up to ``decimal(precision, scale)``; a ratio too large
-    for that type becomes NULL instead of failing the job, so pick a precision the data fits (and
-    count the misfits with ``count_where``). ``scale=None`` keeps the raw quotient.
+    With a ``scale`` the result is rounded half-up to ``decimal(precision, scale)``. The default precision
+    holds the quotient of any two amounts; a ratio that does not fit a smaller one fails the job.
+    ``scale=None`` keeps the raw quotient.
     """
     ratio = F.try_divide(as_column(num), as_column(den))
     if scale is not None:
-        ratio = F.round(ratio, scale).try_cast(f"decimal({precision},{scale})")
+        ratio = fitting_cast(F.round(ratio, scale), f"decimal({precision},{scale})")
     return ratio if null_when is None else F.when(~F.coalesce(null_when, F.lit(False)), ratio)
 
 

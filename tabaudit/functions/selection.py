@@ -1,77 +1,121 @@
-"""Exact order statistics of one column without ordering the table.
-
-A value is mapped to a 40-bit integer that grows with it (``_order_key``). Two rounds then fix that
-integer 20 bits at a time: each round counts rows per 20-bit digit among the rows that share the prefix
-found so far, and a running total over those at most 2**20 + 2 counts tells which digit holds the wanted rank.
-What is left after the last round are the values with one key, a relative width of about 1e-9, which are
-ranked exactly.
-
-A round shuffles one short list of counts per task, never rows, so neither the number of distinct values
-nor a value that fills a third of the table matters: the first round tells 512 digits per doubling of the value
-apart, and in the second only the rows on the prefix count one by one. The price is three scans of one column. All
-rounds are one lazy plan: the prefix of a round is a scalar subquery of the next.
+"""Exact order statistics of several columns without ordering the table.
+
+A value is mapped to a 64-bit integer that orders exactly as the values do (``_order_key``): the number itself, the
+unscaled decimal, or the bits of a double. Four rounds fix that integer 16 bits at a time. A round counts rows
+per column and digit among the rows on the prefix found so far, and a running total over those counts, at most
+65,538 per column, tells which digit holds the wanted rank. After the last round the integer is known in
+full, so nothing is left to rank: one more scan counts what lies below and finds the next integer above, and the
+integers are turned back into values.
+
+A round shuffles short lists of counts, never rows; neither the number of distinct values nor where they lie matters.
+All columns share the rounds: five scans of the columns asked for, however many they are. The rounds are one lazy
+plan: the prefixes of a round are a scalar subquery of the next.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-BITS = 20
+BITS = 16
 DIGIT = 1 << BITS
-ROUNDS = 2
-_CENTRE = 1 << (BITS * ROUNDS - 1)  # keys of non-negative values start here
-_MAGNITUDES = 1024  # log2(1 + |x|) of a double stays below this
+ROUNDS = 4
+_MANTISSA = 1 << 52
 
 
-def _order_key(col: str) -> str:
-    """A 40-bit integer that never decreases as the value grows."""
-    x = f"CAST({col} AS DOUBLE)"
-    magnitude = f"log2(1D + abs({x})) * {_CENTRE // _MAGNITUDES}D"
-    magnitude = f"least(floor(least({magnitude}, {_CENTRE - 1}D)), {_CENTRE - 1}L)"
-    return f"CASE WHEN {x} < 0 THEN {_CENTRE - 1}L - {magnitude} ELSE {_CENTRE}L + {magnitude} END"
+def _double_key(x: str) -> str:
+    """The bits of a double as a signed integer; negative values count down from zero."""
+    # The exponent, put right where the logarithm is rounded across a power of two.
+    guess = f"CAST(floor(log2(abs({x}))) AS INT)"
+    tuned = f"""transform(array({guess}), e -> CASE WHEN abs({x}) < pow(2D, e) THEN e - 1
+                WHEN e < 1023 AND abs({x}) >= pow(2D, e + 1) THEN e + 1 ELSE e END)[0]"""
+    normal = f"""transform(array({tuned}), e -> CAST(e + 1023 AS BIGINT) * {_MANTISSA}L
+                 + CAST((abs({x}) / pow(2D, e) - 1D) * {_MANTISSA}D AS BIGINT))[0]"""
+    small = f"CAST(abs({x}) / {2.0**-1074!r}D AS BIGINT)"
+    bits = f"""CASE WHEN {x} = 0D THEN 0L WHEN abs({x}) > {1.7976931348623157e308!r}D THEN {2047 * _MANTISSA}L
+               WHEN abs({x}) < {2.0**-1022!r}D THEN {small} ELSE {normal} END"""
+    return f"(CASE WHEN {x} < 0D THEN -1L ELSE 1L END) * ({bits})"
 
 
-def _values(df: DataFrame, col: str) -> DataFrame:
-    name = f"`{col}`"
-    counted = f"{name} IS NOT NULL"
-    if isinstance(df.schema[col].dataType, (T.FloatType, T.DoubleType)):
-        counted += f" AND NOT isnan({name})"
-    return df.filter(counted).selectExpr(f"{name} AS v", f"{_order_key(name)} AS k")
+def _double_value(k: str) -> str:
+    high, low = f"CAST(abs({k}) DIV {_MANTISSA}L AS INT)", f"CAST(abs({k}) % {_MANTISSA}L AS DOUBLE)"
+    size = f"""CASE WHEN {high} = 2047 THEN double('Infinity') WHEN {high} = 0 THEN {low} * {2.0**-1074!r}D
+               ELSE (1D + {low} / {_MANTISSA}D) * pow(2D, {high} - 1023) END"""
+    return f"(CASE WHEN {k} < 0 THEN -1D ELSE 1D END) * ({size})"
 
 
-def _reached(rank: str) -> str:
-    return f"upto >= floor((total + {rank}) / 2)"
+def _is_exact(kind: T.DataType) -> bool:
+    return isinstance(kind, T.DecimalType) and kind.precision <= 18
 
 
-def _ranked(counts: str, order: str) -> str:
-    """Running and grand totals over a short list; its length is bounded by the digit, not by the data."""
-    return f"""SELECT *, sum(n) OVER (ORDER BY {order} ROWS UNBOUNDED PRECEDING) AS upto,
-                      sum(n) OVER (ORDER BY {order} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS total
-               FROM ({counts})"""
+def _order_key(col: str, kind: T.DataType) -> str:
+    if isinstance(kind, T.IntegralType):
+        return f"CAST({col} AS BIGINT)"
+    if _is_exact(kind):
+        return f"CAST(CAST({col} AS DECIMAL(38,{kind.scale})) * {10**kind.scale} AS BIGINT)"
+    return _double_key(f"CAST({col} AS DOUBLE)")
 
 
-def _leading_digits(rounds: int) -> str:
-    """A query for the first digits of the lower middle key; each round nests the one before."""
-    head = digit = f"shiftright(k, {BITS * (ROUNDS - rounds)})"
-    if rounds > 1:
-        # Rows outside the prefix fall into one digit below or above the range.
-        digit = f"greatest(-1, least({head} - ({_leading_digits(rounds - 1)}) * {DIGIT}, {DIGIT}))"
-    counts = f"""SELECT digit, count(*) AS n, min(head) AS head
-                 FROM (SELECT {digit} AS digit, {head} AS head FROM {{keyed}}) GROUP BY digit"""
-    return f"SELECT min(CASE WHEN {_reached('1')} THEN head END) FROM ({_ranked(counts, 'digit')})"
+def _value(k: str, kind: T.DataType) -> str:
+    if isinstance(kind, T.IntegralType):
+        return f"CAST({k} AS {kind.simpleString()})"
+    if _is_exact(kind):
+        return f"CAST(CAST({k} AS DECIMAL(38,{kind.scale})) / {10**kind.scale} AS {kind.simpleString()})"
+    return f"CAST({_double_value(k)} AS {kind.simpleString()})"
 
 
-def middle_values(df: DataFrame, col: str) -> DataFrame:
-    """One row ``(lower, upper)``: the values at ranks ``floor((n+1)/2)`` and ``floor((n+2)/2)``.
+def _keyed(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """A row ``(c, k)`` for every value that counts: column number and key."""
+    pairs = []
+    for c, name in enumerate(cols):
+        kind = df.schema[name].dataType
+        missing = f"`{name}` IS NULL"
+        if isinstance(kind, (T.FloatType, T.DoubleType)):
+            missing += f" OR isnan(`{name}`)"
+        pairs.append(f"struct({c} AS c, CASE WHEN NOT ({missing}) THEN {_order_key(f'`{name}`', kind)} END AS k)")
+    return df.selectExpr(f"inline(array({', '.join(pairs)}))").filter("k IS NOT NULL")
 
-    NULL (and NaN) do not count; both are NULL when nothing is left.
+
+def _prefixes(rounds: int) -> str:
+    """A query for a map from column to the first digits of the lower middle key."""
+    head = digit = f"shiftright(k, {BITS * (ROUNDS - rounds)})"
+    if rounds > 1:
+        # Rows outside the prefix fall into one digit below or above the range.
+        within = f"shiftright(k, {BITS * (ROUNDS - rounds + 1)}) - prefix"
+        digit = f"CASE WHEN {within} < 0 THEN -1L WHEN {within} > 0 THEN {DIGIT}L ELSE {head} - prefix * {DIGIT}L END"
+    prefix = f"element_at(({_prefixes(rounds - 1)}), c)" if rounds > 1 else "0L"
+    counts = f"""SELECT c, {digit} AS digit, count(*) AS n, min({head}) AS head
+                 FROM (SELECT c, k, {prefix} AS prefix FROM {{keyed}}) GROUP BY c, {digit}"""
+    ranked = f"""SELECT *, sum(n) OVER (PARTITION BY c ORDER BY digit ROWS UNBOUNDED PRECEDING) AS upto,
+                        sum(n) OVER (PARTITION BY c) AS total FROM ({counts})"""
+    found = f"SELECT c, min(CASE WHEN upto >= floor((total + 1) / 2) THEN head END) AS head FROM ({ranked}) GROUP BY c"
+    return f"SELECT map_from_entries(collect_list(struct(c, head))) FROM ({found})"
+
+
+def middle_values(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """One row with ``lower_<i>`` and ``upper_<i>`` of the i-th column: the values at ranks ``floor((n+1)/2)`` and
+    ``floor((n+2)/2)``.
+
+    NULL (and NaN) do not count; both are NULL when nothing is left. A decimal of more than 18 digits is ranked as
+    a double.
     """
-    # Below and above the key collapse to one row each; only the values on the key stay apart.
-    pieces = f"""SELECT side, CASE WHEN side = 0 THEN v END AS on_key, count(*) AS n, min(v) AS v
-                 FROM (SELECT v, sign(k - ({_leading_digits(ROUNDS)})) AS side FROM {{keyed}})
-                 GROUP BY side, CASE WHEN side = 0 THEN v END"""
-    statement = f"""SELECT min(CASE WHEN {_reached("1")} THEN v END) AS lower,
-                           min(CASE WHEN {_reached("2")} THEN v END) AS upper
-                    FROM ({_ranked(pieces, "v")})"""
-    return df.sparkSession.sql(statement, keyed=_values(df, col))
+    per_column = f"""SELECT c, max(key) AS lower, count_if(k <= key) AS upto, count(*) AS total,
+                            min(CASE WHEN k > key THEN k END) AS above
+                     FROM (SELECT c, k, element_at(({_prefixes(ROUNDS)}), c) AS key FROM {{keyed}}) GROUP BY c"""
+    upper = "CASE WHEN upto >= floor((total + 2) / 2) THEN lower ELSE above END"
+    columns = []
+    for c, name in enumerate(cols):
+        kind = df.schema[name].dataType
+        for rank, key in (("lower", "lower"), ("upper", upper)):
+            found = f"max(CASE WHEN c = {c} THEN {key} END)"
+            columns.append(f"{found} AS {rank}_{c}")
+    keys = df.sparkSession.sql(f"SELECT {', '.join(columns)} FROM ({per_column})", keyed=_keyed(df, cols))
+    return keys.selectExpr(
+        *[
+            f"{_value(f'{rank}_{c}', df.schema[name].dataType)} AS {rank}_{c}"
+            for c, name in enumerate(cols)
+            for rank in ("lower", "upper")
+        ]
+    )

@@ -1,6 +1,6 @@
 """Corrections, missing values, deduplication.
 
-All but ``exact_median``, ``impute_median`` and ``dedupe_latest`` are projections: they add no shuffle,
+All but the medians and ``dedupe_latest`` are projections: they add no shuffle,
 and chains of them collapse into one ``Project``. Rows are never dropped by a correction.
 """
 
@@ -41,27 +41,40 @@ def value_flag(df: DataFrame, col: str, value, name: str) -> DataFrame:
     return df.withColumn(name, C.value_flag(col, value))
 
 
-def exact_median(df: DataFrame, col: str, scale: int | None = None, name: str = "median") -> DataFrame:
-    """The mean of the middle one or two non-NULL values, as one row.
+def exact_medians(df: DataFrame, scales: Mapping[str, int | None]) -> DataFrame:
+    """The exact median of every column, each rounded to its scale, as one row; NULL does not count.
 
-    Exact at any size: see ``functions.selection`` for how the middle is found without sorting the
-    table, without a single-partition window and without a map of all distinct values.
+    The mean of the middle one or two values. Exact at any size: ``functions.selection`` finds the middle of all columns
+    together in five scans, without sorting the table, a window over it or a map of its values.
     """
-    exact = isinstance(df.schema[col].dataType, T.DecimalType)
-    lower, upper = (F.col(c) if exact else F.col(c).cast("double") for c in ("lower", "upper"))
-    median = (lower + upper) / F.lit(2)
-    if scale is not None:
-        median = F.round(median, scale)
-    return middle_values(df, col).select(median.alias(name))
+    medians = []
+    for i, (name, scale) in enumerate(scales.items()):
+        exact = isinstance(df.schema[name].dataType, T.DecimalType)
+        lower, upper = (F.col(f"{c}_{i}") if exact else F.col(f"{c}_{i}").cast("double") for c in ("lower", "upper"))
+        median = (lower + upper) / F.lit(2)
+        medians.append((median if scale is None else F.round(median, scale)).alias(name))
+    return middle_values(df, list(scales)).select(*medians)
 
 
-def impute_median(df: DataFrame, col: str, scale: int | None = None) -> DataFrame:
-    """Fill NULL with the exact median of the column; the type does not change.
+def exact_median(df: DataFrame, col: str, scale: int | None = None, name: str = "median") -> DataFrame:
+    """The median of one column, as one row."""
+    return exact_medians(df, {col: scale}).select(F.col(col).alias(name))
+
+
+def impute_medians(df: DataFrame, scales: Mapping[str, int | None]) -> DataFrame:
+    """Fill NULL with the exact median of each column; types do not change.
 
-    The median enters as a scalar subquery, computed once, so the fill itself is a projection.
+    The medians enter as one scalar subquery, computed once, so the fill itself is a projection.
     """
-    median = exact_median(df, col, scale).scalar()
-    return df.withColumn(col, F.coalesce(F.col(col), median.cast(df.schema[col].dataType)))
+    medians = exact_medians(df, scales).select(F.struct(*scales).alias("medians")).scalar()
+    return df.withColumns(
+        {c: F.coalesce(F.col(c), medians.getField(c).cast(df.schema[c].dataType)) for c in scales}
+    )
+
+
+def impute_median(df: DataFrame, col: str, scale: int | None = None) -> DataFrame:
+    """Fill NULL with the exact median of one column."""
+    return impute_medians(df, {col: scale})
 
 
 def impute_constant(df: DataFrame, values: Mapping) -> DataFrame:
@@ -79,9 +92,8 @@ def dedupe_latest(df: DataFrame, key: str | Sequence[str], order: Sequence[str])
     """One row per key: the greatest by ``order`` (all descending, NULL last).
 
     Ties fall to the remaining columns in their order in the frame, so the kept row depends on the data
-    only. ``max(struct)`` combines on the map side: a key with any number of rows sends one row per task,
-    where a window would collect and sort the whole key in one task. Columns whose type has no order (maps)
-    cannot be part of the frame.
+    only. ``max(struct)`` combines on the map side, by sorting: a key with any number of rows sends one row per
+    task. Columns whose type has no order (maps) cannot be part of the frame.
     """
     keys = [key] if isinstance(key, str) else list(key)
     rest = [c for c in df.columns if c not in keys and c not in order]
@@ -93,10 +105,10 @@ def dedupe_latest(df: DataFrame, key: str | Sequence[str], order: Sequence[str])
 def narrow_type(df: DataFrame, col: str, to: str | T.DataType) -> DataFrame:
     """Store a float- or decimal-coded whole number in a small type.
 
-    A value that does not fit becomes NULL; ``narrowing_losses`` counts those and lost fractions
-    beforehand.
+    A value that the type cannot hold, or a fraction that it would lose, fails the job;
+    ``narrowing_losses`` counts them beforehand.
     """
-    return df.withColumn(col, F.col(col).try_cast(to))
+    return df.withColumn(col, C.fitting_cast(col, to, exact=True))
 
 
 def narrowing_losses(df: DataFrame, col: str, to: str | T.DataType) -> DataFrame:

@@ -42,7 +42,7 @@ def guarded_ratio(
     den: str,
     name: str,
     scale: int | None = 4,
-    precision: int = 6,
+    precision: int = 38,
     null_when: Column | None = None,
 ) -> DataFrame:
     return df.withColumn(name, C.guarded_ratio(num, den, scale, precision, null_when))

@@ -60,27 +60,29 @@ def bridged_summary(
     blocks: Mapping[str, Block],
     measures: Sequence[str] = (),
     fan_out: bool = True,
+    rows_per_task: int | None = None,
 ) -> DataFrame:
     """All blocks of an entity summary in one pass over the bridge.
 
     One row per entity, with ``<block>_keys`` (distinct ``via`` keys with a match), and for each measure
     ``<block>_<measure>_sum``, ``_count`` and ``_mean``; measures of the bridge itself come without a prefix.
 
-    The bridge is folded to one row per ``(via, entity)``, each block to one row per ``via``; the
-    blocks then join on the same partitioning, and one aggregate per entity ends it. Next to one scan per block
-    that shuffles the bridge twice instead of once per block, and the distinct count is a plain count. A hot
-    entity combines on the map side; the entities of a hot ``via`` key are spread with salts.
+    The bridge is dealt by ``via`` and folded there to one row per ``(via, entity)``, each block to one row per
+    ``via``; the blocks join on the same partitioning, and one aggregate per entity ends it, so the bridge's rows
+    move once and the distinct count is a plain count. A hot entity combines on the map side; the entities of a
+    hot ``via`` key are spread with salts, ``rows_per_task`` to a task.
 
     ``fan_out=True`` repeats a block's row for every bridge row, as the plain join does: an order
     paid once with three items of one seller counts three times in that seller's revenue. ``False`` counts it
     once per entity.
     """
-    hot = skew.hot_buckets(bridge, via)
-    state = skew.spread(fold(bridge, [via, entity], measures), via, [entity], hot)
+    hot = skew.hot_buckets(bridge, via, rows_per_task)
+    dealt = skew.spread(bridge.select(via, entity, *measures), via, [entity], hot).repartition(via, skew.SALT)
+    state = fold(dealt, [via, skew.SALT, entity], measures)
     for name, block in blocks.items():
         rows = block.df if block.where is None else block.df.filter(block.where)
         keys = [block.via, skew.SALT]
-        right = fold(skew.repeat(rows, block.via, hot), keys, block.measures)
+        right = skew.repeat(fold(rows, [block.via], block.measures), block.via, hot)
         columns = [*keys, *folded_columns(block.measures)]
         right = right.selectExpr(*[f"`{c}` AS `_{name}_{c}`" for c in columns])
         match = f"`{via}` = `_{name}_{block.via}` AND `{skew.SALT}` = `_{name}_{skew.SALT}`"

@@ -41,11 +41,14 @@ def predicate_counts(predicates: Mapping[str, Column]) -> list[Column]:
 
 
 def range_stats(cols: Sequence[str] | Mapping[str, int | None], scale: int | None = 2) -> list[Column]:
-    """min, max, rounded mean and NULL count per column; a mapping sets the rounding per column."""
+    """min, max, rounded mean and NULL count per column; a mapping sets the rounding per column.
+
+    Decimals are summed exactly before the one division.
+    """
     scales = cols if isinstance(cols, Mapping) else {c: scale for c in cols}
     out = []
     for c, digits in scales.items():
-        average = F.avg(c) if digits is None else F.round(F.avg(c), digits)
+        average = mean(F.sum(c), F.count(c), digits)
         out += [
             F.min(c).alias(f"min_{c}"),
             F.max(c).alias(f"max_{c}"),

@@ -5,10 +5,10 @@ is left to AQE. It cannot when an input was aggregated on the key or when the ne
 partitioning; there the rows of a hot key get a salt, and the partner row is repeated once per salt.
 
 Hot is decided by exact counts of hash buckets of the key, not of the keys: a scan task sends at most 4,096
-counts, a bucket is hot above a thousandth of all rows, so at most a thousand can be, and their numbers of
-salts add up to two thousand at most. A hot bucket holds one 4,096th of the other keys, so few partner rows are
-repeated: with a third of all rows on one key, it gets 334 salts and 8 % more partner rows are shuffled. Counts
-and salts are functions of the data, so a retried task sends its rows to the same place.
+counts. A bucket gets one salt per ``rows_per_task`` of its rows, so a task holds no more than that, whatever the size
+of the table. A hot bucket holds one 4,096th of the other keys, so few partner rows are repeated, and those are
+folded to one row per key before. Counts and salts are functions of the data, so a retried task sends its rows to the
+same place.
 """
 
 from __future__ import annotations
@@ -19,8 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BUCKETS = 1 << 12
-SHARE = 1000
-MIN_ROWS = 5_000_000  # a bucket below this fits a task anyway
+ROWS_PER_TASK = 5_000_000
 SALT = "_salt"
 
 
@@ -29,18 +28,18 @@ def _bucket(key: str) -> str:
     return f"CAST(pmod(xxhash64(CAST(`{key}` AS STRING)), {BUCKETS}) AS INT)"
 
 
-def hot_buckets(df: DataFrame, key: str, min_rows: int | None = None) -> Column:
-    """Number of salts per hot bucket of ``key``, as a scalar map. One scan of one column."""
-    floor = MIN_ROWS if min_rows is None else min_rows
+def hot_buckets(df: DataFrame, key: str, rows_per_task: int | None = None) -> Column:
+    """Number of salts per bucket of ``key``, as a scalar array. One scan of one column."""
+    most = ROWS_PER_TASK if rows_per_task is None else rows_per_task
     counts = df.selectExpr(f"{_bucket(key)} AS bucket").groupBy("bucket").agg(F.expr("count(*) AS n"))
-    summary = counts.agg(F.expr("sum(n) AS total"), F.expr("collect_list(struct(bucket, n)) AS counts"))
-    hot = f"filter(counts, e -> e.n > {floor} AND e.n * {SHARE} > total)"
-    salted = f"transform({hot}, e -> struct(e.bucket, CAST(ceil(e.n * {SHARE} / total) AS INT)))"
-    return summary.selectExpr(f"map_from_entries({salted}) AS hot").scalar()
+    salts = counts.selectExpr("bucket", f"CAST(ceil(n / {most}) AS INT) AS salts").filter("salts > 1")
+    found = salts.agg(F.expr("map_from_entries(collect_list(struct(bucket, salts))) AS hot"))
+    each = f"transform(sequence(0, {BUCKETS - 1}), b -> coalesce(try_element_at(hot, b), 1))"
+    return found.selectExpr(f"{each} AS salts").scalar()
 
 
 def _salts(hot: Column, key: str) -> Column:
-    return F.coalesce(F.try_element_at(hot, F.expr(_bucket(key))), F.lit(1))
+    return F.get(hot, F.expr(_bucket(key)))
 
 
 def spread(df: DataFrame, key: str, by: Sequence[str], hot: Column) -> DataFrame:
@@ -50,5 +49,5 @@ def spread(df: DataFrame, key: str, by: Sequence[str], hot: Column) -> DataFrame
 
 
 def repeat(df: DataFrame, key: str, hot: Column) -> DataFrame:
-    """The partner side: one copy of a row per salt of its key."""
+    """The partner side, already one row per key: a copy per salt of its key."""
     return df.withColumn(SALT, F.explode(F.sequence(F.lit(0), _salts(hot, key) - 1)))

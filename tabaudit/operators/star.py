@@ -112,6 +112,7 @@ def star_fold(
     by: Sequence[str],
     measures: Sequence[str] = (),
     where: Column | None = None,
+    rows_per_task: int | None = None,
 ) -> DataFrame:
     """``fact JOIN links ... GROUP BY by`` in folded form.
 
@@ -157,27 +158,34 @@ def star_fold(
 
     labels = [c for c in by if by_owner[c] == 0]  # group columns in the state so far
     keys = _unique_order([*labels, *pending(0)])
-    state = (fold if pays(0) else _as_folded)(frames[0], keys, have)
     hot: Column | None = None
+    others = [c for c in keys if c != links[0].left]
+    if links[0].left in fans_out and others:
+        # One exchange serves the fold and the join: rows are dealt by key and salt, then folded in place.
+        hot = skew.hot_buckets(frames[0], links[0].left, rows_per_task)
+        rows = skew.spread(frames[0].select(*_unique_order([*keys, *have])), links[0].left, others, hot)
+        keys = [*keys, skew.SALT]
+        state = fold(rows.repartition(links[0].left, skew.SALT), keys, have)
+    else:
+        state = (fold if pays(0) else _as_folded)(frames[0], keys, have)
     for j, link in enumerate(links):
         i = j + 1
-        if j == 0 or links[j - 1].left != link.left:
+        if j > 0 and links[j - 1].left != link.left:
             # A new key: drop what only the last one needed, then see whether the new one must be spread.
             keys = _unique_order([*labels, *pending(j)])
-            if j > 0:
-                kept = [*keys, *folded_columns(have)]
-                state = _refold(state, keys, have) if pays(j) else state.select(*kept)
+            state = _refold(state, keys, have) if pays(j) else state.select(*keys, *folded_columns(have))
             others = [c for c in keys if c != link.left]
             hot = None
             if link.left in fans_out and left_owner[j] == 0 and others:
-                hot = skew.hot_buckets(frames[0], link.left)
+                hot = skew.hot_buckets(frames[0], link.left, rows_per_task)
                 state = skew.spread(state, link.left, others, hot)
                 keys = [*keys, skew.SALT]
 
         brought = [c for c in labels_of(i) if c not in keys]
-        right = frames[i] if hot is None else skew.repeat(frames[i], link.key, hot)
-        right_keys = _unique_order([link.key, *brought, *([] if hot is None else [skew.SALT])])
-        right = (_as_folded if link.unique else fold)(right, right_keys, measures_of(i))
+        right_keys = _unique_order([link.key, *brought])
+        right = (_as_folded if link.unique else fold)(frames[i], right_keys, measures_of(i))
+        if hot is not None:
+            right, right_keys = skew.repeat(right, link.key, hot), [*right_keys, skew.SALT]
         right_columns = [*right_keys, *folded_columns(measures_of(i))]
         right = _project(right, {f"_r_{c}": f"`{c}`" for c in right_columns})
 
@@ -224,12 +232,13 @@ def joined_aggregate(
     inclusive: bool = False,
     where: Column | None = None,
     order_by: Sequence[Column] = (),
+    rows_per_task: int | None = None,
 ) -> DataFrame:
     """Group the join by ``by``, keep groups above the volume floor, project ``outputs``.
 
     The floor counts joined rows: ``> min_n``, or ``>= min_n`` with ``inclusive``.
     """
-    out = star_fold(fact, links, by, measures, where)
+    out = star_fold(fact, links, by, measures, where, rows_per_task)
     if min_n is not None:
         out = out.filter(F.col(ROWS) >= min_n if inclusive else F.col(ROWS) > min_n)
     out = out.select(*by, *[c.alias(name) for name, c in outputs.items()])

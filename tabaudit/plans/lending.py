@@ -153,9 +153,9 @@ def categories(df: DataFrame) -> DataFrame:
     return profile.distinct_values_of(df, CATEGORY_COLUMNS)
 
 
-def ranges(df: DataFrame) -> DataFrame:
+def ranges(df: DataFrame, rounded: bool = True) -> DataFrame:
     """min, max, mean and NULLs of the eleven numeric columns in one scan."""
-    return profile.numeric_profile(df, RANGE_COLUMNS)
+    return profile.numeric_profile(df, RANGE_COLUMNS if rounded else dict.fromkeys(RANGE_COLUMNS))
 
 
 def suspects(s: Settings = DEFAULTS) -> dict:
@@ -195,10 +195,9 @@ def correct(df: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
 def impute(df: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
     """Medians, a constant and a category of their own for missing values; flags for the rest.
 
-    The medians of the two columns run over this frame, so hand in a stored table rather than a long plan.
+    The medians of both columns share their scans of this frame, so hand in a stored table rather than a long plan.
     """
-    df = fix.impute_median(df, "amt_annuity", 1)
-    df = fix.impute_median(df, "ext_source_2", 4)
+    df = fix.impute_medians(df, {"amt_annuity": 1, "ext_source_2": 4})
     df = fix.impute_constant(df, {"cnt_fam_members": s.family_default})
     df = fix.null_flag(df, "amt_goods_price", "flag_no_goods_price")
     df = fix.reclassify_null(df, "occupation_type", s.occupation_label)
@@ -215,7 +214,7 @@ def transform(df: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
             "age_years": C.days_to_years("days_birth"),
             "employment_tenure_years": C.days_to_years("days_employed", null_when=not_employed),
             "is_unemployed_or_pensioner": C.value_flag("days_employed", s.not_employed_days),
-            "cnt_fam_members": F.col("cnt_fam_members").try_cast("tinyint"),
+            "cnt_fam_members": C.fitting_cast("cnt_fam_members", "tinyint", exact=True),
             "region_risk_label": region,
             "ltv_ratio": C.guarded_ratio("amt_credit", "amt_goods_price", null_when=no_ltv),
             "dti_ratio": C.guarded_ratio("amt_annuity", "amt_income_total"),
@@ -229,11 +228,11 @@ def clean(df: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
     return transform(impute(correct(df, s), s), s)
 
 
-def verify(df: DataFrame) -> DataFrame:
+def verify(df: DataFrame, rounded: bool = True) -> DataFrame:
     """Rows, remaining NULLs and plausibility of the derived columns, in one scan."""
     derived = {"age_years": 1, "employment_tenure_years": 1, "ltv_ratio": 4, "dti_ratio": 4, "cnt_fam_members": 0}
     nulls = [c for c in NULL_COLUMNS if c not in derived]
-    return df.agg(F.count("*").alias("records"), *profile.null_counts(nulls), *profile.range_stats(derived))
+    return df.agg(F.count("*").alias("records"), *profile.null_counts(nulls), *profile.range_stats(derived if rounded else dict.fromkeys(derived)))
 
 
 # --- segment -------------------------------------------------------------------------------------

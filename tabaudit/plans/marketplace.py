@@ -276,7 +276,7 @@ def clean_reviews(reviews: DataFrame) -> DataFrame:
 
 
 def attach_revenue(orders: DataFrame, payments: DataFrame) -> DataFrame:
-    total = F.sum("payment_value").cast(_MONEY)
+    total = F.sum("payment_value")
     return marts.rollup_to_parent(orders, payments, "order_id", {"order_revenue": total})
 
 

@@ -42,17 +42,3 @@ def half_up_sql(num: str, den: str, digits: int) -> str:
     num, den = f"CAST({num} AS HUGEINT)", f"CAST({den} AS HUGEINT)"
     unit = f"CAST({10**-digits:.{digits}f} AS DECIMAL({digits + 1},{digits}))"
     return f"(CAST(({num} * {2 * 10**digits} + {den}) // (2 * {den}) AS DECIMAL(18,0)) * {unit})"
-
-
-def _literals(values) -> str:
-    return ", ".join(f"'{v}'" for v in values)
-
-
-def band_sql(col: str, edges, labels) -> str:
-    """The label at one plus the number of edges reached; NULL gets the last one."""
-    reached = " + ".join(f"CAST({col} >= {edge} AS INTEGER)" for edge in edges)
-    return f"coalesce([{_literals(labels)}][1 + {reached}], '{labels[-1]}')"
-
-
-def among_sql(col: str, values) -> str:
-    return f"list_contains([{_literals(values)}], {col})"

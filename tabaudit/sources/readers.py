@@ -15,7 +15,7 @@ def read_csv_typed(
     schema: T.StructType,
     corrupt_column: str | None = None,
     multi_line: bool = False,
-    mode: str = "PERMISSIVE",
+    mode: str | None = None,
 ) -> DataFrame:
     """CSV with a header, commas, optional double quotes and newline rows, in declared types.
 
@@ -23,7 +23,8 @@ def read_csv_typed(
     any order; the parser skips the rest. No inference pass runs: only the header line is read up front.
     An empty field, quoted or not, arrives as NULL.
 
-    ``corrupt_column`` adds a text column with the raw line wherever a value did not parse.
+    A value that does not parse fails the job, unless ``corrupt_column`` is given: that adds a text column
+    with the raw line wherever a value did not parse, to be counted or stopped by the caller.
     ``multi_line`` allows newlines inside quotes, at the price of one task per file.
     """
     options = {"header": "true", "sep": ",", "quote": '"', "escape": '"', "multiLine": str(multi_line).lower()}
@@ -47,6 +48,7 @@ def read_csv_typed(
     options["enforceSchema"] = "false"
     if not multi_line:
         options["lineSep"] = "\n"
+    mode = mode or ("PERMISSIVE" if corrupt_column else "FAILFAST")
     reader = spark.read.options(**options).option("mode", mode)
     return reader.schema(T.StructType(fields)).csv(path).select(*scope)
 

@@ -26,6 +26,10 @@ def exact(spark, values, kind="double", scale=None):
         [-5.0, -1.0, 0.0, 1e300, -1e300],
         [1e-12, 2e-12, 3e-12, 4e-12],
         [0.1 + i * 1e-15 for i in range(8)],
+        [i * 1e-12 for i in range(1001)],
+        [5e-324, 1e-310, 2.2250738585072014e-308, 0.0, -5e-324],
+        [2.0**e for e in range(-1022, 1024, 31)],
+        [-(2.0**e) * (1 - 2.0**-53) for e in range(-1000, 1000, 37)],
         [float("inf"), 1.0, 2.0, float("-inf")],
     ],
 )
@@ -52,6 +56,15 @@ def test_median_of_other_types(spark):
     assert exact(spark, money, "decimal(15,4)", 4) == Decimal("24903.0003")
 
 
+def test_medians_of_several_columns_share_their_scans(spark):
+    rows = [(float(i), i * 3, Decimal(i) / 4) for i in range(101)] + [(None, None, Decimal(-1))]
+    df = spark.createDataFrame(rows, "x double, n bigint, d decimal(15,4)")
+    got = clean.exact_medians(df, {"x": None, "n": None, "d": 2}).collect()[0]
+    assert (got.x, got.n, got.d) == (50.0, 150.0, Decimal("12.38"))
+    plan = clean.exact_medians(df, {"x": None, "n": None, "d": 2})._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") <= 5
+
+
 def test_median_does_not_depend_on_partitions_or_order(spark):
     values = [float(i % 97) for i in range(1000)]
     df = column(spark, values)
@@ -105,5 +118,8 @@ def test_narrowing(spark):
     df = column(spark, [Decimal("1.0"), Decimal("2.5"), Decimal("300.0"), None], "decimal(5,1)")
     losses = clean.narrowing_losses(df, "x", "tinyint").collect()[0]
     assert (losses.checked, losses.losses) == (3, 2)
-    narrowed = [r[0] for r in clean.narrow_type(df, "x", "tinyint").collect()]
-    assert narrowed == [1, 2, None, None]
+    for bad in ("2.5", "300.0"):
+        with pytest.raises(Exception, match="does not fit tinyint"):
+            clean.narrow_type(df.filter(f"x = {bad}"), "x", "tinyint").collect()
+    fits = clean.narrow_type(df.filter("x = 1 OR x IS NULL"), "x", "tinyint")
+    assert sorted(r[0] or 0 for r in fits.collect()) == [0, 1]

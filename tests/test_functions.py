@@ -61,9 +61,9 @@ def test_guarded_ratio(spark):
     df = spark.createDataFrame(rows, "id int, a string, b string")
     df = df.select("id", F.col("a").cast("decimal(10,2)").alias("a"), F.col("b").cast("decimal(10,2)").alias("b"))
     plain = values(derive.guarded_ratio(df, "a", "b", "r"), "r")
-    assert [None if v is None else str(v) for v in plain] == ["0.3333", None, None, "0.1250", None]
-    wide = values(derive.guarded_ratio(df, "a", "b", "r", precision=12), "r")
-    assert str(wide[4]) == "900.0000"
+    assert [None if v is None else str(v) for v in plain] == ["0.3333", None, None, "0.1250", "900.0000"]
+    with pytest.raises(Exception, match="does not fit"):
+        derive.guarded_ratio(df, "a", "b", "r", precision=6).collect()
     ruled = values(derive.guarded_ratio(df, "a", "b", "r", null_when=F.col("b") == 8), "r")
     assert ruled[3] is None and ruled[0] is not None
 
@@ -103,7 +103,7 @@ def test_classify_takes_the_first_rule(spark):
 
 @pytest.mark.parametrize("spread_hot", [False, True])
 def test_translate_lookup(spark, spread_hot, monkeypatch):
-    monkeypatch.setattr(skew, "MIN_ROWS", 1)
+    monkeypatch.setattr(skew, "ROWS_PER_TASK", 1)
     df = frame(spark, ["a", "b", "c", None, "d"] * 3, "string")
     lookup = spark.createDataFrame([("a", "Apple"), ("b", "Pear")], "x string, label string")
     out = derive.translate_lookup(df, lookup, "x", "label", "label", {"b": "PEAR", "d": "Date"}, spread_hot=spread_hot)
