@@ -25,8 +25,12 @@ def plain(df: DataFrame) -> DataFrame:
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder that all executors share."""
-    return f"{checkpoint_dir(spark).rstrip('/')}/tabaudit/{name}-{uuid.uuid4().hex}"
+    """A fresh path in the folder that all executors share, removed by Hadoop when the application ends."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/tabaudit/{name}-{uuid.uuid4().hex}"
+    context = spark.sparkContext
+    place = context._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return path
 
 
 def rate_sql(target: str, name: str = "rate") -> str:
