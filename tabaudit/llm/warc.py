@@ -121,9 +121,12 @@ def page_records(
 
 
 def write_archives(
-    pages: DataFrame, path: str, least: int = 0, segment: int = SEGMENT, date: str = DATE
+    pages: DataFrame, path: str, least: int = 0, segment: int = SEGMENT, date: str = DATE, compression: str = "gzip"
 ) -> None:
-    """Write a record (or several segments) for every row of ``pages`` (page_id, url, html)."""
+    """Write a record (or several segments) for every row of ``pages`` (page_id, url, html).
+
+    Each task writes one file, compressed as usual for archives (``none`` leaves them plain).
+    """
     html = F.coalesce(pages["html"].cast("string"), F.lit("")).cast("binary")
     rows = pages.select(
         pages["page_id"].alias("page_id"), pages["url"].alias("url"), html.alias("payload"), F.sha1(html).alias("sha1")
@@ -150,7 +153,7 @@ def write_archives(
                 yield pa.RecordBatch.from_arrays([pa.array(values, pa.binary())], ["value"])
 
     values = rows.mapInArrow(build, "value binary").select(F.col("value").cast("string").alias("value"))
-    values.write.option("lineSep", END.decode()).text(path)
+    values.write.options(lineSep=END.decode(), compression=compression).text(path)
 
 
 def parsed(data: bytes) -> dict:
