@@ -20,6 +20,7 @@ every row is predicted by itself. An empty table gives an empty result; other co
 from __future__ import annotations
 
 import functools
+import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -30,7 +31,7 @@ import sentencepiece
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabaudit.llm.common import code_points, mixed, stored, word_spans
+from tabaudit.llm.common import code_points, mixed
 
 VOCABULARY = "piece_bpe_32k"
 UNDETERMINED = "und"
@@ -42,11 +43,6 @@ PASSES = 1
 REMEMBERED = 500_000
 
 
-@functools.cache
-def letters() -> np.ndarray:
-    return np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
-
-
 @functools.cache
 def pieces(vocabulary: str = VOCABULARY) -> tuple[str, ...]:
     """The vocabulary's pieces that words can consist of, by number."""
@@ -60,23 +56,21 @@ class Lattice:
 
     def __init__(self, vocabulary: str = VOCABULARY):
         self.names = pieces(vocabulary)
-        self.tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        by_size: dict[int, list[int]] = {}
+        by_size: dict[int, dict[str, int]] = {}
         for i, name in enumerate(self.names):
-            by_size.setdefault(len(name), []).append(i)
-        for size, numbers in by_size.items():
-            keys = np.array([self._hash(code_points(self.names[i])) for i in numbers], np.uint64)
+            for size in range(1, len(name)):
+                by_size.setdefault(size, {}).setdefault(name[:size], -1)
+            by_size.setdefault(len(name), {})[name] = i
+        # Of each size, the hashes of all beginnings of pieces, and the piece where the beginning is one.
+        self.tables: list[tuple[np.ndarray, np.ndarray]] = []
+        for size in sorted(by_size):
+            begins = by_size[size]
+            points = code_points("".join(begins)).reshape(-1, size).astype(np.uint64)
+            keys = np.zeros(len(begins), np.uint64)
+            for column in points.T:
+                keys = mixed(keys + column + np.uint64(1))
             order = np.argsort(keys)
-            self.tables[size] = keys[order], np.array(numbers)[order]
-        self.sizes = sorted(self.tables)
-
-    @staticmethod
-    def _hash(points: np.ndarray) -> np.uint64:
-        out = np.uint64(0)
-        for c in points.astype(np.uint64):
-            with np.errstate(over="ignore"):
-                out = mixed(np.array([out + c + np.uint64(1)]))[0]
-        return out
+            self.tables.append((keys[order], np.fromiter(begins.values(), np.int64, len(begins))[order]))
 
     def read(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, dict[int, np.ndarray]]:
         """Offsets and lengths of the marked words, and for each size the piece that starts at a place (or -1)."""
@@ -85,27 +79,38 @@ class Lattice:
         points = code_points("".join(marked)).astype(np.uint64)
         starts = np.cumsum(lengths) - lengths
         left = np.repeat(starts + lengths, lengths) - np.arange(len(points))
-        found, value = {}, np.zeros(len(points), np.uint64)
-        for size in range(1, self.sizes[-1] + 1):
-            n = len(points) - size + 1
-            if n <= 0 or size > lengths.max():
+        found, at, value = {}, np.arange(len(points)), np.zeros(len(points), np.uint64)
+        for size, (keys, numbers) in enumerate(self.tables, 1):
+            # Only places where a piece can still go on are looked at again.
+            longer = left[at] >= size
+            at = at[longer]
+            value = mixed(value[longer] + points[at + size - 1] + np.uint64(1))
+            row = np.minimum(np.searchsorted(keys, value), len(keys) - 1)
+            same = keys[row] == value
+            at, value, row = at[same], value[same], row[same]
+            if not len(at):
                 break
-            value = mixed(value[:n] + points[size - 1 :] + np.uint64(1))
-            if size in self.tables:
-                keys, numbers = self.tables[size]
-                at = np.minimum(np.searchsorted(keys, value), len(keys) - 1)
-                hit = np.where((keys[at] == value) & (left[:n] >= size), numbers[at], -1)
-                if (hit >= 0).any():
-                    found[size] = hit
+            piece = numbers[row]
+            whole = piece >= 0
+            if whole.any():
+                hit = np.full(len(points), -1, np.int32)
+                hit[at[whole]] = piece[whole]
+                found[size] = hit
         return starts, lengths, found
 
 
+@functools.cache
+def lattice(vocabulary: str) -> Lattice:
+    """The lattice of this process; tasks of a worker share it."""
+    return Lattice(vocabulary)
+
+
 class Model:
     """Log probabilities of the words under every language, remembered up to a bound."""
 
     def __init__(self, languages: list[str], table: np.ndarray, prior: np.ndarray, vocabulary: str = VOCABULARY):
         self.languages, self.table, self.prior = languages, table, prior
-        self.lattice = Lattice(vocabulary)
+        self.lattice = lattice(vocabulary)
         self.seen: dict[str, int] = {}
         self.values = np.zeros((REMEMBERED, len(languages)), np.float32)
 
@@ -142,7 +147,7 @@ class Model:
         beta = np.zeros_like(alpha)
         last = first + lengths
         beta[last] = weights / np.maximum(alpha[last], 1e-300)
-        out = np.zeros((len(self.lattice.names), len(self.languages)))
+        used, shares = [], []
         for t in range(int(lengths.max()) - 1, -1, -1):
             alive = np.flatnonzero(lengths > t)
             here, origin = first[alive] + t, starts[alive] + t
@@ -151,7 +156,8 @@ class Model:
             known = (single >= 0)[:, None]
             step = beta[here + 1] * np.where(known, self.table[single], UNKNOWN)
             sums += step
-            np.add.at(out, single[known[:, 0]], (alpha[here] * step)[known[:, 0]])
+            used.append(single[known[:, 0]])
+            shares.append((alpha[here] * step)[known[:, 0]])
             for size, hit in found.items():
                 if size > 1:
                     within = np.flatnonzero(lengths[alive] - t >= size)
@@ -160,9 +166,12 @@ class Model:
                     piece = piece[piece >= 0]
                     step = beta[here[some] + size] * self.table[piece]
                     sums[some] += step
-                    np.add.at(out, piece, alpha[here[some]] * step)
+                    used.append(piece)
+                    shares.append(alpha[here[some]] * step)
             beta[here] = sums
-        return out
+        number, share = np.concatenate(used), np.concatenate(shares)
+        uses = [np.bincount(number, share[:, i], len(self.lattice.names)) for i in range(len(self.languages))]
+        return np.column_stack(uses)
 
     def of_texts(self, counts: list[Counter]) -> np.ndarray:
         """The log probability of every text (a count of its words) by language, without the prior.
@@ -191,17 +200,18 @@ class Model:
         )
 
 
+# Letters, and the few other characters of words that are neither digits nor letters.
+_RUN = re.compile(r"[^\W\d_]+")
+
+
 def words_of(text: str) -> Counter:
     """The words of a text and how often each occurs."""
-    text = text.lower()
-    points = code_points(text)
-    starts, ends = word_spans(points, letters())
-    found: Counter = Counter()
-    if len(starts) and (ends - starts).max() > LONGEST:
-        runs = (text[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True))
-        found.update(r[i : i + LONGEST] for r in runs for i in range(0, len(r), LONGEST))
-    else:
-        found.update(map(text.__getitem__, map(slice, starts.tolist(), ends.tolist())))
+    found = Counter(_RUN.findall(text.lower()))
+    for run in [w for w in found if len(w) > LONGEST or not w.isalpha()]:
+        times = found.pop(run)
+        for letters in "".join(c if c.isalpha() else " " for c in run).split():
+            for at in range(0, len(letters), LONGEST):
+                found[letters[at : at + LONGEST]] += times
     return found
 
 
