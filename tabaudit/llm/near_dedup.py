@@ -10,10 +10,10 @@ different ones. Pairs of ``LEAST`` or more are links; classes are the connected
 Candidates agree on two sketches at least: a pair at the threshold does so with a probability above 0.9999.
 
 * Texts with equal words are one node; copies are not paired.
-* Buckets of up to ``PAIRED`` nodes emit their pairs. Larger ones are split by every second sketch of their nodes.
-* What is still larger is a group of texts that are alike: all nodes are compared with a few centres, then nodes that
-  are linked to no centre of their bucket become centres themselves, until there are none; so the work of a group
-  grows with its size, not with its square.
+* Buckets of one sketch and up to ``PAIRED`` nodes emit their pairs. Larger ones are split by second sketches.
+* What is still larger is a group of texts that are alike. Its nodes are also put into 60 buckets of three sketches
+  each, which the more similar ones share. A large bucket of two or three sketches is a star: every node is compared with its
+  centres, so the work of a group grows with its size, not with its square.
 
 Alignment is exact within the band of diagonals that a pair of the threshold can use: occurrence-labelled shingles
 are unique, so the alignment is the longest increasing run of matches.
@@ -31,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabaudit.llm.common import mixed, numbered, rolling, stored, whole_text, word_hashes
@@ -41,7 +41,7 @@ LEAST = 0.8
 SKETCHES = 20
 PICKED = 3
 PAIRED = 32
-CENTRES = 8
+CENTRES = 2
 
 _SEEDS = mixed(np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0x5851F42D4C957F2D))
 
@@ -154,6 +154,39 @@ def sketched(docs: DataFrame) -> DataFrame:
     )
 
 
+_MARKS = mixed(np.arange(77, 77 + CENTRES, dtype=np.uint64)).view(np.int64).tolist()
+
+
+def _sized(buckets: DataFrame, name: str, centres: list[Column]) -> DataFrame:
+    """``buckets`` (node, bucket) of two nodes or more with their number of nodes and their centres.
+
+    A centre is the node nearest to a mark, by exclusive or.
+    """
+    nearest = [F.min(F.col("node").bitwiseXOR(m)).bitwiseXOR(F.first(m)) for m in centres]
+    sizes = buckets.groupBy("bucket").agg(F.count("*").alias("n"), F.array_distinct(F.array(*nearest)).alias("centres"))
+    return buckets.join(stored(sizes.filter("n > 1"), name), "bucket")
+
+
+def _star(buckets: DataFrame) -> DataFrame:
+    star = buckets.filter(F.col("n") > PAIRED).select("node", F.explode("centres").alias("centre"))
+    star = star.filter("node <> centre")
+    return star.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b"))
+
+
+def _with_popular(buckets: DataFrame) -> DataFrame:
+    """Large buckets with three centres: of each third of the nodes the one that shares most with others everywhere.
+
+    The text from which a group of edited ones descends is like all of them, and meets them more often than they do
+    each other.
+    """
+    large = buckets.filter(F.col("n") > PAIRED).select("node", "bucket", "n")
+    weight = large.groupBy("node").agg(F.sum("n").alias("weight"))
+    third = F.pmod("node", F.lit(3))
+    best = [F.max(F.when(third == i, F.struct("weight", "node"))).getField("node") for i in range(3)]
+    first = large.join(weight, "node").groupBy("bucket").agg(F.array_compact(F.array(*best)).alias("centres"))
+    return large.join(first, "bucket").select("node", "n", "centres")
+
+
 def _within(buckets: DataFrame) -> DataFrame:
     """All pairs inside buckets of bounded size, with the number of buckets that they share."""
     left = buckets.select("bucket", F.col("node").alias("a"))
@@ -161,21 +194,33 @@ def _within(buckets: DataFrame) -> DataFrame:
     return left.join(right, "bucket").filter("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"))
 
 
-def _sized(buckets: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
-    """Buckets of 2 to ``PAIRED`` nodes, and larger ones."""
-    sizes = stored(buckets.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"), name)
-    return (
-        buckets.join(sizes.filter(F.col("n") <= PAIRED), "bucket", "left_semi"),
-        buckets.join(sizes.filter(F.col("n") > PAIRED), "bucket", "left_semi"),
-    )
-
-
-def _centres(members: DataFrame, several: int) -> DataFrame:
-    """Up to ``several`` nodes of each bucket: the nearest, by exclusive or, to fixed random values."""
-    marks = mixed(np.arange(77, 77 + several, dtype=np.uint64)).view(np.int64).tolist()
-    nearest = [F.min(F.col("node").bitwiseXOR(F.lit(m))).bitwiseXOR(F.lit(m)) for m in marks]
-    found = members.groupBy("bucket").agg(F.array(*nearest).alias("centres"))
-    return found.select("bucket", F.explode(F.array_distinct("centres")).alias("centre"))
+def _pairs(sketches: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes to be verified; ``sketches`` has node and sketches."""
+    # Fixed marks: buckets with much the same nodes have much the same centres. The bucket as mark: all have others.
+    fixed, own = [F.lit(m) for m in _MARKS], [F.col("bucket")]
+    one = _sized(sketches.select("node", F.explode("sketches").alias("bucket")), "near-sizes", [])
+    one = stored(one.select("node", "bucket", "n"), "near-buckets")
+    small = _within(one.filter(F.col("n") <= PAIRED)).filter("shared > 1")
+    # A large bucket is split by each sketch that stands up to two places from its own.
+    large = one.filter(F.col("n") > PAIRED).select("node", F.col("bucket").alias("first")).join(sketches, "node")
+    at = F.array_position("sketches", F.col("first")).cast("int") - 1
+    around = F.array(*[F.lit(d) for d in (-2, -1, 1, 2)])
+    second = F.transform(around, lambda d: F.get("sketches", F.pmod(at + d, F.lit(SKETCHES))))
+    two = large.select("node", "first", F.explode(second).alias("second"))
+    key = F.xxhash64(F.least("first", "second"), F.greatest("first", "second"))
+    two = stored(two.select("node", key.alias("bucket")).distinct(), "near-two")
+    two = stored(_sized(two, "near-two-sizes", fixed), "near-two-buckets")
+    # The nodes of what is still large are alike: buckets of three sketches out of four neighbours tell them apart.
+    alike = two.filter(F.col("n") > PAIRED).select("node").distinct().join(sketches, "node")
+    sketch = lambda i, d: F.get("sketches", F.lit((i + d) % SKETCHES))
+    triples = [(i, 1 + skip // 2, 2 + (skip + 1) // 2) for i in range(SKETCHES) for skip in range(3)]
+    keys = F.array(*[F.xxhash64(F.lit(i), sketch(i, 0), sketch(i, d), sketch(i, e)) for i, d, e in triples])
+    three = stored(alike.select("node", F.explode(keys).alias("bucket")), "near-three")
+    three = stored(_sized(three, "near-three-sizes", own), "near-three-buckets")
+    pairs = small.select("a", "b").union(_star(two)).union(_star(_with_popular(two))).union(_star(three))
+    for buckets in (two, three):
+        pairs = pairs.union(_within(buckets.filter(F.col("n") <= PAIRED)).select("a", "b"))
+    return pairs.distinct()
 
 
 def verified(pairs: DataFrame, words: DataFrame, least: float = LEAST) -> DataFrame:
@@ -199,67 +244,30 @@ def verified(pairs: DataFrame, words: DataFrame, least: float = LEAST) -> DataFr
 
 def components(edges: DataFrame) -> DataFrame:
     """node and root of every node of the graph; each round joins nodes to their least neighbour and contracts."""
-    members, current = None, stored(edges.select("a", "b").distinct(), "near-edges")
+    current, steps = stored(edges.select("a", "b").distinct(), "near-edges"), []
     while not current.isEmpty():
         both = current.union(current.select("b", "a"))
         least = both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("to"))
-        least = stored(least, "near-least")
         onward = least.select(F.col("node").alias("to"), F.col("to").alias("further"))
-        step = least.join(onward, "to", "left").select("node", F.coalesce("further", "to").alias("root"))
+        step = least.join(onward, "to").select("node", F.col("further").alias("root"))
         step = stored(step, "near-step")
-        if members is None:
-            members = step
-        else:
-            moved = step.select(F.col("node").alias("root"), F.col("root").alias("next"))
-            members = members.join(moved, "root", "left").select("node", F.coalesce("next", "root").alias("root"))
-            members = stored(members, "near-members")
+        steps.append(step)
         a = step.select(F.col("node").alias("a"), F.col("root").alias("x"))
         b = step.select(F.col("node").alias("b"), F.col("root").alias("y"))
         joined = current.join(a, "a").join(b, "b").filter("x <> y")
         current = stored(joined.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "near-edges")
-    if members is None:
+    if not steps:
         return current.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    members = steps[0]
+    for step in steps[1:]:
+        moved = step.select(F.col("node").alias("root"), F.col("root").alias("next"))
+        members = members.join(moved, "root", "left").select("node", F.coalesce("next", "root").alias("root"))
     return members
 
 
 def links(sketches: DataFrame, words: DataFrame, least: float = LEAST) -> DataFrame:
-    """Similar pairs (a, b), enough of them to connect every class; ``sketches`` has node and sketches."""
-    buckets = sketches.select("node", F.explode("sketches").alias("bucket"))
-    small, large = _sized(buckets, "near-sizes")
-    pairs = _within(small).filter("shared > 1").select("a", "b")
-    large = large.join(sketches, "node").select("node", "bucket", F.explode("sketches").alias("second"))
-    split = large.filter("bucket <> second").select(
-        F.xxhash64(F.least("bucket", "second"), F.greatest("bucket", "second")).alias("bucket"), "node"
-    )
-    split = stored(split.distinct(), "near-split")
-    small, alike = _sized(split, "near-split-sizes")
-    alike = stored(alike, "near-alike")
-    pairs = pairs.union(_within(small).select("a", "b"))
-    centres = stored(_centres(alike, CENTRES), "near-centres")
-    star = alike.join(centres, "bucket").filter("node <> centre")
-    pairs = pairs.union(star.select(F.least("node", "centre"), F.greatest("node", "centre"))).distinct()
-    edges = stored(verified(stored(pairs, "near-pairs"), words, least), "near-links")
-    several = CENTRES
-    while not alike.isEmpty():
-        # Nodes that are linked to no centre of their bucket become centres of the next round.
-        roots = components(edges)
-        rooted = alike.join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
-        rooted = stored(rooted, "near-rooted")
-        reached = centres.withColumnRenamed("centre", "node").join(rooted, ["bucket", "node"]).select("bucket", "root")
-        strays = rooted.join(reached.distinct(), ["bucket", "root"], "left_anti")
-        strays = stored(strays, "near-strays")
-        if strays.isEmpty():
-            break
-        several *= 4
-        fresh = stored(_centres(strays.select("bucket", "node"), several), "near-centres")
-        own = rooted.select("bucket", F.col("node").alias("centre"), F.col("root").alias("centre_root"))
-        met = rooted.join(fresh.join(own, ["bucket", "centre"]), "bucket").filter("root <> centre_root")
-        pairs = met.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
-        more = verified(stored(pairs, "near-pairs"), words, least)
-        edges = stored(edges.unionByName(more).distinct(), "near-links")
-        centres = stored(centres.unionByName(fresh).distinct(), "near-centres")
-        alike = alike.join(strays.select("bucket").distinct(), "bucket", "left_semi")
-    return edges
+    """Similar pairs (a, b); of groups that are alike, enough of them to connect each."""
+    return stored(verified(stored(_pairs(sketches), "near-pairs"), words, least), "near-links")
 
 
 def _classed(docs: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
@@ -273,7 +281,8 @@ def _classed(docs: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
     single = stored(single.select(F.col("row").alias("node"), "sketches"), "near-single")
     edges = links(single, base.select("row", "words"), least)
     roots = components(edges).select(F.col("node").alias("name"), "root")
-    whose = stored(named.join(roots, "name", "left").select("node", F.coalesce("root", "name").alias("class")), "near-whose")
+    whose = named.join(roots, "name", "left").select("node", F.coalesce("root", "name").alias("class"))
+    whose = stored(whose, "near-whose")
     rows = base.select("row", "doc_id", "digest", "node").join(whose, "node", "left")
     rows = stored(rows.select("row", "doc_id", "digest", F.coalesce("class", "row").alias("class")), "near-rows")
     classes = rows.groupBy("class").agg(
