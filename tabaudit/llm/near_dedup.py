@@ -12,8 +12,9 @@ Candidates agree on two sketches at least: a pair at the threshold does so with
 * Texts with equal words are one node; copies are not paired.
 * Buckets of one sketch and up to ``PAIRED`` nodes emit their pairs. Larger ones are split by second sketches.
 * What is still larger is a group of texts that are alike. Its nodes are also put into 60 buckets of three sketches
-  each, which the more similar ones share. A large bucket of two or three sketches is a star: every node is compared with its
-  centres, so the work of a group grows with its size, not with its square.
+  each, which the more similar ones share. A large bucket is a star: every node is compared with the three best-connected
+  nodes of a bucket of two sketches and with one node of a bucket of three, so the work of a group grows with its size,
+  not with its square.
 
 Alignment is exact within the band of diagonals that a pair of the threshold can use: occurrence-labelled shingles
 are unique, so the alignment is the longest increasing run of matches.
@@ -31,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabaudit.llm.common import mixed, numbered, rolling, stored, whole_text, word_hashes
@@ -41,7 +42,6 @@ LEAST = 0.8
 SKETCHES = 20
 PICKED = 3
 PAIRED = 32
-CENTRES = 2
 
 _SEEDS = mixed(np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0x5851F42D4C957F2D))
 
@@ -154,16 +154,13 @@ def sketched(docs: DataFrame) -> DataFrame:
     )
 
 
-_MARKS = mixed(np.arange(77, 77 + CENTRES, dtype=np.uint64)).view(np.int64).tolist()
+def _sized(buckets: DataFrame, name: str) -> DataFrame:
+    """``buckets`` (node, bucket) of two nodes or more with their number of nodes and one centre.
 
-
-def _sized(buckets: DataFrame, name: str, centres: list[Column]) -> DataFrame:
-    """``buckets`` (node, bucket) of two nodes or more with their number of nodes and their centres.
-
-    A centre is the node nearest to a mark, by exclusive or.
+    The centre is the node nearest to the bucket's own value, by exclusive or: each bucket has another one.
     """
-    nearest = [F.min(F.col("node").bitwiseXOR(m)).bitwiseXOR(F.first(m)) for m in centres]
-    sizes = buckets.groupBy("bucket").agg(F.count("*").alias("n"), F.array_distinct(F.array(*nearest)).alias("centres"))
+    nearest = F.min(F.col("node").bitwiseXOR(F.col("bucket"))).bitwiseXOR(F.first("bucket"))
+    sizes = buckets.groupBy("bucket").agg(F.count("*").alias("n"), F.array(nearest).alias("centres"))
     return buckets.join(stored(sizes.filter("n > 1"), name), "bucket")
 
 
@@ -196,9 +193,7 @@ def _within(buckets: DataFrame) -> DataFrame:
 
 def _pairs(sketches: DataFrame) -> DataFrame:
     """Pairs (a, b) of nodes to be verified; ``sketches`` has node and sketches."""
-    # Fixed marks: buckets with much the same nodes have much the same centres. The bucket as mark: all have others.
-    fixed, own = [F.lit(m) for m in _MARKS], [F.col("bucket")]
-    one = _sized(sketches.select("node", F.explode("sketches").alias("bucket")), "near-sizes", [])
+    one = _sized(sketches.select("node", F.explode("sketches").alias("bucket")), "near-sizes")
     one = stored(one.select("node", "bucket", "n"), "near-buckets")
     small = _within(one.filter(F.col("n") <= PAIRED)).filter("shared > 1")
     # A large bucket is split by each sketch that stands up to two places from its own.
@@ -209,15 +204,15 @@ def _pairs(sketches: DataFrame) -> DataFrame:
     two = large.select("node", "first", F.explode(second).alias("second"))
     key = F.xxhash64(F.least("first", "second"), F.greatest("first", "second"))
     two = stored(two.select("node", key.alias("bucket")).distinct(), "near-two")
-    two = stored(_sized(two, "near-two-sizes", fixed), "near-two-buckets")
+    two = stored(_sized(two, "near-two-sizes"), "near-two-buckets")
     # The nodes of what is still large are alike: buckets of three sketches out of four neighbours tell them apart.
     alike = two.filter(F.col("n") > PAIRED).select("node").distinct().join(sketches, "node")
     sketch = lambda i, d: F.get("sketches", F.lit((i + d) % SKETCHES))
     triples = [(i, 1 + skip // 2, 2 + (skip + 1) // 2) for i in range(SKETCHES) for skip in range(3)]
     keys = F.array(*[F.xxhash64(F.lit(i), sketch(i, 0), sketch(i, d), sketch(i, e)) for i, d, e in triples])
     three = stored(alike.select("node", F.explode(keys).alias("bucket")), "near-three")
-    three = stored(_sized(three, "near-three-sizes", own), "near-three-buckets")
-    pairs = small.select("a", "b").union(_star(two)).union(_star(_with_popular(two))).union(_star(three))
+    three = stored(_sized(three, "near-three-sizes"), "near-three-buckets")
+    pairs = small.select("a", "b").union(_star(_with_popular(two))).union(_star(three))
     for buckets in (two, three):
         pairs = pairs.union(_within(buckets.filter(F.col("n") <= PAIRED)).select("a", "b"))
     return pairs.distinct()
