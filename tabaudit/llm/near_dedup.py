@@ -11,10 +11,10 @@ Candidates agree on two sketches at least: a pair at the threshold does so with
 
 * Texts with equal words are one node; copies are not paired.
 * Buckets of one sketch and up to ``PAIRED`` nodes emit their pairs. Larger ones are split by second sketches.
-* What is still larger is a group of texts that are alike. Its nodes are also put into 60 buckets of three sketches
-  each, which the more similar ones share. A large bucket is a star: every node is compared with the three best-connected
-  nodes of a bucket of two sketches and with one node of a bucket of three, so the work of a group grows with its size,
-  not with its square.
+* What is still larger is a group of texts that are alike. Its nodes are compared with the three best-connected nodes of
+  the bucket, which connects most of a group without its square of pairs. Pairs that are then in different components are
+  found by their rarest shingles: similar texts share one of the rarest fifth, so no link between the nodes of a large
+  bucket is lost, whatever its size.
 
 Alignment is exact within the band of diagonals that a pair of the threshold can use: occurrence-labelled shingles
 are unique, so the alignment is the longest increasing run of matches.
@@ -155,23 +155,15 @@ def sketched(docs: DataFrame) -> DataFrame:
 
 
 def _sized(buckets: DataFrame, name: str) -> DataFrame:
-    """``buckets`` (node, bucket) of two nodes or more with their number of nodes and one centre.
-
-    The centre is the node nearest to the bucket's own value, by exclusive or: each bucket has another one.
-    """
-    nearest = F.min(F.col("node").bitwiseXOR(F.col("bucket"))).bitwiseXOR(F.first("bucket"))
-    sizes = buckets.groupBy("bucket").agg(F.count("*").alias("n"), F.array(nearest).alias("centres"))
+    """``buckets`` (node, bucket) of two nodes or more with their number of nodes."""
+    sizes = buckets.groupBy("bucket").agg(F.count("*").alias("n"))
     return buckets.join(stored(sizes.filter("n > 1"), name), "bucket")
 
 
-def _star(buckets: DataFrame) -> DataFrame:
-    star = buckets.filter(F.col("n") > PAIRED).select("node", F.explode("centres").alias("centre"))
-    star = star.filter("node <> centre")
-    return star.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b"))
-
-
 def _with_popular(buckets: DataFrame) -> DataFrame:
-    """Large buckets with three centres: of each third of the nodes the one that shares most with others everywhere.
+    """Pairs (a, b) of the nodes of large buckets with three centres.
+
+    A centre is, of each third of the nodes, the one that shares most with others everywhere.
 
     The text from which a group of edited ones descends is like all of them, and meets them more often than they do
     each other.
@@ -181,7 +173,8 @@ def _with_popular(buckets: DataFrame) -> DataFrame:
     third = F.pmod("node", F.lit(3))
     best = [F.max(F.when(third == i, F.struct("weight", "node"))).getField("node") for i in range(3)]
     first = large.join(weight, "node").groupBy("bucket").agg(F.array_compact(F.array(*best)).alias("centres"))
-    return large.join(first, "bucket").select("node", "n", "centres")
+    star = large.join(first, "bucket").select("node", F.explode("centres").alias("centre")).filter("node <> centre")
+    return star.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
 
 
 def _within(buckets: DataFrame) -> DataFrame:
@@ -191,10 +184,13 @@ def _within(buckets: DataFrame) -> DataFrame:
     return left.join(right, "bucket").filter("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"))
 
 
-def _pairs(sketches: DataFrame) -> DataFrame:
-    """Pairs (a, b) of nodes to be verified; ``sketches`` has node and sketches."""
+def _pairs(sketches: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) of nodes to be verified, and the nodes of buckets not compared pairwise.
+
+    ``sketches`` has node and sketches.
+    """
     one = _sized(sketches.select("node", F.explode("sketches").alias("bucket")), "near-sizes")
-    one = stored(one.select("node", "bucket", "n"), "near-buckets")
+    one = stored(one, "near-buckets")
     small = _within(one.filter(F.col("n") <= PAIRED)).filter("shared > 1")
     # A large bucket is split by each sketch that stands up to two places from its own.
     large = one.filter(F.col("n") > PAIRED).select("node", F.col("bucket").alias("first")).join(sketches, "node")
@@ -205,17 +201,62 @@ def _pairs(sketches: DataFrame) -> DataFrame:
     key = F.xxhash64(F.least("first", "second"), F.greatest("first", "second"))
     two = stored(two.select("node", key.alias("bucket")).distinct(), "near-two")
     two = stored(_sized(two, "near-two-sizes"), "near-two-buckets")
-    # The nodes of what is still large are alike: buckets of three sketches out of four neighbours tell them apart.
-    alike = two.filter(F.col("n") > PAIRED).select("node").distinct().join(sketches, "node")
-    sketch = lambda i, d: F.get("sketches", F.lit((i + d) % SKETCHES))
-    triples = [(i, 1 + skip // 2, 2 + (skip + 1) // 2) for i in range(SKETCHES) for skip in range(3)]
-    keys = F.array(*[F.xxhash64(F.lit(i), sketch(i, 0), sketch(i, d), sketch(i, e)) for i, d, e in triples])
-    three = stored(alike.select("node", F.explode(keys).alias("bucket")), "near-three")
-    three = stored(_sized(three, "near-three-sizes"), "near-three-buckets")
-    pairs = small.select("a", "b").union(_star(_with_popular(two))).union(_star(three))
-    for buckets in (two, three):
-        pairs = pairs.union(_within(buckets.filter(F.col("n") <= PAIRED)).select("a", "b"))
-    return pairs.distinct()
+    pairs = small.select("a", "b").union(_with_popular(two))
+    pairs = pairs.union(_within(two.filter(F.col("n") <= PAIRED)).select("a", "b")).distinct()
+    return pairs, two.filter(F.col("n") > PAIRED).select("node").distinct()
+
+
+def _prefixes(texts: DataFrame, least: float) -> DataFrame:
+    """bucket, node, size and place: the rarest shingles of every text (node, words), with their places from the rarest.
+
+    A text of ``least`` similarity has at least that share of the other one's shingles, so it cannot miss all of the
+    rarest ones that are taken. Shingles that no other text has keep their places and are left out.
+    """
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                own = [labelled_shingles(np.frombuffer(w.as_py(), "<u4").astype(np.uint64)) for w in part.column(1)]
+                sizes = np.array([len(x) for x in own])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.repeat(part.column(0).to_numpy(), sizes)),
+                        pa.array(np.repeat(sizes, sizes), pa.int32()),
+                        pa.array(np.concatenate(own).view(np.int64)),
+                    ],
+                    ["node", "size", "bucket"],
+                )
+
+    marks = texts.mapInArrow(mark, "node long, size int, bucket long")
+    seen = stored(marks.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"), "near-seen")
+    met = marks.join(seen, "bucket").groupBy("node").agg(
+        F.first("size").alias("size"), F.sort_array(F.collect_list(F.struct("n", "bucket"))).alias("rarest")
+    )
+    alone = F.col("size") - F.size("rarest")
+    taken = F.col("size") - F.ceil(F.col("size") * least - 1e-9).cast("int") + 1 - alone
+    met = met.select("node", "size", alone.alias("alone"), F.slice("rarest", F.lit(1), F.greatest(taken, F.lit(0))).alias("rarest"))
+    met = met.select("node", "size", "alone", F.posexplode("rarest").alias("at", "one"))
+    return met.select("one.bucket", "node", "size", (F.col("alone") + F.col("at") + 1).alias("place"))
+
+
+def _across(prefixes: DataFrame, roots: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b) of different components that share one of their rarest shingles and can be similar.
+
+    Of two components of a bucket one is not its largest: only the nodes of the others are joined with all.
+    """
+    rows = prefixes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rows = stored(rows, "near-prefixes")
+    parts = rows.groupBy("bucket", "root").agg(F.count("*").alias("n")).groupBy("bucket")
+    parts = parts.agg(F.max(F.struct("n", "root")).getField("root").alias("most"), F.count("*").alias("parts"))
+    rows = stored(rows.join(parts.filter("parts > 1").select("bucket", "most"), "bucket"), "near-across")
+    x, y = rows.filter("root <> most").alias("x"), rows.alias("y")
+    # What is common lies at or behind the first shared place, in both.
+    left = F.least(F.col("x.size") - F.col("x.place"), F.col("y.size") - F.col("y.place")) + 1
+    alike = left >= (F.col("x.size") + F.col("y.size")) * (least / (1 + least)) - 1e-9
+    once = F.expr("x.root <> y.root AND (y.root = y.most OR x.node < y.node)")
+    met = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & once & alike)
+    return met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
 
 def verified(pairs: DataFrame, words: DataFrame, least: float = LEAST) -> DataFrame:
@@ -262,7 +303,15 @@ def components(edges: DataFrame) -> DataFrame:
 
 def links(sketches: DataFrame, words: DataFrame, least: float = LEAST) -> DataFrame:
     """Similar pairs (a, b); of groups that are alike, enough of them to connect each."""
-    return stored(verified(stored(_pairs(sketches), "near-pairs"), words, least), "near-links")
+    pairs, alike = _pairs(sketches)
+    pairs, alike = stored(pairs, "near-pairs"), stored(alike, "near-alike")
+    found = stored(verified(pairs, words, least), "near-links")
+    if alike.isEmpty():
+        return found
+    texts = words.join(alike.select(F.col("node").alias("row")), "row", "left_semi")
+    prefixes = _prefixes(texts.select(F.col("row").alias("node"), "words"), least)
+    more = _across(prefixes, components(found), least).join(pairs, ["a", "b"], "left_anti")
+    return found.union(stored(verified(stored(more, "near-more"), words, least), "near-links"))
 
 
 def _classed(docs: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:

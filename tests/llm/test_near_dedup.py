@@ -62,6 +62,29 @@ def test_classes_match_brute_force(documents, monkeypatch, paired):
     assert len(kept) == len({r.class_id for r in found})
 
 
+def templated():
+    """Texts of one template, just too different to be links; the partner of each is a copy with three edits."""
+    draw = random.Random(1)
+    template, rows = draw.choices(WORDS, k=120), []
+    for _ in range(300):
+        own = template[:60] + draw.choices(WORDS, k=13) + template[60:]
+        partner = list(own)
+        for _ in range(3):
+            partner[draw.randrange(len(partner))] = draw.choice(WORDS)
+        rows += [" ".join(own), " ".join(partner)]
+    return list(enumerate(rows))
+
+
+def test_partners_within_a_template(documents, monkeypatch):
+    """The only similar text of each lies in a large group that no centre connects."""
+    monkeypatch.setattr(near_dedup, "PAIRED", 2)
+    rows = templated()
+    found = near_dedup.near_classes(documents(rows)).collect()
+    wanted = brute(rows)
+    assert len(set(wanted)) > 300
+    assert {r.doc_id: r.class_id for r in found} == dict(enumerate(wanted))
+
+
 def test_similarity_needs_order():
     words = [f"x{i}" for i in range(300)]
     a, b = shingles(" ".join(words)), shingles(" ".join(words[150:] + words[:150]))
