@@ -2,10 +2,12 @@
 
 A text becomes the characters of a public piece vocabulary, spaces written as its space mark. An agenda holds every pair
 of neighbours that is a piece; the pair with the best score is merged first, the leftmost among equals. A candidate
-is skipped with probability ``dropout``: by a hash keyed with the seed, the word, its occurrence, the place and the
-piece, so that the same seed gives the same ids everywhere and another seed gives others. Without dropout the ids are those of
-the vocabulary's own encoder. Pieces never span the begin of a word, so words are encoded by themselves and
-remembered in bounded number; a word that stands several times in a text takes ``VARIANTS`` segmentations in turn.
+is skipped with probability ``dropout``: by a hash keyed with the seed, the document, the word, its occurrence, the
+place and the piece, so that the same seed gives the same ids everywhere and another seed gives others. The document
+enters with its ``doc_id`` and the hash of its text. Without dropout the ids are those of the vocabulary's own encoder. Pieces
+never span the begin of a word, so words are encoded by themselves. What does not depend on dropout is remembered in
+bounded number: the candidates of a word's undisturbed agenda with its ids. A word of which no such candidate is
+skipped has these ids; any other runs its own agenda.
 
 Characters that the vocabulary lacks, and the space mark itself where a text has it, become their bytes. Decoding
 joins pieces and bytes and gives back the text exactly. A null text counts as empty and has no ids. ``doc_id`` may be
@@ -31,12 +33,26 @@ from tabaudit.llm.common import whole_text
 VOCABULARY = "piece_bpe_32k"
 DROPOUT = 0.1
 SEED = 7
-VARIANTS = 3
 REMEMBERED = 600_000
 SPACE = "▁"
 UNIT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 SHORT = 48
 NEVER = 1 << 30
+PLACE = 0x9E3779B97F4A7C15
+PIECE = 0xD1342543DE82EF95
+ADDENDS = [place * PLACE for place in range(SHORT)]
+
+
+def _spread(key: int, occurrence: int) -> int:
+    """Mixed, since the keys of a word in many documents and places differ in few bits."""
+    x = (key + occurrence * 0xA0761D6478BD642F) * 0xBF58476D1CE4E5B9 & 0xFFFFFFFFFFFFFFFF
+    return (x ^ (x >> 32)) * 0x94D049BB133111EB & 0xFFFFFFFFFFFFFFFF
+
+
+def document_key(doc_id: object, text: str) -> int:
+    """The key of a document: equal texts under other ids have other keys."""
+    name = xxhash.xxh64_intdigest(repr(doc_id).encode("utf-8", "surrogatepass"))
+    return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"), name)
 
 
 class Codec:
@@ -64,26 +80,29 @@ class Codec:
         # Pieces of equal score have equal rank: the leftmost candidate is next.
         order = {score: n for n, score in enumerate(sorted(set(self.score.values()), reverse=True))}
         self.rank = {name: order[score] for name, score in self.score.items()}
+        self.factor = {name: 2 * i + PIECE for name, i in self.ids.items()}
         self.skip_below = int(dropout * 2**32)
         self.seed = seed
-        self.seen: dict[tuple[str, int], bytes] = {}
+        self.seen: dict[str, tuple] = {}
 
     def _skipped(self, key: int, place: int, piece: str) -> bool:
         """Keyed hash of a candidate: the upper half of a product of key, place and piece."""
-        x = (key + place * 0x9E3779B97F4A7C15) * (2 * self.ids[piece] + 0xD1342543DE82EF95)
+        x = (key + place * PLACE) * self.factor[piece]
         return (x >> 32) & 0xFFFFFFFF < self.skip_below
 
-    def _key(self, unit: str, occurrence: int) -> int:
-        data = unit.encode("utf-8", "surrogatepass")
-        return xxhash.xxh64_intdigest(data, self.seed) ^ (occurrence * 0xA0761D6478BD642F)
+    def _base(self, unit: str) -> int:
+        return xxhash.xxh64_intdigest(unit.encode("utf-8", "surrogatepass"), self.seed)
+
+    def _key(self, unit: str, occurrence: int, document: int = 0) -> int:
+        return _spread(self._base(unit) ^ document, occurrence)
 
-    def pieces(self, unit: str, occurrence: int = 0) -> list[str]:
+    def pieces(self, unit: str, occurrence: int = 0, document: int = 0) -> list[str]:
         """The pieces of a word after the agenda is empty; single characters may be outside the vocabulary.
 
         The agenda of a short word is a list of the candidates' ranks by place: its least entry is next.
         """
         if len(unit) > SHORT:
-            return self._long(unit, occurrence)
+            return self._long(unit, occurrence, document)
         symbols, rank = list(unit), self.rank
         agenda = [rank.get(a + b, NEVER) for a, b in zip(unit, unit[1:], strict=False)]
         places = list(range(len(unit)))
@@ -96,7 +115,7 @@ class Codec:
             pair = symbols[i] + symbols[i + 1]
             if self.skip_below:
                 if key is None:
-                    key = self._key(unit, occurrence)
+                    key = self._key(unit, occurrence, document)
                 if self._skipped(key, places[i], pair):
                     agenda[i] = NEVER
                     continue
@@ -108,12 +127,12 @@ class Codec:
                 agenda[i - 1] = rank.get(symbols[i - 1] + pair, NEVER)
         return symbols
 
-    def _long(self, unit: str, occurrence: int) -> list[str]:
+    def _long(self, unit: str, occurrence: int, document: int = 0) -> list[str]:
         """The same with a heap and linked neighbours, for words of any length."""
         symbols = list(unit)
         last = len(symbols)
         before, after = list(range(-1, last - 1)), list(range(1, last + 1))
-        key = self._key(unit, occurrence)
+        key = self._key(unit, occurrence, document)
         score, agenda = self.score, []
         for i in range(last - 1):
             pair = symbols[i] + symbols[i + 1]
@@ -140,22 +159,49 @@ class Codec:
                     heapq.heappush(agenda, (-score[left], before[i], left))
         return [s for s in symbols if s]
 
-    def unit_ids(self, unit: str, occurrence: int) -> bytes:
+    def unit_ids(self, unit: str, occurrence: int, document: int = 0) -> bytes:
+        return self._ids(self.pieces(unit, occurrence, document))
+
+    def _ids(self, pieces: list[str]) -> bytes:
         out = []
-        for piece in self.pieces(unit, occurrence):
+        for piece in pieces:
             if piece in self.ids:
                 out.append(self.ids[piece])
             else:
                 out += [self.of_byte[b] for b in piece.encode("utf-8", "surrogatepass")]
         return np.array(out, "<i4").tobytes()
 
-    def encode(self, text: str) -> bytes:
-        """The ids of a text as little-endian 32-bit integers."""
+    def _undisturbed(self, unit: str) -> tuple[int, tuple[int, ...], tuple[int, ...], bytes]:
+        """What a word is without a skip: base of its key, addends and factors of the candidates' hashes, ids.
+
+        Words share the numbers of addends and factors, so that one that is remembered takes little memory.
+        """
+        symbols, rank, adds, factors = list(unit), self.rank, [], []
+        agenda = [rank.get(a + b, NEVER) for a, b in zip(unit, unit[1:], strict=False)]
+        places = list(range(len(unit)))
+        while agenda:
+            least = min(agenda)
+            if least == NEVER:
+                break
+            i = agenda.index(least)
+            pair = symbols[i] + symbols[i + 1]
+            adds.append(ADDENDS[places[i]])
+            factors.append(self.factor[pair])
+            symbols[i] = pair
+            del symbols[i + 1], places[i + 1], agenda[i]
+            if i < len(agenda):
+                agenda[i] = rank.get(pair + symbols[i + 1], NEVER)
+            if i:
+                agenda[i - 1] = rank.get(symbols[i - 1] + pair, NEVER)
+        return self._base(unit), tuple(adds), tuple(factors), self._ids(symbols)
+
+    def encode(self, text: str, document: int = 0) -> bytes:
+        """The ids of a text as little-endian 32-bit integers; ``document`` is its key."""
         if not text:
             return b""
         if len(self.seen) > REMEMBERED:
             self.seen = {}
-        out, times, seen = [], {}, self.seen
+        out, times, seen, below = [], {}, self.seen, self.skip_below
         mark = np.array([self.of_byte[b] for b in SPACE.encode()], "<i4").tobytes()
         for n, part in enumerate((SPACE + text.replace(SPACE, "\0" + SPACE)).split("\0" + SPACE) if SPACE in text else (" " + text,)):
             if n:
@@ -163,10 +209,19 @@ class Codec:
             for unit in UNIT.findall(part.replace(" ", SPACE)):
                 k = times.get(unit, 0)
                 times[unit] = k + 1
-                key = (unit, k % VARIANTS)
-                ids = seen.get(key)
-                if ids is None:
-                    ids = seen[key] = self.unit_ids(*key)
+                if len(unit) > SHORT:
+                    out.append(self.unit_ids(unit, k, document))
+                    continue
+                known = seen.get(unit)
+                if known is None:
+                    known = seen[unit] = self._undisturbed(unit)
+                base, adds, factors, ids = known
+                if below and adds:
+                    key = _spread(base ^ document, k)
+                    for add, factor in zip(adds, factors, strict=True):
+                        if ((key + add) * factor >> 32) & 0xFFFFFFFF < below:
+                            ids = self.unit_ids(unit, k, document)
+                            break
                 out.append(ids)
         return b"".join(out)
 
@@ -197,7 +252,8 @@ def encoded(docs: DataFrame, vocabulary: str = VOCABULARY, dropout: float = DROP
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 texts = part.column("text").to_pylist()
-                ids = [own.encode(t) for t in texts]
+                names = part.column("doc_id").to_pylist()
+                ids = [own.encode(t, document_key(d, t)) for d, t in zip(names, texts, strict=True)]
                 ends = np.cumsum([0, *(len(x) // 4 for x in ids)])
                 flat = pa.array(np.frombuffer(b"".join(ids), "<i4"), pa.int32())
                 digests = [hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in texts]

@@ -30,6 +30,17 @@ def test_lossless_and_varied():
     assert len({tuple(one.pieces("▁international", k)) for k in range(40)}) > 2
 
 
+def test_varied_over_documents_and_occurrences(documents):
+    """Equal texts of many documents, and a word that stands many times in one, are not cut to a few forms."""
+    rows = merge_dropout.encoded(documents([(i, "international") for i in range(200)])).collect()
+    assert len({tuple(r.ids) for r in rows}) > 10
+    again = merge_dropout.encoded(documents([(i, "international") for i in range(200)], parts=5)).collect()
+    assert {r.doc_id: r.ids for r in rows} == {r.doc_id: r.ids for r in again}
+    own, times = Codec(), 200
+    forms = [own.unit_ids("▁international", k, 5) for k in range(times)]
+    assert own.encode(" ".join(["international"] * times), 5) == b"".join(forms) and len(set(forms)) > 10
+
+
 def test_list_and_heap_agendas_agree():
     own = Codec(dropout=0.3)
     for word in {w for t in TEXTS for w in t.replace(" ", "▁▁").split("\n")} | {"▁unbelievably", "aaaaaaaaaa"}:
