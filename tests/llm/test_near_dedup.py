@@ -85,6 +85,19 @@ def test_partners_within_a_template(documents, monkeypatch):
     assert {r.doc_id: r.class_id for r in found} == dict(enumerate(wanted))
 
 
+def test_edited_copies_without_their_base(documents, monkeypatch):
+    monkeypatch.setattr(near_dedup, "PAIRED", 2)
+    draw = random.Random(3)
+    base, rows = draw.choices(WORDS, k=150), []
+    for i in range(200):
+        words = list(base)
+        for _ in range(draw.randrange(1, 6)):
+            words[draw.randrange(len(words))] = draw.choice(WORDS)
+        rows.append((i, " ".join(words)))
+    found = near_dedup.near_classes(documents(rows)).collect()
+    assert {r.doc_id: r.class_id for r in found} == dict(enumerate(brute(rows)))
+
+
 def test_similarity_needs_order():
     words = [f"x{i}" for i in range(300)]
     a, b = shingles(" ".join(words)), shingles(" ".join(words[150:] + words[:150]))
