@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabaudit.llm import (
+    decontamination,
     exact_dedup,
     fingerprints,
     language_id,
@@ -167,3 +168,38 @@ SELECT page_id,
 FROM q
 WINDOW same AS (PARTITION BY payload)
 """
+
+
+@query
+def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+_WORDS = "regexp_extract_all({}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+# Every window is compared at every place of every document whose word there is the window's first.
+SQL["op11_decontamination"] = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, {_WORDS.format(_LOWER)} AS w FROM documents),
+b AS (
+  SELECT item_id, {_WORDS.format(_LOWER)} AS w FROM benchmark WHERE item_id IS NOT NULL),
+s AS (SELECT item_id, w, unnest(range(0, greatest(len(w) - 10, 0) + 1)) AS i FROM b WHERE len(w) > 0),
+win AS (SELECT DISTINCT item_id, list_slice(w, i + 1, i + least(len(w), 10)) AS win FROM s),
+p AS (SELECT r, w, unnest(range(0, len(w))) AS pos FROM d),
+m AS (
+  SELECT p.r, p.pos, len(win.win) AS size, win.item_id
+  FROM p JOIN win ON p.w[p.pos + 1] = win.win[1]
+  WHERE p.pos + len(win.win) <= len(p.w) AND list_slice(p.w, p.pos + 1, p.pos + len(win.win)) = win.win),
+hit AS (SELECT DISTINCT r, unnest(range(pos, pos + size)) AS at FROM m),
+nh AS (SELECT r, count(*) AS n_hit FROM hit GROUP BY r),
+it AS (
+  SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS item FROM m) GROUP BY r)
+SELECT d.doc_id,
+       CAST(len(d.w) AS BIGINT) AS n_words,
+       CAST(coalesce(nh.n_hit, 0) AS BIGINT) AS n_hit,
+       CAST(coalesce(it.n_items, 0) AS BIGINT) AS n_items,
+       sha256(coalesce(it.items, '')) AS items_sha256,
+       coalesce(nh.n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN nh ON d.r = nh.r LEFT JOIN it ON d.r = it.r
+"""
