@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabaudit.llm import (
+    collocations,
     decontamination,
     exact_dedup,
     fingerprints,
@@ -203,3 +204,45 @@ SELECT d.doc_id,
        coalesce(nh.n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN nh ON d.r = nh.r LEFT JOIN it ON d.r = it.r
 """
+
+
+@query
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+# Every phrase of 1 to 4 words at every place of every piece is counted; then the same rules in SQL.
+SQL["op12_collocations"] = f"""
+WITH d AS (
+  SELECT coalesce(lang, 'und') AS lang, string_split_regex({_LOWER}, '[.,;:!?\\x0A-\\x0D]') AS ps FROM documents),
+pc AS (SELECT lang, unnest(ps) AS piece FROM d),
+pw AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM pc),
+ps AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM pw),
+ng AS (
+  SELECT lang, m AS nw, array_to_string(list_slice(w, i, i + m - 1), ' ') AS phrase
+  FROM ps, (VALUES (1), (2), (3), (4)) t(m) WHERE i + m - 1 <= len(w)),
+freq AS (SELECT lang, nw, phrase, count(*) AS f FROM ng GROUP BY ALL HAVING count(*) >= 30),
+total AS (SELECT lang, count(*) AS n FROM ps GROUP BY lang),
+cand AS (SELECT lang, phrase, nw, f AS a, string_split(phrase, ' ') AS ws FROM freq WHERE nw >= 2),
+ck AS (SELECT *, unnest(range(1, nw)) AS k FROM cand),
+cuts AS (
+  SELECT c.lang, c.phrase, c.nw, c.a, c.k, l.f AS l, r.f AS r,
+         CAST(2000000 AS HUGEINT) * c.a // (l.f + r.f) AS score
+  FROM ck c
+  JOIN freq l ON l.lang = c.lang AND l.phrase = array_to_string(list_slice(c.ws, 1, c.k), ' ')
+  JOIN freq r ON r.lang = c.lang AND r.phrase = array_to_string(list_slice(c.ws, c.k + 1, c.nw), ' ')),
+best AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS o FROM cuts) WHERE o = 1),
+sub AS (
+  SELECT c.lang, array_to_string(list_slice(c.ws, i + 1, i + m), ' ') AS phrase, c.a AS wrap
+  FROM cand c, range(0, 3) t1(i), range(2, 4) t2(m) WHERE c.nw >= 3 AND i + m <= c.nw AND m < c.nw),
+cov AS (SELECT lang, phrase, max(wrap) AS wrap FROM sub GROUP BY ALL),
+kept AS (
+  SELECT b.* FROM best b LEFT JOIN cov ON b.lang = cov.lang AND b.phrase = cov.phrase
+  WHERE cov.wrap IS NULL OR CAST(cov.wrap AS HUGEINT) * 100 < CAST(b.a AS HUGEINT) * 80),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase ASC) AS rank FROM kept)
+SELECT r.lang, CAST(rank AS BIGINT) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l,
+       CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM ranked r JOIN total t ON r.lang = t.lang
+WHERE rank <= 2000
+"""
