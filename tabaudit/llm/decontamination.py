@@ -10,13 +10,16 @@ The join, in the order of the method:
    the shuffle once per task). Each window orders its words by that count, then by the word itself.
 2. *Necessary prefix.* A window can only occur where its rarest word occurs: for exact containment the prefix is one
    token. The window keeps that word and its offset in the window.
-3. *Join.* Every document word is joined with the windows whose prefix it is, on (word, salt): the document side
-   takes one of ``SALTS`` salts by its place, the window side is repeated in all of them, so a hot prefix word is
-   split in ``SALTS`` tasks. AQE broadcasts the window side when it is small.
+3. *Join.* Every document word is joined with the windows whose prefix it is. When the windows are measured to hold
+   less than ``BROADCAST_BYTES``, they are broadcast and the documents are not shuffled at all (the word counts of
+   step 1 are then also limited to benchmark words before their aggregate). Otherwise the join is on (word, salt):
+   the document side takes one of ``SALTS`` salts by its place, the window side is repeated in all of them, so a hot
+   prefix word is split in ``SALTS`` tasks.
 4. *Bounds.* Its offset places a candidate: it starts ``offset`` words earlier. Starts before the document or windows
    that would run past its last word are dropped (positional and length bounds).
-5. *Verification.* The candidates of a document travel to its row, where each one is compared word by word with the
-   document's words over the window's whole size.
+5. *Verification.* The candidates, grouped per document, are written to the shared folder; below
+   ``BROADCAST_BYTES`` they are broadcast to the documents, else both sides are shuffled on ``doc_id``. In the row
+   of its document each candidate is compared word by word with the document's words over the window's whole size.
 
 Defined results: a null text or a text without words has no words, no hits and no items; items with a null text or no
 words have no windows; benchmark rows with a null ``item_id`` are not items; repeated items, windows and rows are
@@ -30,7 +33,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabaudit.llm.common import ascii_lower, whole_text
+from tabaudit.llm.common import ascii_lower, stored, whole_text
 
 # Fixed values of the contract: the word pattern and the size of a window.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -38,6 +41,8 @@ WINDOW = 10
 
 # Salts of the candidate join: a prefix word held by a third of all words is split in this many tasks.
 SALTS = 16
+# Largest side that is broadcast, measured before the join (Spark's own estimate of a word array is far too low).
+BROADCAST_BYTES = 64 << 20
 
 
 def words_of(text: Column) -> Column:
@@ -78,13 +83,28 @@ def _prefixes(wins: DataFrame, counts: DataFrame, salts: int) -> DataFrame:
     )
 
 
-def candidates(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, salts: int = SALTS) -> DataFrame:
+def _bytes(words: int, rows: int) -> int:
+    return 24 * words + 64 * rows
+
+
+def candidates(
+    docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, salts: int = SALTS, limit: int = BROADCAST_BYTES
+) -> DataFrame:
     """doc_id and the list of (start, len, item_id, win) that the prefix join and the bounds leave."""
     occ = _occurrences(docs)
-    counts = occ.groupBy("word").agg(F.count("*").alias("freq"))
-    pre = _prefixes(windows(benchmark, size), counts, salts)
-    salted = occ.withColumn("salt", F.pmod(F.xxhash64("doc_id", "pos"), F.lit(salts)).cast("int"))
-    hits = salted.join(pre, ["word", "salt"]).select(
+    wins = windows(benchmark, size)
+    measured = wins.agg(F.count("*").alias("rows"), F.sum(F.size("win")).alias("words")).first()
+    if _bytes(measured["words"] or 0, measured["rows"]) <= limit:
+        vocabulary = wins.select(F.explode("win").alias("word")).distinct()
+        counts = occ.join(F.broadcast(vocabulary), "word", "left_semi").groupBy("word").agg(F.count("*").alias("freq"))
+        pre = F.broadcast(_prefixes(wins, counts, 1).drop("salt"))
+        hits = occ.join(pre, "word")
+    else:
+        counts = occ.groupBy("word").agg(F.count("*").alias("freq"))
+        pre = _prefixes(wins, counts, salts)
+        salted = occ.withColumn("salt", F.pmod(F.xxhash64("doc_id", "pos"), F.lit(salts)).cast("int"))
+        hits = salted.join(pre, ["word", "salt"])
+    hits = hits.select(
         "doc_id", (F.col("pos") - F.col("off")).alias("start"), F.size("win").alias("len"), "item_id", "win", "n"
     )
     bounded = hits.filter((F.col("start") >= 0) & (F.col("start") + F.col("len") <= F.col("n")))
@@ -93,11 +113,17 @@ def candidates(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, salts:
     )
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, salts: int = SALTS) -> DataFrame:
+def contamination(
+    docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, salts: int = SALTS, limit: int = BROADCAST_BYTES
+) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated: one row per row of ``docs``."""
-    found = candidates(docs, benchmark, size, salts)
+    found = stored(candidates(docs, benchmark, size, salts, limit), "decontamination-candidates")
+    measured = found.agg(F.count("*").alias("rows"), F.sum(F.aggregate("cands", F.lit(0), lambda n, c: n + c["len"])).alias("words")).first()
+    found = found.withColumnRenamed("doc_id", "cand_id")
+    if _bytes(measured["words"] or 0, measured["rows"]) <= limit:
+        found = F.broadcast(found)
     rows = docs.select(docs["doc_id"].alias("doc_id"), whole_text(docs).alias("body"))
-    joined = rows.join(found.withColumnRenamed("doc_id", "cand_id"), F.col("doc_id").eqNullSafe(F.col("cand_id")), "left")
+    joined = rows.join(found, F.col("doc_id").eqNullSafe(F.col("cand_id")), "left")
     w = words_of(F.col("body"))
     sure = F.filter(
         F.coalesce(F.col("cands"), F.array().cast(found.schema["cands"].dataType)),

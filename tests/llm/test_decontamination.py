@@ -56,6 +56,7 @@ def test_edges_match_brute_force(spark, documents):
         (10, "word3 stands3 here3 word3 stands3 here3"),
     ]
     assert run(spark, documents, docs, ITEMS) == brute(docs, ITEMS)
+    assert run(spark, documents, docs, ITEMS, limit=0) == brute(docs, ITEMS)
 
 
 def test_hot_prefix_word_and_overlaps(spark, documents):
@@ -63,6 +64,7 @@ def test_hot_prefix_word_and_overlaps(spark, documents):
     docs = [(i, text if i % 2 else text.upper()) for i in range(40)] + [(99, "a " * 500)]
     items = [(1, "a b c d e f g h i j a b"), (2, "a a a a a a a a a a a"), (3, "j a")]
     assert run(spark, documents, docs, items, salts=3) == brute(docs, items)
+    assert run(spark, documents, docs, items, salts=3, limit=0) == brute(docs, items)
 
 
 def test_long_text_whole(spark, documents):
