@@ -4,17 +4,21 @@ Texts are lower-cased in A-Z, cut into pieces at ``.,;:!?`` and line breaks, and
 tabs. Every word occurrence starts a suffix of its piece; the first ``DEPTH`` words of a suffix are all a phrase of up
 to ``DEPTH`` words needs. Per language (null: ``und``):
 
-1. *Suffix pointers.* One row per word occurrence holds the first four words of its suffix (null past the end of the
-   piece). Equal rows are combined with a count, first in each task and then globally, so a passage that fills a
-   third of the corpus becomes one row with a large count: no key is hot after this step.
-2. *Global routing by leading words.* The combined suffixes are range-partitioned by (lang, w1, w2, w3, w4): each task
+1. *Words and pairs.* One aggregate counts every word exactly and every pair of neighbouring words by a 64-bit hash.
+   A phrase of two words or more that occurs ``MIN_COUNT`` times has all its pairs as frequent, so:
+2. *Suffix pointers.* One row per word occurrence whose pair with the next word is frequent holds the first four words
+   of its suffix, cut before the first pair that is not frequent (null past the cut or the end of the piece). Equal
+   rows are combined with a count, first in each task and then globally, so a passage that fills a third of the
+   corpus becomes one row with a large count: no key is hot after this step. A hash shared by two pairs only makes
+   heads longer, so no count is lost. The frequent hashes are broadcast up to ``BROADCAST_ROWS``, else joined.
+3. *Global routing by leading words.* The combined suffixes are range-partitioned by (lang, w1, w2, w3, w4): each task
    holds one contiguous range of the sorted suffixes.
-3. *Multikey three-way quicksort* (Bentley and Sedgewick) in each task, on all its segments at once with numpy: a
+4. *Multikey three-way quicksort* (Bentley and Sedgewick) in each task, on all its segments at once with numpy: a
    segment is split around a pivot into smaller, equal and larger at its depth; the equal part moves one word deeper.
    The size of an equal part (the sum of its counts) is the count of the phrase it fixes. An equal part smaller than
    ``MIN_COUNT`` is abandoned unless its phrase may go on in the next task (only the phrases of a task's least and
    greatest suffix can); those partial counts are summed over the tasks afterwards.
-4. Candidates (2 to 4 words, count at least ``MIN_COUNT``) are scored by their weakest cut, compared exactly in
+5. Candidates (2 to 4 words, count at least ``MIN_COUNT``) are scored by their weakest cut, compared exactly in
    decimals, thinned by the containment rule and ranked per language with a group limit before the shuffle.
 
 Defined results: a null or empty text has no words; a null lang is ``und``; repeated rows count every time; a
@@ -46,20 +50,66 @@ TOP = 2000
 
 _SORTED = "lang string, phrase string, len int, f long, edge boolean"
 
+# Most frequent pair hashes that are broadcast to the tasks that cut suffix heads; beyond, they are joined by shuffle.
+BROADCAST_ROWS = 4_000_000
 
-def suffixes(docs: DataFrame) -> DataFrame:
-    """lang, w1 .. w4 and c: every distinct suffix head and how many word occurrences start it."""
+
+def _pieces(docs: DataFrame) -> DataFrame:
+    """lang and ps: the words of every piece of every text."""
     pieces = F.transform(F.split(ascii_lower(whole_text(docs)), PIECE), lambda p: F.regexp_extract_all(p, F.lit(WORD), 0))
+    return docs.select(F.coalesce(docs["lang"].cast("string"), F.lit("und")).alias("lang"), pieces.alias("ps"))
+
+
+def _pair(ws, i):
+    return F.xxhash64(F.get(ws, i), F.get(ws, i + 1))
+
+
+def words_and_pairs(pieces: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(lang, word, f) of every word, and (lang, h) of the pair hashes that occur ``MIN_COUNT`` times or more.
+
+    Both come from one aggregate. Pairs are counted by a 64-bit hash of their two words: a hash that two pairs share
+    only counts more, so every frequent pair is among the frequent hashes.
+    """
+    pairs = F.transform(
+        "ps", lambda ws: F.filter(F.transform(ws, lambda w, i: F.when(i + 1 < F.size(ws), _pair(ws, i))), lambda h: h.isNotNull())
+    )
+    units = F.concat(
+        F.transform(F.flatten("ps"), lambda w: F.struct(w.alias("word"), F.lit(None).cast("long").alias("h"))),
+        F.transform(F.flatten(pairs), lambda h: F.struct(F.lit(None).cast("string").alias("word"), h.alias("h"))),
+    )
+    counted = pieces.select("lang", F.inline(units)).groupBy("lang", "word", "h").agg(F.count("*").alias("f"))
+    words = counted.filter(F.col("h").isNull()).select("lang", "word", "f")
+    frequent = counted.filter(F.col("word").isNull() & (F.col("f") >= MIN_COUNT)).select("lang", "h")
+    return words, frequent
+
+
+def suffixes(pieces: DataFrame, frequent: DataFrame, limit_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """lang, w1 .. w4 and c: distinct suffix heads that start with a frequent pair, cut before the first pair that
+    is not frequent, with the number of word occurrences that start them."""
     heads = F.flatten(
         F.transform(
-            pieces,
+            "ps",
             lambda ws: F.transform(
-                ws, lambda w, i: F.struct(*(F.get(ws, i + k).alias(f"w{k + 1}") for k in range(DEPTH)))
+                ws,
+                lambda w, i: F.struct(
+                    *(F.get(ws, i + k).alias(f"w{k + 1}") for k in range(DEPTH)),
+                    *(_pair(ws, i + k).alias(f"h{k}") for k in range(DEPTH - 1)),
+                ),
             ),
         )
     )
-    rows = docs.select(F.coalesce(docs["lang"].cast("string"), F.lit("und")).alias("lang"), F.inline(heads))
-    return rows.groupBy("lang", *(f"w{k + 1}" for k in range(DEPTH))).agg(F.count("*").alias("c"))
+    rows = pieces.select("lang", F.inline(heads)).filter(F.col("w2").isNotNull())
+    if frequent.count() <= limit_rows:
+        frequent = F.broadcast(frequent)
+    rows = rows.join(frequent.withColumnRenamed("h", "h0"), ["lang", "h0"], "left_semi")
+    for k in range(1, DEPTH - 1):
+        rows = rows.join(frequent.select("lang", F.col("h").alias(f"h{k}"), F.lit(True).alias(f"k{k}")), ["lang", f"h{k}"], "left")
+    go = F.lit(True)
+    cut = [F.col("w1"), F.col("w2")]
+    for k in range(1, DEPTH - 1):
+        go = go & F.col(f"k{k}").isNotNull()
+        cut.append(F.when(go, F.col(f"w{k + 2}")).alias(f"w{k + 2}"))
+    return rows.select("lang", *cut).groupBy("lang", *(f"w{k + 1}" for k in range(DEPTH))).agg(F.count("*").alias("c"))
 
 
 def _codes(column: pa.Array) -> np.ndarray:
@@ -82,11 +132,12 @@ def _extreme(keys: np.ndarray, pick) -> np.ndarray:
     return keys[:, alive[0]]
 
 
-def three_way_counts(keys: np.ndarray, weights: np.ndarray, least: int, depth: int = DEPTH):
+def three_way_counts(keys: np.ndarray, weights: np.ndarray, least: int, depth: int = DEPTH, shallowest: int = 1):
     """Multikey three-way quicksort of rows of ``keys`` (row 0: language, rows 1..: words, -1 past the end).
 
-    Returns element, length, count and edge of every equal part at word depth 1..``depth`` that is kept: count at
-    least ``least``, or ``edge``: its prefix is that of the least or greatest row, so other tasks may hold more.
+    Returns element, length, count and edge of every equal part at word depth ``shallowest``..``depth`` that is kept:
+    count at least ``least``, or ``edge``: its prefix is that of the least or greatest row, so other tasks may hold
+    more. Shallower parts are sorted on without a count.
     """
     n = keys.shape[1]
     found = ([], [], [], [])
@@ -115,13 +166,13 @@ def three_way_counts(keys: np.ndarray, weights: np.ndarray, least: int, depth: i
         eq_min = pmin & (pivot == low[at])
         eq_max = pmax & (pivot == high[at])
         edge = eq_min | eq_max
-        word = (at >= 1) & (pivot >= 0)
+        word = (at >= shallowest) & (pivot >= 0)
         keep = word & ((eq_w >= least) | edge)
         found[0].append(order[eq_lo[keep]])
         found[1].append(at[keep])
         found[2].append(eq_w[keep])
         found[3].append(edge[keep])
-        deeper = (at == 0) | (keep & (at < depth))
+        deeper = (at < shallowest) | (keep & (at < depth))
         parts = [
             (lo, eq_lo, at, pmin, pmax, counts[:, 0] > 0),
             (eq_lo, eq_hi, at + 1, eq_min, eq_max, deeper),
@@ -144,7 +195,7 @@ def _sorted_range(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     names = ["lang"] + [f"w{k + 1}" for k in range(DEPTH)]
     keys = np.stack([_codes(data.column(c).chunk(0) if data.column(c).num_chunks else data.column(c)) for c in names])
     weights = data.column("c").to_numpy().astype(np.int64)
-    element, length, count, edge = three_way_counts(keys, weights, MIN_COUNT)
+    element, length, count, edge = three_way_counts(keys, weights, MIN_COUNT, shallowest=2)
     picked = data.take(pa.array(element, pa.int64()))
     words = [picked.column(f"w{k + 1}").to_pylist() for k in range(DEPTH)]
     phrases = [" ".join(words[k][i] for k in range(d)) for i, d in enumerate(length.tolist())]
@@ -160,19 +211,22 @@ def _sorted_range(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     )
 
 
-def phrase_counts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def phrase_counts(docs: DataFrame, limit_rows: int = BROADCAST_ROWS) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, len, f) of every phrase of 1 to 4 words with f >= MIN_COUNT, and (lang, n)."""
-    heads = suffixes(docs)
-    totals = heads.groupBy("lang").agg(F.sum("c").alias("n"))
+    pieces = _pieces(docs)
+    words, frequent = words_and_pairs(pieces)
+    totals = words.groupBy("lang").agg(F.sum("f").alias("n"))
+    heads = suffixes(pieces, frequent, limit_rows)
     ranged = heads.repartitionByRange("lang", *(f"w{k + 1}" for k in range(DEPTH)))
     counted = ranged.mapInArrow(_sorted_range, _SORTED)
     summed = counted.groupBy("lang", "phrase", "len").agg(F.sum("f").alias("f"))
-    return summed.filter(F.col("f") >= MIN_COUNT), totals
+    single = words.filter(F.col("f") >= MIN_COUNT).select("lang", F.col("word").alias("phrase"), F.lit(1).alias("len"), "f")
+    return summed.filter(F.col("f") >= MIN_COUNT).unionByName(single), totals
 
 
-def collocations(docs: DataFrame, top: int = TOP) -> DataFrame:
+def collocations(docs: DataFrame, top: int = TOP, limit_rows: int = BROADCAST_ROWS) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: each language's best ``top`` collocations."""
-    freq, totals = phrase_counts(docs)
+    freq, totals = phrase_counts(docs, limit_rows)
     cands = freq.filter(F.col("len") >= 2).select("lang", "phrase", "len", F.col("f").alias("a"))
     words = F.split("phrase", " ")
     cuts = cands.select("lang", "phrase", "len", "a", words.alias("ws"), F.explode(F.sequence(F.lit(1), F.col("len") - 1)).alias("k"))

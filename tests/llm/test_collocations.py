@@ -42,8 +42,8 @@ def brute(rows, least=30, top=2000):
     return sorted(ranked)
 
 
-def run(documents, rows, parts=3, top=2000):
-    return sorted(tuple(r) for r in collocations.collocations(documents(rows, parts), top).collect())
+def run(documents, rows, parts=3, top=2000, limit_rows=collocations.BROADCAST_ROWS):
+    return sorted(tuple(r) for r in collocations.collocations(documents(rows, parts), top, limit_rows).collect())
 
 
 def test_three_way_counts_over_ranges():
@@ -82,6 +82,7 @@ def test_hot_passage_and_long_text(documents):
     passage = "one quiet passage that many texts share and repeat. "
     rows = [(i, passage * 3 + f"own{i} words", "en") for i in range(200)] + [(500, LONG, "en"), (501, LONG, "fr")]
     assert run(documents, rows, parts=5) == brute(rows)
+    assert run(documents, rows, parts=4, limit_rows=0) == brute(rows)
 
 
 def test_empty(documents, no_documents):
