@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tabaudit.llm import (
     collocations,
     decontamination,
+    divergence,
     exact_dedup,
     fingerprints,
     language_id,
@@ -246,3 +247,48 @@ SELECT r.lang, CAST(rank AS BIGINT) AS rank, phrase, CAST(a AS BIGINT) AS a, CAS
 FROM ranked r JOIN total t ON r.lang = t.lang
 WHERE rank <= 2000
 """
+
+
+@query
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
+# Dense: every group gets every kept term of its language, and every pair of sources compares all of them.
+SQL["op13_divergence"] = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all({_LOWER}, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS t
+  FROM documents),
+occ AS (SELECT r, lang, source, unnest(t) AS term FROM d),
+vocab AS (SELECT lang, term FROM occ GROUP BY lang, term HAVING count(DISTINCT r) >= 10),
+vs AS (SELECT lang, count(*) AS v FROM vocab GROUP BY lang),
+grp AS (SELECT DISTINCT lang, source FROM d),
+cnt AS (SELECT o.lang, o.source, o.term, count(*) AS c FROM occ o JOIN vocab v ON o.lang = v.lang AND o.term = v.term GROUP BY ALL),
+dense AS (
+  SELECT g.lang, g.source, v.term, coalesce(c.c, 0) AS c
+  FROM grp g JOIN vocab v ON g.lang = v.lang
+  LEFT JOIN cnt c ON c.lang = g.lang AND c.source = g.source AND c.term = v.term),
+gt AS (SELECT lang, source, sum(c) AS n FROM dense GROUP BY ALL),
+pg AS (
+  SELECT x.lang, x.source, x.term, x.c, 1 + (CAST(1000000000 AS HUGEINT) * (x.c + 2)) // (gt.n + 2 * vs.v) AS p
+  FROM dense x JOIN gt ON x.lang = gt.lang AND x.source = gt.source JOIN vs ON x.lang = vs.lang),
+lt AS (SELECT lang, term, sum(c) AS c FROM dense GROUP BY ALL),
+ln AS (SELECT lang, sum(c) AS n FROM lt GROUP BY lang),
+pl AS (
+  SELECT lt.lang, lt.term, 1 + (CAST(1000000000 AS HUGEINT) * (lt.c + 2)) // (ln.n + 2 * vs.v) AS q
+  FROM lt JOIN ln ON lt.lang = ln.lang JOIN vs ON lt.lang = vs.lang),
+ps AS (
+  SELECT a.lang, a.source AS g, b.source AS h, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS s
+  FROM pg a JOIN pg b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pair AS (
+  SELECT x.lang, x.source, 'pair' AS part, y.source AS item, CAST(coalesce(ps.s, 0) AS BIGINT) AS value
+  FROM grp x JOIN grp y ON x.lang = y.lang AND x.source <> y.source
+  LEFT JOIN ps ON ps.lang = x.lang AND ps.g = x.source AND ps.h = y.source),
+term AS (
+  SELECT pg.lang, pg.source, 'term' AS part, pg.term AS item, CAST((p - q) * (p - q) // (p + q) AS BIGINT) AS value
+  FROM pg JOIN pl ON pg.lang = pl.lang AND pg.term = pl.term WHERE pg.c > 0 AND p > q),
+every AS (SELECT * FROM pair UNION ALL SELECT * FROM term),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM every)
+SELECT lang, source, part, item, value, CAST(rank AS INTEGER) AS rank FROM ranked WHERE part = 'pair' OR rank <= 10
+"""
