@@ -1,121 +1,167 @@
-"""Exact order statistics of several columns without ordering the table.
-
-A value is mapped to a 64-bit integer that orders exactly as the values do (``_order_key``): the number itself, the
-unscaled decimal, or the bits of a double. Four rounds fix that integer 16 bits at a time. A round counts rows
-per column and digit among the rows on the prefix found so far, and a running total over those counts, at most
-65,538 per column, tells which digit holds the wanted rank. After the last round the integer is known in
-full, so nothing is left to rank: one more scan counts what lies below and finds the next integer above, and the
-integers are turned back into values.
-
-A round shuffles short lists of counts, never rows; neither the number of distinct values nor where they lie matters.
-All columns share the rounds: five scans of the columns asked for, however many they are. The rounds are one lazy
-plan: the prefixes of a round are a scalar subquery of the next.
+"""Exact order statistics of several columns by a sketch bracket.
+
+1. One scan builds a mergeable quantile sketch of every column (``percentile_approx``, whose rank error is at most
+   ``n / ACCURACY``) and counts its values. The sketch names a bracket ``[lo, hi]`` around the middle ranks.
+2. One scan counts, exactly and in each column's own type, the values below the bracket and inside it, and estimates
+   how many distinct values lie inside. If the middle ranks are not inside (a bracket cast through a double can miss
+   by a value), the bracket is opened on that side; if more than ``BRACKET_VALUES`` distinct values lie inside, a new
+   sketch of the bracket's rows, eight times finer each time, narrows it. Each such round is one more scan of the same
+   kind.
+3. The values inside the bracket are counted per distinct value (map-side first, so a value held by a third of the
+   rows is one row per task) and ranked by a running sum per column; the values at the two middle ranks are read off
+   and returned as one row of literals.
+
+Three scans in the usual case, for all columns together. Nothing but a few values per column reaches the driver, and
+no task holds more than the bracket's distinct values of a column. Decimals of any precision are compared exactly.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-BITS = 16
-DIGIT = 1 << BITS
-ROUNDS = 4
-_MANTISSA = 1 << 52
-
-
-def _double_key(x: str) -> str:
-    """The bits of a double as a signed integer; negative values count down from zero."""
-    # The exponent, put right where the logarithm is rounded across a power of two.
-    guess = f"CAST(floor(log2(abs({x}))) AS INT)"
-    tuned = f"""transform(array({guess}), e -> CASE WHEN abs({x}) < pow(2D, e) THEN e - 1
-                WHEN e < 1023 AND abs({x}) >= pow(2D, e + 1) THEN e + 1 ELSE e END)[0]"""
-    normal = f"""transform(array({tuned}), e -> CAST(e + 1023 AS BIGINT) * {_MANTISSA}L
-                 + CAST((abs({x}) / pow(2D, e) - 1D) * {_MANTISSA}D AS BIGINT))[0]"""
-    small = f"CAST(abs({x}) / {2.0**-1074!r}D AS BIGINT)"
-    bits = f"""CASE WHEN {x} = 0D THEN 0L WHEN abs({x}) > {1.7976931348623157e308!r}D THEN {2047 * _MANTISSA}L
-               WHEN abs({x}) < {2.0**-1022!r}D THEN {small} ELSE {normal} END"""
-    return f"(CASE WHEN {x} < 0D THEN -1L ELSE 1L END) * ({bits})"
-
-
-def _double_value(k: str) -> str:
-    high, low = f"CAST(abs({k}) DIV {_MANTISSA}L AS INT)", f"CAST(abs({k}) % {_MANTISSA}L AS DOUBLE)"
-    size = f"""CASE WHEN {high} = 2047 THEN double('Infinity') WHEN {high} = 0 THEN {low} * {2.0**-1074!r}D
-               ELSE (1D + {low} / {_MANTISSA}D) * pow(2D, {high} - 1023) END"""
-    return f"(CASE WHEN {k} < 0 THEN -1D ELSE 1D END) * ({size})"
-
-
-def _is_exact(kind: T.DataType) -> bool:
-    return isinstance(kind, T.DecimalType) and kind.precision <= 18
-
-
-def _order_key(col: str, kind: T.DataType) -> str:
-    if isinstance(kind, T.IntegralType):
-        return f"CAST({col} AS BIGINT)"
-    if _is_exact(kind):
-        return f"CAST(CAST({col} AS DECIMAL(38,{kind.scale})) * {10**kind.scale} AS BIGINT)"
-    return _double_key(f"CAST({col} AS DOUBLE)")
-
-
-def _value(k: str, kind: T.DataType) -> str:
-    if isinstance(kind, T.IntegralType):
-        return f"CAST({k} AS {kind.simpleString()})"
-    if _is_exact(kind):
-        return f"CAST(CAST({k} AS DECIMAL(38,{kind.scale})) / {10**kind.scale} AS {kind.simpleString()})"
-    return f"CAST({_double_value(k)} AS {kind.simpleString()})"
-
-
-def _keyed(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """A row ``(c, k)`` for every value that counts: column number and key."""
-    pairs = []
-    for c, name in enumerate(cols):
-        kind = df.schema[name].dataType
-        missing = f"`{name}` IS NULL"
-        if isinstance(kind, (T.FloatType, T.DoubleType)):
-            missing += f" OR isnan(`{name}`)"
-        pairs.append(f"struct({c} AS c, CASE WHEN NOT ({missing}) THEN {_order_key(f'`{name}`', kind)} END AS k)")
-    return df.selectExpr(f"inline(array({', '.join(pairs)}))").filter("k IS NOT NULL")
-
-
-def _prefixes(rounds: int) -> str:
-    """A query for a map from column to the first digits of the lower middle key."""
-    head = digit = f"shiftright(k, {BITS * (ROUNDS - rounds)})"
-    if rounds > 1:
-        # Rows outside the prefix fall into one digit below or above the range.
-        within = f"shiftright(k, {BITS * (ROUNDS - rounds + 1)}) - prefix"
-        digit = f"CASE WHEN {within} < 0 THEN -1L WHEN {within} > 0 THEN {DIGIT}L ELSE {head} - prefix * {DIGIT}L END"
-    prefix = f"element_at(({_prefixes(rounds - 1)}), c)" if rounds > 1 else "0L"
-    counts = f"""SELECT c, {digit} AS digit, count(*) AS n, min({head}) AS head
-                 FROM (SELECT c, k, {prefix} AS prefix FROM {{keyed}}) GROUP BY c, {digit}"""
-    ranked = f"""SELECT *, sum(n) OVER (PARTITION BY c ORDER BY digit ROWS UNBOUNDED PRECEDING) AS upto,
-                        sum(n) OVER (PARTITION BY c) AS total FROM ({counts})"""
-    found = f"SELECT c, min(CASE WHEN upto >= floor((total + 1) / 2) THEN head END) AS head FROM ({ranked}) GROUP BY c"
-    return f"SELECT map_from_entries(collect_list(struct(c, head))) FROM ({found})"
+ACCURACY = 10_000
+BRACKET_VALUES = 1_000_000
+_ROUNDS = 16
+
+
+def _usable(df: DataFrame, name: str) -> Column:
+    """The column's value where it counts: NULL and NaN do not."""
+    col = F.col(f"`{name}`")
+    if isinstance(df.schema[name].dataType, (T.FloatType, T.DoubleType)):
+        return F.when(~F.isnan(col), col)
+    return col
+
+
+def _inside(col: Column, lo, hi, kind: T.DataType) -> Column:
+    cond = col.isNotNull()
+    if lo is not None:
+        cond = cond & (col >= F.lit(lo).cast(kind))
+    if hi is not None:
+        cond = cond & (col <= F.lit(hi).cast(kind))
+    return cond
+
+
+def _below(col: Column, lo, kind: T.DataType) -> Column:
+    return col < F.lit(lo).cast(kind) if lo is not None else F.lit(False)
+
+
+def _sketch(df: DataFrame, values: list[Column], where: list[Column], spots: list[tuple[float, float]], accuracy: int) -> list:
+    """Values at two relative ranks of each column's rows that satisfy ``where``."""
+    exprs = [
+        F.percentile_approx(F.when(w, v), [max(a, 0.0), min(b, 1.0)], accuracy).alias(f"s{i}")
+        for i, (v, w, (a, b)) in enumerate(zip(values, where, spots))
+    ]
+    row = df.agg(*exprs).first()
+    return [row[f"s{i}"] for i in range(len(values))]
 
 
 def middle_values(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """One row with ``lower_<i>`` and ``upper_<i>`` of the i-th column: the values at ranks ``floor((n+1)/2)`` and
-    ``floor((n+2)/2)``.
-
-    NULL (and NaN) do not count; both are NULL when nothing is left. A decimal of more than 18 digits is ranked as
-    a double.
+    ``floor((n+2)/2)``. NULL (and NaN) do not count; both are NULL when nothing is left.
     """
-    per_column = f"""SELECT c, max(key) AS lower, count_if(k <= key) AS upto, count(*) AS total,
-                            min(CASE WHEN k > key THEN k END) AS above
-                     FROM (SELECT c, k, element_at(({_prefixes(ROUNDS)}), c) AS key FROM {{keyed}}) GROUP BY c"""
-    upper = "CASE WHEN upto >= floor((total + 2) / 2) THEN lower ELSE above END"
-    columns = []
-    for c, name in enumerate(cols):
-        kind = df.schema[name].dataType
-        for rank, key in (("lower", "lower"), ("upper", upper)):
-            found = f"max(CASE WHEN c = {c} THEN {key} END)"
-            columns.append(f"{found} AS {rank}_{c}")
-    keys = df.sparkSession.sql(f"SELECT {', '.join(columns)} FROM ({per_column})", keyed=_keyed(df, cols))
-    return keys.selectExpr(
-        *[
-            f"{_value(f'{rank}_{c}', df.schema[name].dataType)} AS {rank}_{c}"
-            for c, name in enumerate(cols)
-            for rank in ("lower", "upper")
-        ]
+    kinds = [df.schema[c].dataType for c in cols]
+    values = [_usable(df, c) for c in cols]
+    accuracy = ACCURACY
+    step = 2.0 / accuracy
+    first = df.agg(
+        *[F.count(v).alias(f"n{i}") for i, v in enumerate(values)],
+        *[F.percentile_approx(v, [max(0.5 - step, 0.0), min(0.5 + step, 1.0)], accuracy).alias(f"s{i}") for i, v in enumerate(values)],
+    ).first()
+    n = [first[f"n{i}"] for i in range(len(cols))]
+    bounds = [tuple(first[f"s{i}"]) if first[f"s{i}"] else (None, None) for i in range(len(cols))]
+    want = [((m + 1) // 2, (m + 2) // 2) for m in n]
+    for _ in range(_ROUNDS):
+        checks = []
+        for i, (v, (lo, hi), kind) in enumerate(zip(values, bounds, kinds)):
+            inside = _inside(v, lo, hi, kind)
+            checks += [
+                F.count_if(_below(v, lo, kind)).alias(f"b{i}"),
+                F.count_if(inside).alias(f"c{i}"),
+                F.approx_count_distinct(F.when(inside, v)).alias(f"d{i}"),
+            ]
+        row = df.agg(*checks).first()
+        settled, spots = True, []
+        for i, (lo, hi) in enumerate(bounds):
+            below, inside, distinct = row[f"b{i}"], row[f"c{i}"], row[f"d{i}"]
+            r1, r2 = want[i]
+            if n[i] == 0:
+                spots.append((0.0, 1.0))
+            elif below >= r1:
+                bounds[i], settled = (None, lo), False
+                spots.append((0.0, 1.0))
+            elif below + inside < r2:
+                bounds[i], settled = (hi, None), False
+                spots.append((0.0, 1.0))
+            elif distinct > max(BRACKET_VALUES, 2):
+                settled = False
+                # Half a row inside each wanted rank, so that an exact sketch lands on it.
+                spots.append(((r1 - below - 0.5) / inside - step, (r2 - below - 0.5) / inside + step))
+            else:
+                spots.append(None)
+        if settled:
+            break
+        wide = [i for i, s in enumerate(spots) if s is not None and s != (0.0, 1.0)]
+        if wide:
+            # Each narrowing sketch is finer than the last, so the bracket shrinks even where a sketch repeats itself.
+            accuracy = min(accuracy * 8, (1 << 31) - 1)
+            step = 2.0 / accuracy
+            found = _sketch(
+                df,
+                [values[i] for i in wide],
+                [_inside(values[i], *bounds[i], kinds[i]) for i in wide],
+                [spots[i] for i in wide],
+                accuracy,
+            )
+            for i, s in zip(wide, found):
+                if s:
+                    bounds[i] = (s[0], s[1])
+    else:
+        raise RuntimeError("the median bracket did not settle")
+    below = [row[f"b{i}"] for i in range(len(cols))]
+    return _ranked(df, values, kinds, bounds, below, want)
+
+
+def _ranked(df: DataFrame, values, kinds, bounds, below, want) -> DataFrame:
+    """The values at the wanted ranks, by a running sum over the distinct values inside each bracket.
+
+    One scan for all columns: a row of column ``c`` holds its value in ``x<c>`` and NULL in the others.
+    """
+    k = len(values)
+    if not k:
+        return df.sparkSession.range(1).select()
+    tagged = F.inline(
+        F.array(
+            *[
+                F.struct(
+                    F.lit(i).alias("c"),
+                    F.when(_inside(v, *bounds[i], kinds[i]), F.lit(True)).alias("keep"),
+                    *[(v if j == i else F.lit(None).cast(kinds[j])).alias(f"x{j}") for j in range(k)],
+                )
+                for i, v in enumerate(values)
+            ]
+        )
+    )
+    xs = [f"x{j}" for j in range(k)]
+    counted = df.select(tagged).filter("keep").groupBy("c", *xs).agg(F.count("*").alias("m"))
+    # One window per column over at most BRACKET_VALUES distinct values.
+    order = Window.partitionBy("c").orderBy(*xs).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    start = F.element_at(F.array(*[F.lit(b) for b in below]), F.col("c") + 1)
+    r1 = F.element_at(F.array(*[F.lit(w[0]) for w in want]), F.col("c") + 1)
+    r2 = F.element_at(F.array(*[F.lit(w[1]) for w in want]), F.col("c") + 1)
+    ranked = counted.withColumn("upto", F.sum("m").over(order) + start)
+    picked = ranked.groupBy("c").agg(
+        F.min_by(F.struct(*xs), F.when(F.col("upto") >= r1, F.col("upto"))).alias("lower"),
+        F.min_by(F.struct(*xs), F.when(F.col("upto") >= r2, F.col("upto"))).alias("upper"),
     )
+    found = {r["c"]: r for r in picked.collect()}
+    cells = []
+    for i, kind in enumerate(kinds):
+        r = found.get(i)
+        for rank in ("lower", "upper"):
+            value = r[rank][f"x{i}"] if r is not None and r[rank] is not None else None
+            cells.append(F.lit(value).cast(kind).alias(f"{rank}_{i}"))
+    return df.sparkSession.range(1).select(*cells)
