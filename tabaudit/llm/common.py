@@ -41,6 +41,21 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, LETTERS, LETTERS.lower())
 
 
+def split_lower(text: Column, delimiters: str, mark: str = " ") -> Column:
+    """The runs of ``text`` between characters of ``delimiters``, lower-cased in A-Z; empty runs are dropped.
+
+    One translate maps A-Z to a-z and every delimiter to ``mark``, and the text is split at that single character:
+    several times faster than a regular expression over the same classes, with the same words.
+    """
+    mapped = F.translate(text, LETTERS + delimiters, LETTERS.lower() + mark * len(delimiters))
+    return F.array_remove(F.split(mapped, mark), "")
+
+
+def ascii_ranges(*ranges: tuple[int, int]) -> str:
+    """The characters of the given inclusive code point ranges."""
+    return "".join(chr(c) for lo, hi in ranges for c in range(lo, hi + 1))
+
+
 def whole_text(docs: DataFrame, column: str = "text") -> Column:
     """The text of a document; null counts as empty."""
     return F.coalesce(docs[column].cast("string"), F.lit(""))

@@ -33,11 +33,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabaudit.llm.common import ascii_lower, stored, whole_text
+from tabaudit.llm.common import ascii_ranges, split_lower, stored, whole_text
 
 # Fixed values of the contract: the word pattern and the size of a window.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 10
+# The characters between words: the complement of WORD's class within ASCII.
+_BETWEEN = ascii_ranges((0x00, 0x2F), (0x3A, 0x60), (0x7B, 0x7F))
 
 # Salts of the candidate join: a prefix word held by a third of all words is split in this many tasks.
 SALTS = 16
@@ -47,7 +49,7 @@ BROADCAST_BYTES = 64 << 20
 
 def words_of(text: Column) -> Column:
     """The words of a text after lower-casing A-Z; a null text has none."""
-    return F.regexp_extract_all(ascii_lower(F.coalesce(text.cast("string"), F.lit(""))), F.lit(WORD), 0)
+    return split_lower(F.coalesce(text.cast("string"), F.lit("")), _BETWEEN)
 
 
 def windows(benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
