@@ -42,6 +42,7 @@ from tabaudit.llm.common import ascii_lower, whole_text
 # Fixed values of the contract.
 PIECE = r"[.,;:!?\x0A-\x0D]"
 WORD = r"[^\x20\x09]+"
+_ENDS = ".,;:!?\x0b\x0c\x0d"
 DEPTH = 4
 MIN_COUNT = 30
 SCALE = 2_000_000
@@ -56,7 +57,9 @@ BROADCAST_ROWS = 4_000_000
 
 def _pieces(docs: DataFrame) -> DataFrame:
     """lang and ps: the words of every piece of every text."""
-    pieces = F.transform(F.split(ascii_lower(whole_text(docs)), PIECE), lambda p: F.regexp_extract_all(p, F.lit(WORD), 0))
+    # Piece ends become line feeds and tabs spaces, so that both splits are at one character, without a pattern.
+    marked = F.translate(ascii_lower(whole_text(docs)), _ENDS, "\n" * len(_ENDS))
+    pieces = F.transform(F.split(marked, "\n"), lambda p: F.array_remove(F.split(F.translate(p, "\t", " "), " "), ""))
     return docs.select(F.coalesce(docs["lang"].cast("string"), F.lit("und")).alias("lang"), pieces.alias("ps"))
 
 
