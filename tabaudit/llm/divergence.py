@@ -32,10 +32,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tabaudit.llm.common import ascii_lower, stored
+from tabaudit.llm.common import ascii_ranges, split_lower, stored
 
 # Fixed values of the contract.
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+_BETWEEN = ascii_ranges((0x00, 0x40), (0x5B, 0x60), (0x7B, 0x7F))
 MIN_DF = 10
 SCALE = 1_000_000_000
 TOP_TERMS = 10
@@ -52,20 +53,22 @@ def _blank(column: Column) -> Column:
 
 def document_vectors(docs: DataFrame) -> DataFrame:
     """lang, source, term, cnt: one row per term of each document, with its count there."""
-    terms = F.array_sort(F.regexp_extract_all(ascii_lower(_blank(docs["text"])), F.lit(TERM), 0))
+    terms = F.array_sort(split_lower(_blank(docs["text"]), _BETWEEN))
     rows = docs.select(_blank(docs["lang"]).alias("lang"), _blank(docs["source"]).alias("source"), terms.alias("t"))
     n = F.size("t")
     starts = F.filter(
         F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>")),
         lambda i: (i == 0) | (F.get(F.col("t"), i) != F.get(F.col("t"), i - 1)),
     )
+    # The starts are a column of their own: an expression in the lambda would be evaluated again for every element.
+    runs = rows.select("lang", "source", "t", starts.alias("s"))
     entries = F.transform(
-        starts,
+        "s",
         lambda j, k: F.struct(
-            F.get(F.col("t"), j).alias("term"), (F.coalesce(F.get(starts, k + 1), n) - j).cast("long").alias("cnt")
+            F.get(F.col("t"), j).alias("term"), (F.coalesce(F.get(F.col("s"), k + 1), n) - j).cast("long").alias("cnt")
         ),
     )
-    return rows.select("lang", "source", F.inline(entries))
+    return runs.select("lang", "source", F.inline(entries))
 
 
 def _p(count: str, total: str, v: str) -> Column:
