@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tabaudit.llm.common import ascii_lower, whole_text
+from tabaudit.llm.common import ascii_lower, stored, whole_text
 
 # Fixed values of the contract.
 PIECE = r"[.,;:!?\x0A-\x0D]"
@@ -81,6 +81,8 @@ def words_and_pairs(pieces: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.transform(F.flatten(pairs), lambda h: F.struct(F.lit(None).cast("string").alias("word"), h.alias("h"))),
     )
     counted = pieces.select("lang", F.inline(units)).groupBy("lang", "word", "h").agg(F.count("*").alias("f"))
+    # Written once: the words and the frequent pairs feed both the size check and the later joins.
+    counted = stored(counted.filter(F.col("h").isNull() | (F.col("f") >= MIN_COUNT)), "collocation-counts")
     words = counted.filter(F.col("h").isNull()).select("lang", "word", "f")
     frequent = counted.filter(F.col("word").isNull() & (F.col("f") >= MIN_COUNT)).select("lang", "h")
     return words, frequent
