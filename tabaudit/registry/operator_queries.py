@@ -1039,9 +1039,10 @@ _WIDE_BANDS = (
     "share_distribution_ordered",
     f"""WITH d AS ({duck(deliveries)}),
         v AS (SELECT date_diff('day', CAST(promised AS DATE), CAST(actual AS DATE)) AS v FROM d
-              WHERE actual IS NOT NULL)
+              WHERE actual IS NOT NULL AND promised IS NOT NULL)
         SELECT CASE WHEN v <= -1001 THEN 'Early by more than 1000 days' WHEN v <= -1 THEN 'Early'
-                    WHEN v = 0 THEN 'On time' WHEN v <= 1000 THEN 'Late' ELSE 'Late by more than 1000 days' END AS band,
+                    WHEN v = 0 THEN 'On time' WHEN v <= 1000 THEN 'Late' WHEN v >= 1001 THEN 'Late by more than 1000 days'
+               END AS band,
                count(*) AS volume, count(*) * 100.0::DOUBLE / (SELECT count(*) FROM v) AS share
         FROM v GROUP BY 1""",
 )
