@@ -18,6 +18,7 @@ from tabaudit.registry.core import TABLES, Given, duck, query
 from tabaudit.registry.shared import mean_sql, plain, rate_sql, shared_path
 from tabaudit.registry.standins import aged_orders, deliveries, gappy_events
 from tabaudit.sources import (
+    bucket_count,
     check_contract,
     materialize,
     materialize_temporary,
@@ -117,6 +118,27 @@ def _materialize(t: Given) -> DataFrame:
     return materialize(volumes, shared_path(t.spark, "supplier-volume"))
 
 
+@query(
+    "bucketed_join",
+    """SELECT o_orderstatus, count(*) AS items, sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS revenue
+       FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY o_orderstatus""",
+)
+def _bucketed_join(t: Given) -> DataFrame:
+    # Both sides are stored once, bucketed alike on the order key; the join then reads bucket i of each in task i.
+    count = max(bucket_count(t.lineitem), bucket_count(t.orders))
+    items = materialize(
+        t.lineitem.select("l_orderkey", "l_extendedprice"), "tabaudit_items_by_order", buckets=(count, ["l_orderkey"]),
+        location=shared_path(t.spark, "items-by-order"),
+    )
+    orders = materialize(
+        t.orders.select("o_orderkey", "o_orderstatus"), "tabaudit_orders_by_key", buckets=(count, ["o_orderkey"]),
+        location=shared_path(t.spark, "orders-by-key"),
+    )
+    joined = items.join(orders, items["l_orderkey"] == orders["o_orderkey"])
+    revenue = F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).alias("revenue")
+    return joined.groupBy("o_orderstatus").agg(F.count("*").alias("items"), revenue)
+
+
 @query("materialize_temporary", "SELECT l_returnflag, count(*) AS items FROM lineitem GROUP BY l_returnflag")
 def _materialize_temporary(t: Given) -> DataFrame:
     volumes = t.lineitem.groupBy("l_returnflag").agg(F.count("*").alias("items"))

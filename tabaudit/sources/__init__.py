@@ -2,10 +2,11 @@
 
 from tabaudit.sources.contracts import Contract, check_contract
 from tabaudit.sources.readers import preview, read_csv_typed, read_parquet_tables, select_scope
-from tabaudit.sources.storage import materialize, materialize_temporary, read_current, replace_table
+from tabaudit.sources.storage import bucket_count, materialize, materialize_temporary, read_current, replace_table
 
 __all__ = [
     "Contract",
+    "bucket_count",
     "check_contract",
     "materialize",
     "materialize_temporary",

@@ -13,22 +13,48 @@ _VERSION = re.compile(r"^version=(\d+)$")
 
 
 def materialize(
-    df: DataFrame, target: str, partition_by: Sequence[str] | None = None, as_table: bool = False
+    df: DataFrame,
+    target: str,
+    partition_by: Sequence[str] | None = None,
+    as_table: bool = False,
+    buckets: tuple[int, Sequence[str]] | None = None,
+    location: str | None = None,
 ) -> DataFrame:
     """Write ``df`` as parquet to a path, or as a catalog table, and read it back.
 
-    The target is overwritten, so it must not be a table that ``df`` reads; ``replace_table`` is for that.
+    ``buckets=(n, keys)`` stores the rows hashed on ``keys`` into ``n`` buckets, each sorted on the keys, as a catalog
+    table (bucketing lives in the catalog). Two tables bucketed alike on their join keys join later without an
+    exchange of either side. ``location`` puts a catalog table's files in a folder of one's own (a fresh one in the
+    shared folder on a cluster); a table of that name is dropped first. The target is overwritten, so it must not be
+    a table that ``df`` reads; ``replace_table`` is for that.
     """
     writer = df.write.mode("overwrite").format("parquet")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
+    if buckets:
+        count, keys = buckets
+        writer = writer.bucketBy(count, *keys).sortBy(*keys)
+        as_table = True
     if as_table:
+        if location:
+            df.sparkSession.sql(f"DROP TABLE IF EXISTS {target}")
+            writer = writer.option("path", location)
         writer.saveAsTable(target)
         return df.sparkSession.table(target)
     writer.save(target)
     return df.sparkSession.read.parquet(target)
 
 
+def bucket_count(df: DataFrame, bytes_per_bucket: int = 128 << 20) -> int:
+    """Buckets that hold about ``bytes_per_bucket`` of ``df``'s input files each."""
+    spark = df.sparkSession
+    total = 0
+    for path in df.inputFiles():
+        fs, where = _filesystem(spark, path)
+        total += fs.getFileStatus(where).getLen()
+    return max(1, -(-total // bytes_per_bucket))
+
+
 def materialize_temporary(df: DataFrame, view: str) -> DataFrame:
     """Compute ``df`` once for this session and name it. It lives in the shared checkpoint folder, so
     losing executors does not lose it."""
