@@ -97,18 +97,63 @@ def read_current(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(_version_path(path, found[-1]))
 
 
-def replace_table(df: DataFrame, path: str, partition_by: Sequence[str] | None = None) -> DataFrame:
+KEEP_VERSIONS = 3
+
+
+def _claimed(spark: SparkSession, path: str) -> list[int]:
+    fs, where = _filesystem(spark, f"{path.rstrip('/')}/_claims")
+    if not fs.exists(where):
+        return []
+    return sorted(int(s.getPath().getName()) for s in fs.listStatus(where) if s.getPath().getName().isdigit())
+
+
+def _claim(spark: SparkSession, path: str) -> int:
+    """The next version number, taken by an atomic create of its claim: of two writers, one gets it, the other
+    tries the number after."""
+    while True:
+        number = max([0, *versions(spark, path, complete_only=False), *_claimed(spark, path)]) + 1
+        fs, marker = _filesystem(spark, f"{path.rstrip('/')}/_claims/{number:06d}")
+        try:
+            fs.create(marker, False).close()
+            return number
+        except Exception as error:  # noqa: BLE001 - Hadoop reports a taken name as FileAlreadyExistsException
+            if "FileAlreadyExists" not in str(error) and not fs.exists(marker):
+                raise
+
+
+def _retain(spark: SparkSession, path: str, keep: int) -> None:
+    """Remove versions older than the ``keep`` newest committed ones, finished or left half-written."""
+    committed = versions(spark, path)
+    if len(committed) <= keep:
+        return
+    oldest_kept = committed[-keep]
+    for number in versions(spark, path, complete_only=False):
+        if number < oldest_kept:
+            fs, folder = _filesystem(spark, _version_path(path, number))
+            fs.delete(folder, True)
+    for number in _claimed(spark, path):
+        if number < oldest_kept:
+            fs, marker = _filesystem(spark, f"{path.rstrip('/')}/_claims/{number:06d}")
+            fs.delete(marker, False)
+
+
+def replace_table(
+    df: DataFrame, path: str, partition_by: Sequence[str] | None = None, keep: int = KEEP_VERSIONS
+) -> DataFrame:
     """Make ``df`` the content of the table at ``path``.
 
-    ``df`` may read that very table: nothing is overwritten. A new version folder is written next to the
-    old ones, and readers switch to it when the commit marker appears. A job that dies half-way leaves
-    the table as it was.
+    ``df`` may read that very table: nothing is overwritten. The writer claims a new version number by an atomic
+    create (two writers at once get two numbers), writes that version folder next to the old ones, and readers
+    switch to it when its commit marker appears. A job that dies half-way leaves the table as it was. After the
+    commit, versions older than the ``keep`` newest committed ones are removed, also half-written ones of writers
+    that died; a reader of such an old version must finish before ``keep`` newer versions are committed.
     """
     spark = df.sparkSession
-    taken = versions(spark, path, complete_only=False)
-    target = _version_path(path, taken[-1] + 1 if taken else 1)
+    target = _version_path(path, _claim(spark, path))
     writer = df.write.mode("errorifexists")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(target)
-    return read_current(spark, path)
+    current = read_current(spark, path)
+    _retain(spark, path, keep)
+    return current

@@ -140,3 +140,27 @@ def test_preview_is_ordered(spark):
     assert rows(sources.preview(df, ["k"], 2, ["id"])) == [("a",), ("b",)]
     assert rows(sources.preview(df, ["k"], 2, ["id"], F.col("id") > 1)) == [("b",), ("c",)]
     assert sources.select_scope(df, ["k"]).columns == ["k"]
+
+
+def test_two_writers_at_once_leave_two_whole_versions(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    path = str(tmp_path / "race")
+    frames = [spark.range(n).toDF("id") for n in (100, 200)]
+    with ThreadPoolExecutor(2) as pool:
+        list(pool.map(lambda df: sources.replace_table(df, path), frames))
+    assert versions(spark, path) == [1, 2]
+    counts = sorted(spark.read.parquet(f"{path}/version={n:06d}").count() for n in (1, 2))
+    assert counts == [100, 200]
+
+
+def test_old_and_half_written_versions_go(spark, tmp_path):
+    path = tmp_path / "kept"
+    for n in range(1, 3):
+        sources.replace_table(spark.range(n).toDF("id"), str(path), keep=2)
+    (path / "version=000003").mkdir()
+    (path / "version=000003" / "part-00000.parquet").write_bytes(b"half")
+    for n in range(4, 7):
+        sources.replace_table(spark.range(n).toDF("id"), str(path), keep=2)
+    assert versions(spark, str(path), complete_only=False) == [5, 6]
+    assert sources.read_current(spark, str(path)).count() == 6
