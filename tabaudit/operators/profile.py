@@ -7,11 +7,13 @@ side, so only one small row per task is shuffled, whatever the size or skew of t
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import uuid
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tabaudit.functions.columns import mean
 
@@ -159,6 +161,27 @@ def change_audit(before: DataFrame, after: DataFrame, predicates: Mapping[str, C
     return stages[0].unionByName(stages[1])
 
 
+def audited_write(
+    before: DataFrame, correct: Callable[[DataFrame], DataFrame], path: str, predicates: Mapping[str, Column]
+) -> tuple[DataFrame, DataFrame]:
+    """Write ``correct(before)`` as parquet to ``path`` and count ``predicates`` before and after on the way.
+
+    Both sets of counts are observed metrics of the write job itself: the input is read once, by the write, and no
+    further pass counts anything. Returns the written table, read back, and the two audit rows of ``change_audit``.
+    """
+    spark = before.sparkSession
+    seen = {stage: Observation(f"audit-{stage}-{uuid.uuid4().hex}") for stage in ("before", "after")}
+
+    counts = [F.count_if(F.coalesce(p, F.lit(False))).alias(name) for name, p in predicates.items()]
+    watched = before.observe(seen["before"], *counts)
+    correct(watched).observe(seen["after"], *counts).write.parquet(path)
+    rows = [(stage, *[seen[stage].get[name] for name in predicates]) for stage in ("before", "after")]
+    schema = T.StructType(
+        [T.StructField("stage", T.StringType())] + [T.StructField(name, T.LongType()) for name in predicates]
+    )
+    return spark.read.parquet(path), spark.createDataFrame(rows, schema)
+
+
 # --- value sets and distributions ----------------------------------------------------------------
 
 

@@ -414,6 +414,26 @@ def _change_audit(t: Given) -> DataFrame:
     return profile.change_audit(t.orders, _with_gap(t), predicates)
 
 
+@query(
+    "change_audit_while_writing",
+    """SELECT 'before' AS stage, count(*) FILTER (WHERE o_orderpriority = '4-NOT SPECIFIED') AS sentinels,
+              CAST(0 AS BIGINT) AS nulls FROM orders
+       UNION ALL
+       SELECT 'after', 0, count(*) FILTER (WHERE o_orderpriority = '4-NOT SPECIFIED') FROM orders""",
+)
+def _change_audit_while_writing(t: Given) -> DataFrame:
+    predicates = {
+        "sentinels": F.col("o_orderpriority") == NOT_SPECIFIED,
+        "nulls": F.col("o_orderpriority").isNull(),
+    }
+
+    def correct(df: DataFrame) -> DataFrame:
+        return clean.sentinel_to_null(df, {"o_orderpriority": [NOT_SPECIFIED]})
+
+    _, audit = profile.audited_write(t.orders, correct, shared_path(t.spark, "orders-corrected"), predicates)
+    return audit
+
+
 @query(
     "reconcile_total",
     """WITH c AS (SELECT o_custkey, sum(CAST(o_totalprice AS DECIMAL(18,2))) AS s FROM orders GROUP BY o_custkey),

@@ -100,3 +100,18 @@ def test_missing_after_join_equals_the_plain_join(spark):
     right = spark.createDataFrame([(1,), (1,), (2,)], "k int")
     plain = left.join(right, "k").filter("v IS NULL").count()
     assert one(integrity.missing_after_join(left, right, "k", "v")) == {"missing_rows": plain} == {"missing_rows": 3}
+
+
+def test_audited_write_counts_what_the_two_pass_audit_counts(spark, tmp_path):
+    from tabaudit.operators import profile as P
+
+    df = spark.createDataFrame([(1, "x"), (2, "n/a"), (3, None), (4, "n/a")], "id int, s string")
+    predicates = {"marked": F.col("s") == "n/a", "missing": F.col("s").isNull()}
+
+    def correct(frame):
+        return frame.withColumn("s", F.nullif("s", F.lit("n/a")))
+
+    written, audit = P.audited_write(df, correct, str(tmp_path / "w"), predicates)
+    expected = P.change_audit(df, correct(df), predicates)
+    assert sorted(map(tuple, audit.collect())) == sorted(map(tuple, expected.collect()))
+    assert sorted(map(tuple, written.collect())) == [(1, "x"), (2, None), (3, None), (4, None)]
