@@ -4,7 +4,8 @@ Texts are lower-cased in A-Z, cut into pieces at ``.,;:!?`` and line breaks, and
 tabs. Every word occurrence starts a suffix of its piece; the first ``DEPTH`` words of a suffix are all a phrase of up
 to ``DEPTH`` words needs. Per language (null: ``und``):
 
-1. *Words and pairs.* One aggregate counts every word exactly and every pair of neighbouring words by a 64-bit hash.
+1. *Words and pairs.* One aggregate counts every word exactly, another every pair of neighbouring words by a 64-bit
+   hash of language and words (rows of two numbers).
    A phrase of two words or more that occurs ``MIN_COUNT`` times has all its pairs as frequent, so:
 2. *Suffix pointers.* One row per word occurrence whose pair with the next word is frequent holds the first four words
    of its suffix, cut before the first pair that is not frequent (null past the cut or the end of the piece). Equal
@@ -63,28 +64,32 @@ def _pieces(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(docs["lang"].cast("string"), F.lit("und")).alias("lang"), pieces.alias("ps"))
 
 
-def _pair(ws, i):
-    return F.xxhash64(F.get(ws, i), F.get(ws, i + 1))
+def _with_pairs(pieces: DataFrame) -> DataFrame:
+    """lang and ps: each piece as its words ``w`` and ``h``, the hash of (lang, word, next word) at each place
+    (at the last word, of (lang, word) alone; that one is never counted as a pair)."""
+    return pieces.select(
+        "lang",
+        F.transform(
+            "ps",
+            lambda ws: F.struct(
+                ws.alias("w"), F.transform(ws, lambda w, i: F.xxhash64(F.col("lang"), w, F.get(ws, i + 1))).alias("h")
+            ),
+        ).alias("ps"),
+    )
 
 
 def words_and_pairs(pieces: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(lang, word, f) of every word, and (lang, h) of the pair hashes that occur ``MIN_COUNT`` times or more.
+    """(lang, word, f) of every word, and (h) of the pair hashes that occur ``MIN_COUNT`` times or more.
 
-    Both come from one aggregate. Pairs are counted by a 64-bit hash of their two words: a hash that two pairs share
-    only counts more, so every frequent pair is among the frequent hashes.
+    Pairs are counted by a 64-bit hash of their language and two words, in an aggregate of their own whose rows are
+    two numbers: a hash that two pairs share only counts more, so every frequent pair is among the frequent hashes.
+    Both results are written once; they feed the size check and the later joins.
     """
-    pairs = F.transform(
-        "ps", lambda ws: F.filter(F.transform(ws, lambda w, i: F.when(i + 1 < F.size(ws), _pair(ws, i))), lambda h: h.isNotNull())
-    )
-    units = F.concat(
-        F.transform(F.flatten("ps"), lambda w: F.struct(w.alias("word"), F.lit(None).cast("long").alias("h"))),
-        F.transform(F.flatten(pairs), lambda h: F.struct(F.lit(None).cast("string").alias("word"), h.alias("h"))),
-    )
-    counted = pieces.select("lang", F.inline(units)).groupBy("lang", "word", "h").agg(F.count("*").alias("f"))
-    # Written once: the words and the frequent pairs feed both the size check and the later joins.
-    counted = stored(counted.filter(F.col("h").isNull() | (F.col("f") >= MIN_COUNT)), "collocation-counts")
-    words = counted.filter(F.col("h").isNull()).select("lang", "word", "f")
-    frequent = counted.filter(F.col("word").isNull() & (F.col("f") >= MIN_COUNT)).select("lang", "h")
+    words = pieces.select("lang", F.explode(F.flatten("ps")).alias("word")).groupBy("lang", "word")
+    words = stored(words.agg(F.count("*").alias("f")), "collocation-words")
+    hashes = F.flatten(F.transform("ps", lambda p: F.filter(p["h"], lambda h, i: i + 1 < F.size(p["w"]))))
+    pairs = _with_pairs(pieces).select(F.explode(hashes).alias("h")).groupBy("h").agg(F.count("*").alias("f"))
+    frequent = stored(pairs.filter(F.col("f") >= MIN_COUNT).select("h"), "collocation-pairs")
     return words, frequent
 
 
@@ -94,24 +99,25 @@ def suffixes(pieces: DataFrame, frequent: DataFrame, limit_rows: int = BROADCAST
     heads = F.flatten(
         F.transform(
             "ps",
-            lambda ws: F.transform(
-                ws,
+            lambda p: F.transform(
+                p["w"],
                 lambda w, i: F.struct(
-                    *(F.get(ws, i + k).alias(f"w{k + 1}") for k in range(DEPTH)),
-                    *(_pair(ws, i + k).alias(f"h{k}") for k in range(DEPTH - 1)),
+                    *(F.get(p["w"], i + k).alias(f"w{k + 1}") for k in range(DEPTH)),
+                    *(F.get(p["h"], i + k).alias(f"h{k}") for k in range(DEPTH - 1)),
                 ),
             ),
         )
     )
-    rows = pieces.select("lang", F.inline(heads)).filter(F.col("w2").isNotNull())
+    rows = _with_pairs(pieces).select("lang", F.inline(heads)).filter(F.col("w2").isNotNull())
     if frequent.count() <= limit_rows:
         frequent = F.broadcast(frequent)
-    rows = rows.join(frequent.withColumnRenamed("h", "h0"), ["lang", "h0"], "left_semi")
+    rows = rows.join(frequent.withColumnRenamed("h", "h0"), "h0", "left_semi")
     for k in range(1, DEPTH - 1):
-        rows = rows.join(frequent.select("lang", F.col("h").alias(f"h{k}"), F.lit(True).alias(f"k{k}")), ["lang", f"h{k}"], "left")
+        rows = rows.join(frequent.select(F.col("h").alias(f"h{k}"), F.lit(True).alias(f"k{k}")), f"h{k}", "left")
     go = F.lit(True)
     cut = [F.col("w1"), F.col("w2")]
     for k in range(1, DEPTH - 1):
+        # A pair past the end of the piece has no hash of its own word, so its word is null anyway.
         go = go & F.col(f"k{k}").isNotNull()
         cut.append(F.when(go, F.col(f"w{k + 2}")).alias(f"w{k + 2}"))
     return rows.select("lang", *cut).groupBy("lang", *(f"w{k + 1}" for k in range(DEPTH))).agg(F.count("*").alias("c"))
