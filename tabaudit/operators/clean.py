@@ -10,6 +10,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 from pyspark.sql import types as T
 
 from tabaudit.functions import columns as C
@@ -102,6 +103,22 @@ def dedupe_latest(df: DataFrame, key: str | Sequence[str], order: Sequence[str])
     return kept.select(*[c if c in keys else F.col("_newest").getField(c).alias(c) for c in df.columns])
 
 
+def dedupe_latest_limited(df: DataFrame, key: str | Sequence[str], order: Sequence[str]) -> DataFrame:
+    """One row per key: the greatest by ``order`` (all descending, NULL last), by a group limit.
+
+    A ranked window kept to its first row: Spark limits each task's rows of a key to one before the shuffle
+    (``WindowGroupLimit``), then once more after it, so a key with any number of rows sends one row per task and no
+    aggregate carries all columns in a struct. Ties fall to the remaining orderable columns in their order in the
+    frame, descending; columns without an order (maps) ride along and cannot break a tie, so among rows equal in
+    all other columns the kept one is any of them.
+    """
+    keys = [key] if isinstance(key, str) else list(key)
+    unordered = (T.MapType,)
+    rest = [c for c in df.columns if c not in keys and c not in order and not isinstance(df.schema[c].dataType, unordered)]
+    ranking = Window.partitionBy(*keys).orderBy(*[F.col(c).desc_nulls_last() for c in [*order, *rest]])
+    return df.withColumn("_rank", F.row_number().over(ranking)).filter(F.col("_rank") == 1).drop("_rank")
+
+
 def narrow_type(df: DataFrame, col: str, to: str | T.DataType) -> DataFrame:
     """Store a float- or decimal-coded whole number in a small type.
 

@@ -577,6 +577,21 @@ def _dedupe_latest(t: Given) -> DataFrame:
     )
 
 
+@query(
+    "dedupe_latest_limited",
+    f"""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax,
+               l_returnflag, l_linestatus, strftime(l_shipdate, '%Y-%m-%d') AS shipped
+        FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber
+              ORDER BY {", ".join(f"{c} DESC" for c in _LATEST + _REST)}) AS rn FROM lineitem) WHERE rn = 1""",
+)
+def _dedupe_latest_limited(t: Given) -> DataFrame:
+    kept = clean.dedupe_latest_limited(t.lineitem, ["l_orderkey", "l_linenumber"], _LATEST)
+    return kept.select(
+        *[c for c in kept.columns if c != "l_shipdate"],
+        F.substring(F.col("l_shipdate").cast("string"), 1, 10).alias("shipped"),
+    )
+
+
 @query(
     "exact_median_of_close_values",
     """WITH v AS (SELECT CAST(o_custkey AS DOUBLE) * 1e-13 AS tiny, o_orderkey AS k FROM orders),

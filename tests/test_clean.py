@@ -121,3 +121,14 @@ def test_narrowing(spark):
             clean.narrow_type(df.filter(f"x = {bad}"), "x", "tinyint").collect()
     fits = clean.narrow_type(df.filter("x = 1 OR x IS NULL"), "x", "tinyint")
     assert sorted(r[0] or 0 for r in fits.collect()) == [0, 1]
+
+
+def test_dedupe_latest_limited_keeps_the_newest_row_and_maps(spark):
+    from tabaudit.operators import clean as K
+
+    rows = [(1, 3, "a", {"x": 1}), (1, 5, "b", {"y": 2}), (1, None, "z", {}), (2, 1, "c", None)]
+    rows += [(3, i % 7, f"v{i}", {"i": i}) for i in range(500)]
+    df = spark.createDataFrame(rows, "k int, t int, s string, m map<string,int>").repartition(4)
+    got = {r.k: (r.t, r.s, r.m) for r in K.dedupe_latest_limited(df, "k", ["t"]).collect()}
+    assert got[1] == (5, "b", {"y": 2}) and got[2] == (1, "c", None)
+    assert got[3][0] == 6 and got[3][1] == max(f"v{i}" for i in range(500) if i % 7 == 6)
