@@ -69,19 +69,20 @@ def translate_lookup(
     overrides: Mapping[str, str] | None = None,
     lookup_key: str | None = None,
     spread_hot: bool = False,
+    rows_per_task: int | None = None,
 ) -> DataFrame:
     """Add a label by lookup; manual overrides win; no match leaves NULL.
 
     The lookup key must be unique (``duplicate_keys`` checks it). No broadcast is forced: Catalyst and AQE
     broadcast the lookup while its measured size is below the session's threshold. Beyond that it is a
     shuffled join of plain inputs, whose hot partitions AQE splits; ``spread_hot`` salts hot keys instead, for
-    sessions without AQE.
+    sessions without AQE: a key gets one salt per ``rows_per_task`` rows (``skew.ROWS_PER_TASK`` by default).
     """
     pairs = lookup.select(F.col(lookup_key or on).alias("_key"), F.col(value).alias("_label"))
     match = F.col(on) == F.col("_key")
     rows = df
     if spread_hot:
-        hot = skew.hot_buckets(df, on)
+        hot = skew.hot_buckets(df, on, rows_per_task)
         rows = skew.spread(df, on, df.columns, hot)
         pairs = skew.repeat(pairs, "_key", hot).withColumnRenamed(skew.SALT, "_key_salt")
         match &= F.col(skew.SALT) == F.col("_key_salt")

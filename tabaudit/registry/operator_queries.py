@@ -204,6 +204,17 @@ def _blank_audit(t: Given) -> DataFrame:
     return profile.blank_audit(t.derive(gappy_events), ["event_type", "ts_text"])
 
 
+@query(
+    "blank_audit_null_is_blank",
+    f"""WITH e AS ({duck(gappy_events)})
+        SELECT count(*) FILTER (WHERE event_type = '' OR event_type IS NULL) AS blank_event_type,
+               count(*) FILTER (WHERE ts_text = '' OR ts_text IS NULL) AS blank_ts_text FROM e""",
+)
+def _blank_audit_null_is_blank(t: Given) -> DataFrame:
+    """As a CSV reader would see the text: NULL counts as blank."""
+    return profile.blank_audit(t.derive(gappy_events), ["event_type", "ts_text"], null_is_blank=True)
+
+
 @query(
     "count_where",
     """SELECT count(*) FILTER (WHERE l_discount = 0) AS no_discount,
@@ -761,16 +772,30 @@ def _band_closed(t: Given) -> DataFrame:
        FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey
        LEFT JOIN (SELECT * FROM region WHERE r_name <> 'ASIA') ON n_regionkey = r_regionkey""",
 )
-def _translate_lookup(t: Given) -> DataFrame:
+def _translate_lookup(t: Given, spread_hot: bool = False, rows_per_task: int | None = None) -> DataFrame:
     nations = t.nation.join(t.region.filter(F.col("r_name") != "ASIA"), F.col("n_regionkey") == F.col("r_regionkey"))
     homes = t.supplier.join(t.nation, F.col("s_nationkey") == F.col("n_nationkey"))
     items = t.lineitem.join(homes, F.col("l_suppkey") == F.col("s_suppkey"))
     items = items.select("l_orderkey", "l_linenumber", F.col("n_name").alias("home"))
     manual = {"NATION_3": "Third", "NATION_4": "Fourth"}
-    out = derive.translate_lookup(items, nations, "home", "r_name", "region", manual, "n_name")
+    out = derive.translate_lookup(
+        items, nations, "home", "r_name", "region", manual, "n_name", spread_hot=spread_hot, rows_per_task=rows_per_task
+    )
     return out.select("l_orderkey", "l_linenumber", "region")
 
 
+_TRANSLATE_SQL = """SELECT l_orderkey, l_linenumber, CASE n_name WHEN 'NATION_3' THEN 'Third' WHEN 'NATION_4' THEN 'Fourth'
+              ELSE r_name END AS region
+       FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey
+       LEFT JOIN (SELECT * FROM region WHERE r_name <> 'ASIA') ON n_regionkey = r_regionkey"""
+
+
+@query("translate_lookup_spread", _TRANSLATE_SQL)
+def _translate_lookup_spread(t: Given) -> DataFrame:
+    """The same on the salted path: a salt per 1000 rows of a nation, so every nation is spread."""
+    return _translate_lookup(t, spread_hot=True, rows_per_task=1000)
+
+
 @query(
     "rollup_to_parent",
     """SELECT o_orderkey, items, price FROM orders LEFT JOIN
