@@ -2,13 +2,14 @@
 
 Null text, lang and source count as ''. Terms are the matches of ``TERM`` after lower-casing A-Z. Per language:
 
-The group sums, the groups and the valued entries are written to the shared folder once each and read by the later
+The group sums, the kept sums, the groups and the valued entries are written to the shared folder once each and read by the later
 steps, which also cuts their lineage.
 
 1. *Document vectors.* Each document's exact sparse count vector is built in its own row: its terms are sorted and
    each run of equal terms becomes one (term, count) entry, as ``CountVectorizer.transform`` would give.
-2. *Vocabulary and group sums.* One aggregate over the entries, by grouping sets, gives the document frequency of each
-   (lang, term) and the sum of the vectors of each (lang, source) group (Summarizer-style, but sparse). The vocabulary
+2. *Vocabulary and group sums.* One aggregate over the entries gives the sum of the vectors of each (lang, source)
+   group (Summarizer-style, but sparse) and, per term, how many of the group's documents hold it; the document
+   frequency of a term in a language is the sum of the latter over its sources, so the texts are read once. The vocabulary
    keeps the terms in at least ``MIN_DF`` documents of the language, with no cap on its size (``vocabSize`` the
    largest integer). It stays a distributed table: ``CountVectorizer.fit`` would gather it on the driver.
 3. *Smoothed values.* For a group or language with total ``N`` over the ``V`` kept terms, a term with ``count`` gets
@@ -86,12 +87,11 @@ def _f(p: str, q: str) -> Column:
 def divergence(docs: DataFrame, groups_limit: int = BROADCAST_GROUPS) -> DataFrame:
     """lang, source, part ('pair' or 'term'), item, value, rank."""
     vectors = document_vectors(docs)
-    sets = vectors.groupingSets([["lang", "term"], ["lang", "source", "term"]], "lang", "source", "term").agg(
-        F.count("*").alias("df"), F.sum("cnt").alias("c"), F.grouping_id().alias("gid")
-    )
-    vocab = sets.filter((F.col("gid") == 2) & (F.col("df") >= MIN_DF)).select("lang", "term")
-    sums = sets.filter(F.col("gid") == 0).select("lang", "source", "term", "c")
-    kept = stored(sums.join(vocab, ["lang", "term"]), "divergence-kept")
+    sums = vectors.groupBy("lang", "source", "term").agg(F.count("*").alias("docs"), F.sum("cnt").alias("c"))
+    sums = stored(sums, "divergence-sums")
+    # Every document is in one group, so a term's document frequency in a language is the sum over its sources.
+    vocab = sums.groupBy("lang", "term").agg(F.sum("docs").alias("df")).filter(F.col("df") >= MIN_DF)
+    kept = stored(sums.join(vocab.select("lang", "term"), ["lang", "term"]).select("lang", "source", "term", "c"), "divergence-kept")
     sizes = vocab.groupBy("lang").agg(F.count("*").alias("v"))
     groups = docs.select(_blank(docs["lang"]).alias("lang"), _blank(docs["source"]).alias("source")).distinct()
     totals = kept.groupBy("lang", "source").agg(F.sum("c").alias("total"))
