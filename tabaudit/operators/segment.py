@@ -274,6 +274,36 @@ def monthly_trend(
     )
 
 
+def month_of(ts: str) -> Column:
+    """The calendar month of a timestamp as text, ``YYYY-MM``, without a time zone."""
+    return F.substring(F.col(ts).cast("string"), 1, 7)
+
+
+def monthly_trend_pruned(
+    df: DataFrame,
+    ts: str,
+    flag: str,
+    start: str,
+    end: str,
+    where: Column | None = None,
+    scale: int | None = 2,
+    month: str = "month",
+) -> DataFrame:
+    """``monthly_trend`` of a table stored partitioned by ``month`` (``month_of(ts)``, e.g. by ``materialize``).
+
+    The bounds also fix the months, so the scan lists only the partitions between them (``PartitionFilters``); the
+    exact bounds on the raw timestamp still apply inside the first and last month.
+    """
+    months = F.col(month).between(F.lit(start[:7]), F.lit(end[:7]))
+    low, high = (F.lit(text).cast("timestamp_ntz") for text in (start, end))
+    rows = _where(df.filter(months), where).filter(F.col(ts).between(low, high))
+    return (
+        rows.groupBy(F.col(month).alias("month"))
+        .agg(F.count("*").alias("volume"), rate_expr(flag, scale).alias("rate"))
+        .orderBy("month")
+    )
+
+
 def top_entities(
     summary: DataFrame, key: str, by: str, k: int, where: Column | None = None
 ) -> DataFrame:

@@ -1159,6 +1159,20 @@ def _monthly_trend(t: Given) -> DataFrame:
     )
 
 
+@query(
+    "monthly_trend_pruned",
+    f"""SELECT strftime(l_shipdate, '%Y-%m') AS month, count(*) AS volume, {_RETURN_RATE}
+        FROM lineitem WHERE l_linestatus = 'F' AND l_shipdate BETWEEN TIMESTAMP '1997-01-01' AND TIMESTAMP '1998-08-31'
+        GROUP BY 1""",
+)
+def _monthly_trend_pruned(t: Given) -> DataFrame:
+    """The same over items stored partitioned by shipping month."""
+    items = _returned(t).select("l_shipdate", "returned", "l_linestatus").withColumn("month", segment.month_of("l_shipdate"))
+    stored = materialize(items, shared_path(t.spark, "items-by-month"), partition_by=["month"])
+    filled = F.col("l_linestatus") == "F"
+    return segment.monthly_trend_pruned(stored, "l_shipdate", "returned", "1997-01-01", "1998-08-31", filled, None)
+
+
 @query(
     "top_entities",
     f"""{_SUPPLIER_SQL} SELECT * FROM s WHERE total_orders >= 550

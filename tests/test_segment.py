@@ -93,3 +93,17 @@ def test_tiers_share_and_top(spark):
     top = segment.top_entities(df, "seller", "revenue", 2, enough).select("seller")
     assert rows(top) == [("a",), ("b",)]
     assert rows(segment.share_of_total(df, "revenue", enough & (F.col("late") > 0.2))) == [(50, 1, 4.55)]
+
+
+def test_monthly_trend_pruned_equals_the_plain_form(spark, tmp_path):
+    from tabaudit.operators import segment as S
+    from tabaudit.sources import materialize
+
+    rows = [(f"1997-{m:02d}-{d:02d} 10:00:00", (m + d) % 3 == 0) for m in range(1, 13) for d in (1, 15, 28)]
+    df = spark.createDataFrame(rows, "t string, late boolean").select(
+        F.col("t").cast("timestamp_ntz").alias("t"), F.col("late").cast("int").alias("late")
+    )
+    stored = materialize(df.withColumn("month", S.month_of("t")), str(tmp_path / "m"), partition_by=["month"])
+    plain = S.monthly_trend(df, "t", "late", "1997-02-15", "1997-11-01", None, None)
+    pruned = S.monthly_trend_pruned(stored, "t", "late", "1997-02-15", "1997-11-01", None, None)
+    assert [tuple(r) for r in pruned.collect()] == [tuple(r) for r in plain.collect()]
