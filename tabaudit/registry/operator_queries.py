@@ -23,6 +23,8 @@ from tabaudit.sources import (
     materialize,
     materialize_temporary,
     preview,
+    quarantine_counts,
+    read_csv_quarantined,
     read_csv_typed,
     replace_table,
     select_scope,
@@ -215,6 +217,32 @@ def _blank_audit_null_is_blank(t: Given) -> DataFrame:
     return profile.blank_audit(t.derive(gappy_events), ["event_type", "ts_text"], null_is_blank=True)
 
 
+@query(
+    "csv_quarantine",
+    """SELECT 'o_totalprice' AS column, count(*) AS bad_fields FROM orders WHERE o_orderkey % 97 = 0
+       UNION ALL SELECT 'o_custkey', count(*) FROM orders WHERE o_orderkey % 89 = 0""",
+)
+def _csv_quarantine(t: Given) -> DataFrame:
+    """Orders as CSV with text planted in two numeric columns, read back with a quarantine."""
+    folder = shared_path(t.spark, "orders-bad-csv")
+    key = F.col("o_orderkey")
+    planted = t.orders.select(
+        key,
+        F.when(key % 89 == 0, F.lit("x")).otherwise(F.col("o_custkey").cast("string")).alias("o_custkey"),
+        F.when(key % 97 == 0, F.lit("n/a")).otherwise(F.col("o_totalprice").cast("string")).alias("o_totalprice"),
+    )
+    planted.write.option("header", True).csv(folder)
+    schema = T.StructType(
+        [
+            T.StructField("o_orderkey", T.LongType()),
+            T.StructField("o_custkey", T.IntegerType()),
+            T.StructField("o_totalprice", T.DecimalType(15, 2)),
+        ]
+    )
+    _, quarantine = read_csv_quarantined(t.spark, folder, schema)
+    return quarantine_counts(quarantine)
+
+
 @query(
     "count_where",
     """SELECT count(*) FILTER (WHERE l_discount = 0) AS no_discount,

@@ -1,7 +1,14 @@
 """Reading, checking and storing tables."""
 
 from tabaudit.sources.contracts import Contract, check_contract
-from tabaudit.sources.readers import preview, read_csv_typed, read_parquet_tables, select_scope
+from tabaudit.sources.readers import (
+    preview,
+    quarantine_counts,
+    read_csv_quarantined,
+    read_csv_typed,
+    read_parquet_tables,
+    select_scope,
+)
 from tabaudit.sources.storage import bucket_count, materialize, materialize_temporary, read_current, replace_table
 
 __all__ = [
@@ -11,6 +18,8 @@ __all__ = [
     "materialize",
     "materialize_temporary",
     "preview",
+    "quarantine_counts",
+    "read_csv_quarantined",
     "read_csv_typed",
     "read_current",
     "read_parquet_tables",

@@ -53,6 +53,38 @@ def read_csv_typed(
     return reader.schema(T.StructType(fields)).csv(path).select(*scope)
 
 
+def read_csv_quarantined(
+    spark: SparkSession, path: str | Sequence[str], schema: T.StructType, multi_line: bool = False
+) -> tuple[DataFrame, DataFrame]:
+    """The rows of a CSV in declared types, and a quarantine of the fields that do not parse.
+
+    The file is read once as text (header matched as in ``read_csv_typed``); each declared column is parsed with
+    ``try_cast``. A field with text that does not parse becomes NULL in the typed rows and one row of the quarantine:
+    file, column, raw value and reason. Nothing fails and no row is dropped, so the counts per column
+    (``quarantine_counts``) can be judged before the data is used.
+    """
+    text = T.StructType([T.StructField(f.name, T.StringType(), True) for f in schema.fields])
+    raw = read_csv_typed(spark, path, text, multi_line=multi_line).withColumn("_file", F.input_file_name())
+    parsed = {f.name: F.col(f.name).try_cast(f.dataType) for f in schema.fields}
+    bad = [
+        F.when(F.col(f.name).isNotNull() & parsed[f.name].isNull(), F.struct(
+            F.lit(f.name).alias("column"), F.col(f.name).alias("raw"),
+            F.lit(f"not a {f.dataType.simpleString()}").alias("reason"),
+        ))
+        for f in schema.fields
+    ]
+    quarantine = raw.select(
+        F.col("_file").alias("file"), F.explode(F.filter(F.array(*bad), lambda x: x.isNotNull())).alias("q")
+    ).select("file", "q.*")
+    typed = raw.select(*[parsed[f.name].alias(f.name) for f in schema.fields])
+    return typed, quarantine
+
+
+def quarantine_counts(quarantine: DataFrame) -> DataFrame:
+    """Bad fields per column."""
+    return quarantine.groupBy("column").agg(F.count("*").alias("bad_fields"))
+
+
 def read_parquet_tables(spark: SparkSession, folder: str, names: Sequence[str]) -> dict[str, DataFrame]:
     """Named tables from ``<folder>/<name>.parquet``."""
     return {name: spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet") for name in names}

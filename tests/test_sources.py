@@ -1,3 +1,4 @@
+from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -164,3 +165,15 @@ def test_old_and_half_written_versions_go(spark, tmp_path):
         sources.replace_table(spark.range(n).toDF("id"), str(path), keep=2)
     assert versions(spark, str(path), complete_only=False) == [5, 6]
     assert sources.read_current(spark, str(path)).count() == 6
+
+
+def test_quarantine_keeps_rows_and_lists_bad_fields(spark, tmp_path):
+    path = tmp_path / "q.csv"
+    path.write_text("id,amount,note\n1,2.50,a\n2,abc,b\nx,3,c\n4,,d\n")
+    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("amount", T.DecimalType(10, 2))])
+    typed, bad = sources.read_csv_quarantined(spark, str(path), schema)
+    assert sorted(map(tuple, typed.collect()), key=repr) == sorted(
+        [(1, Decimal("2.50")), (2, None), (None, Decimal("3.00")), (4, None)], key=repr
+    )
+    assert sorted((r.column, r.raw) for r in bad.collect()) == [("amount", "abc"), ("id", "x")]
+    assert sorted(map(tuple, sources.quarantine_counts(bad).collect())) == [("amount", 1), ("id", 1)]
