@@ -5,8 +5,8 @@ Null text, lang and source count as ''. Terms are the matches of ``TERM`` after
 The group sums, the kept sums, the groups and the valued entries are written to the shared folder once each and read by the later
 steps, which also cuts their lineage.
 
-1. *Document vectors.* Each document's exact sparse count vector is built in its own row: its terms are sorted and
-   each run of equal terms becomes one (term, count) entry, as ``CountVectorizer.transform`` would give.
+1. *Document vectors.* Each document's exact sparse count vector, as ``CountVectorizer.transform`` would give it, enters
+   as its entries: each distinct term once (for the document frequency) and each occurrence once (for the count).
 2. *Vocabulary and group sums.* One aggregate over the entries gives the sum of the vectors of each (lang, source)
    group (Summarizer-style, but sparse) and, per term, how many of the group's documents hold it; the document
    frequency of a term in a language is the sum of the latter over its sources, so the texts are read once. The vocabulary
@@ -53,23 +53,24 @@ def _blank(column: Column) -> Column:
 
 
 def document_vectors(docs: DataFrame) -> DataFrame:
-    """lang, source, term, cnt: one row per term of each document, with its count there."""
-    terms = F.array_sort(split_lower(_blank(docs["text"]), _BETWEEN))
+    """lang, source, term, d, o: the entries of each document's count vector, without a per-row program.
+
+    Every distinct term of a document gives one row with ``d`` 1 (it counts once towards the document frequency) and
+    every occurrence one row with ``o`` 1 (its count). Summed per (lang, source, term), on the map side first, they
+    are the documents' exact count vectors added up per group. Built from ``array_distinct``, ``array_repeat`` and
+    ``arrays_zip`` only, which run compiled; per-element lambdas would be interpreted.
+    """
+    terms = split_lower(_blank(docs["text"]), _BETWEEN)
     rows = docs.select(_blank(docs["lang"]).alias("lang"), _blank(docs["source"]).alias("source"), terms.alias("t"))
-    n = F.size("t")
-    starts = F.filter(
-        F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>")),
-        lambda i: (i == 0) | (F.get(F.col("t"), i) != F.get(F.col("t"), i - 1)),
-    )
-    # The starts are a column of their own: an expression in the lambda would be evaluated again for every element.
-    runs = rows.select("lang", "source", "t", starts.alias("s"))
-    entries = F.transform(
-        "s",
-        lambda j, k: F.struct(
-            F.get(F.col("t"), j).alias("term"), (F.coalesce(F.get(F.col("s"), k + 1), n) - j).cast("long").alias("cnt")
-        ),
-    )
-    return runs.select("lang", "source", F.inline(entries))
+    rows = rows.select("lang", "source", "t", F.array_distinct("t").alias("u"))
+
+    def entries(column: str, d: int, o: int) -> Column:
+        n = F.size(column)
+        return F.arrays_zip(
+            F.col(column).alias("term"), F.array_repeat(F.lit(d), n).alias("d"), F.array_repeat(F.lit(o), n).alias("o")
+        )
+
+    return rows.select("lang", "source", F.inline(F.concat(entries("u", 1, 0), entries("t", 0, 1))))
 
 
 def _p(count: str, total: str, v: str) -> Column:
@@ -87,7 +88,7 @@ def _f(p: str, q: str) -> Column:
 def divergence(docs: DataFrame, groups_limit: int = BROADCAST_GROUPS) -> DataFrame:
     """lang, source, part ('pair' or 'term'), item, value, rank."""
     vectors = document_vectors(docs)
-    sums = vectors.groupBy("lang", "source", "term").agg(F.count("*").alias("docs"), F.sum("cnt").alias("c"))
+    sums = vectors.groupBy("lang", "source", "term").agg(F.sum("d").alias("docs"), F.sum("o").alias("c"))
     sums = stored(sums, "divergence-sums")
     # Every document is in one group, so a term's document frequency in a language is the sum over its sources.
     vocab = sums.groupBy("lang", "term").agg(F.sum("docs").alias("df")).filter(F.col("df") >= MIN_DF)
