@@ -22,6 +22,7 @@ from tabaudit.operators.star import (
     rows_of,
     total_of,
 )
+from tabaudit.session import cut_lineage
 
 
 def _dims(dims: str | Sequence[str]) -> list[str]:
@@ -223,17 +224,17 @@ def share_distribution(
 ) -> DataFrame:
     """Rows per group and their share of all rows, in order of the group or of ``min(order_by)``.
 
-    One aggregate by grouping sets gives the group rows and the grand total together: the total is a scalar
-    subquery over that same aggregate, so its exchange is reused and the input is read once. No task sees all groups.
+    One aggregate by grouping sets gives the group rows and the grand total together. It is written once as a
+    reliable checkpoint (one row per group), and both the group rows and the total read that: the input is read once,
+    by one job. No task sees all groups.
     """
     order = F.min(order_by) if order_by else F.min(dim)
     sets = _where(df, where).groupingSets([[dim], []], dim).agg(
         F.count("*").alias("volume"), order.alias("_order"), F.grouping_id().alias("_set")
     )
-    # Neither side filters on the set alone: such a filter would be pushed below the aggregate, the two plans would
-    # differ and the input would be read twice. Both read the finished aggregate, whose exchange is then reused.
+    sets = cut_lineage(sets)
     total = sets.agg(F.max(F.when(F.col("_set") == 1, F.col("volume")))).scalar()
-    groups = sets.filter(F.when(F.col("volume") >= 0, F.col("_set")) == 0).drop("_set")
+    groups = sets.filter(F.col("_set") == 0).drop("_set")
     shares = groups.withColumn("share", percent(F.col("volume"), total, scale))
     return shares.orderBy("_order", dim).drop("_order")
 
