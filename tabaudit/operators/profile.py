@@ -232,6 +232,21 @@ def duplicate_keys(df: DataFrame, key: str | Sequence[str], name: str = "duplica
     return df.groupBy(*_keys(key)).agg(F.count("*").alias(name)).filter(F.col(name) > 1)
 
 
+def duplicate_keys_prefiltered(df: DataFrame, key: str | Sequence[str], name: str = "duplicates") -> DataFrame:
+    """``duplicate_keys`` that shuffles whole keys only where a repeat is possible.
+
+    A first pass counts a 64-bit hash of the key, combined on the map side: narrow rows, whatever the key's width.
+    Only rows whose hash occurs more than once (repeated keys, and the rare keys that share a hash) go on to the
+    exact count of whole keys, so the second shuffle is in proportion to the possible duplicates. NULL keys hash
+    like any value and are counted as in ``duplicate_keys``.
+    """
+    keys = _keys(key)
+    hashed = df.withColumn("_key_hash", F.xxhash64(*[F.col(k) for k in keys]))
+    repeated = hashed.groupBy("_key_hash").agg(F.count("*").alias("_n")).filter(F.col("_n") > 1).select("_key_hash")
+    possible = hashed.join(repeated, "_key_hash", "left_semi")
+    return possible.groupBy(*keys).agg(F.count("*").alias(name)).filter(F.col(name) > 1)
+
+
 def duplicate_key_count(df: DataFrame, key: str | Sequence[str]) -> DataFrame:
     """How many keys are duplicated and how many rows a deduplication would remove; 0 when clean."""
     repeated = duplicate_keys(df, key, "_n")

@@ -387,6 +387,15 @@ def _duplicate_keys(t: Given) -> DataFrame:
     return profile.duplicate_keys(t.lineitem, ["l_orderkey", "l_linenumber"])
 
 
+@query(
+    "duplicate_keys_prefiltered",
+    """SELECT o_custkey, o_orderpriority, count(*) AS duplicates FROM orders
+       GROUP BY o_custkey, o_orderpriority HAVING count(*) > 1""",
+)
+def _duplicate_keys_prefiltered(t: Given) -> DataFrame:
+    return profile.duplicate_keys_prefiltered(t.orders, ["o_custkey", "o_orderpriority"])
+
+
 @query(
     "duplicate_key_count",
     """SELECT count(*) AS duplicated_keys, CAST(coalesce(sum(n - 1), 0) AS BIGINT) AS surplus_rows FROM

@@ -115,3 +115,11 @@ def test_audited_write_counts_what_the_two_pass_audit_counts(spark, tmp_path):
     expected = P.change_audit(df, correct(df), predicates)
     assert sorted(map(tuple, audit.collect())) == sorted(map(tuple, expected.collect()))
     assert sorted(map(tuple, written.collect())) == [(1, "x"), (2, None), (3, None), (4, None)]
+
+
+def test_prefiltered_duplicate_keys_equal_the_plain_form(spark):
+    rows = [(i % 50, None if i % 7 == 0 else f"k{i % 3}") for i in range(400)] + [(1000, "once"), (None, None), (None, None)]
+    df = spark.createDataFrame(rows, "a int, b string")
+    plain = sorted(map(tuple, profile.duplicate_keys(df, ["a", "b"]).collect()), key=repr)
+    pre = sorted(map(tuple, profile.duplicate_keys_prefiltered(df, ["a", "b"]).collect()), key=repr)
+    assert pre == plain and (None, None, 2) in pre
