@@ -84,7 +84,7 @@ def translate_lookup(
     if spread_hot:
         hot = skew.hot_buckets(df, on, rows_per_task)
         rows = skew.spread(df, on, df.columns, hot)
-        pairs = skew.repeat(pairs, "_key", hot).withColumnRenamed(skew.SALT, "_key_salt")
+        pairs = skew.repeat_used(pairs, "_key", hot, rows, on).withColumnRenamed(skew.SALT, "_key_salt")
         match &= F.col(skew.SALT) == F.col("_key_salt")
     label = F.col("_label")
     if overrides:

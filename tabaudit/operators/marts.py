@@ -77,12 +77,12 @@ def bridged_summary(
     once per entity.
     """
     hot = skew.hot_buckets(bridge, via, rows_per_task)
-    dealt = skew.spread(bridge.select(via, entity, *measures), via, [entity], hot).repartition(via, skew.SALT)
-    state = fold(dealt, [via, skew.SALT, entity], measures)
+    salted = skew.spread(bridge.select(via, entity, *measures), via, [entity], hot)
+    state = fold(salted.repartition(via, skew.SALT), [via, skew.SALT, entity], measures)
     for name, block in blocks.items():
         rows = block.df if block.where is None else block.df.filter(block.where)
         keys = [block.via, skew.SALT]
-        right = skew.repeat(fold(rows, [block.via], block.measures), block.via, hot)
+        right = skew.repeat_used(fold(rows, [block.via], block.measures), block.via, hot, salted, via)
         columns = [*keys, *folded_columns(block.measures)]
         right = right.selectExpr(*[f"`{c}` AS `_{name}_{c}`" for c in columns])
         match = f"`{via}` = `_{name}_{block.via}` AND `{skew.SALT}` = `_{name}_{skew.SALT}`"

@@ -6,9 +6,9 @@ partitioning; there the rows of a hot key get a salt, and the partner row is rep
 
 Hot is decided by exact counts of hash buckets of the key, not of the keys: a scan task sends at most 4,096
 counts. A bucket gets one salt per ``rows_per_task`` of its rows, so a task holds no more than that, whatever the size
-of the table. A hot bucket holds one 4,096th of the other keys, so few partner rows are repeated, and those are
-folded to one row per key before. Counts and salts are functions of the data, so a retried task sends its rows to the
-same place.
+of the table. A partner row, folded to one row per key before, is repeated once per salt that rows of its key really
+hold (``repeat_used``): a key has no more copies than rows, also when every bucket is hot. Counts and salts are
+functions of the data, so a retried task sends its rows to the same place.
 """
 
 from __future__ import annotations
@@ -49,5 +49,18 @@ def spread(df: DataFrame, key: str, by: Sequence[str], hot: Column) -> DataFrame
 
 
 def repeat(df: DataFrame, key: str, hot: Column) -> DataFrame:
-    """The partner side, already one row per key: a copy per salt of its key."""
+    """The partner side, already one row per key: a copy per salt of its bucket, for few keys or few salts."""
     return df.withColumn(SALT, F.explode(F.sequence(F.lit(0), _salts(hot, key) - 1)))
+
+
+def repeat_used(df: DataFrame, key: str, hot: Column, salted: DataFrame, salted_key: str) -> DataFrame:
+    """The partner side, already one row per key: a copy per salt that rows of its key hold in ``salted``.
+
+    Rows of a cold bucket all have salt 0, so only the hot buckets' pairs of key and salt are collected, once each.
+    Partners are joined with those; without a pair a partner keeps one row, with salt 0.
+    """
+    used = salted.filter(_salts(hot, salted_key) > 1).select(
+        F.col(salted_key).alias("_used_key"), F.col(SALT).alias("_used_salt")
+    )
+    paired = df.join(used.distinct(), F.col(key) == F.col("_used_key"), "left")
+    return paired.select(*df.columns, F.coalesce("_used_salt", F.lit(0)).alias(SALT))
