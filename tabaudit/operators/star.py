@@ -159,13 +159,14 @@ def star_fold(
     labels = [c for c in by if by_owner[c] == 0]  # group columns in the state so far
     keys = _unique_order([*labels, *pending(0)])
     hot: Column | None = None
+    salted: DataFrame | None = None  # rows that hold every pair of key and salt
     others = [c for c in keys if c != links[0].left]
     if links[0].left in fans_out and others:
         # One exchange serves the fold and the join: rows are dealt by key and salt, then folded in place.
         hot = skew.hot_buckets(frames[0], links[0].left, rows_per_task)
-        rows = skew.spread(frames[0].select(*_unique_order([*keys, *have])), links[0].left, others, hot)
+        salted = skew.spread(frames[0].select(*_unique_order([*keys, *have])), links[0].left, others, hot)
         keys = [*keys, skew.SALT]
-        state = fold(rows.repartition(links[0].left, skew.SALT), keys, have)
+        state = fold(salted.repartition(links[0].left, skew.SALT), keys, have)
     else:
         state = (fold if pays(0) else _as_folded)(frames[0], keys, have)
     for j, link in enumerate(links):
@@ -178,14 +179,15 @@ def star_fold(
             hot = None
             if link.left in fans_out and left_owner[j] == 0 and others:
                 hot = skew.hot_buckets(frames[0], link.left, rows_per_task)
-                state = skew.spread(state, link.left, others, hot)
+                state = salted = skew.spread(state, link.left, others, hot)
                 keys = [*keys, skew.SALT]
 
         brought = [c for c in labels_of(i) if c not in keys]
         right_keys = _unique_order([link.key, *brought])
         right = (_as_folded if link.unique else fold)(frames[i], right_keys, measures_of(i))
         if hot is not None:
-            right, right_keys = skew.repeat(right, link.key, hot), [*right_keys, skew.SALT]
+            right = skew.repeat_used(right, link.key, hot, salted, link.left)
+            right_keys = [*right_keys, skew.SALT]
         right_columns = [*right_keys, *folded_columns(measures_of(i))]
         right = _project(right, {f"_r_{c}": f"`{c}`" for c in right_columns})
 

@@ -129,6 +129,32 @@ def test_hot_buckets_hold_the_hot_keys(tables, monkeypatch):
     assert repeated[0] >= salts[0] and repeated[5] == 1
 
 
+def test_partners_have_no_more_copies_than_rows(spark, monkeypatch):
+    monkeypatch.setattr(skew, "BUCKETS", 2)  # every bucket is hot, with hundreds of salts
+    fact = spark.range(3000).select(F.expr("id % 1000 AS k"), F.col("id").alias("v"))
+    hot = skew.hot_buckets(fact, "k", 3)
+    salted = skew.spread(fact, "k", ["v"], hot)
+    partners = spark.range(1010).withColumnRenamed("id", "p")
+    got = skew.repeat_used(partners, "p", hot, salted, "k")
+    want = salted.select("k", skew.SALT).distinct()
+    assert skew.repeat(partners, "p", hot).count() > 100 * got.count()
+    assert rows(got.filter("p < 1000")) == rows(want) and got.filter("p >= 1000").count() == 10
+
+
+@pytest.mark.parametrize("buckets", [1, 4096])
+def test_spread_joins_equal_the_plain_ones_when_every_bucket_is_hot(tables, monkeypatch, buckets):
+    monkeypatch.setattr(skew, "BUCKETS", buckets)
+    t = tables
+    links = [Link(t["reviews"], "order_id"), Link(t["orders"], "order_id"), Link(t["sellers"], "seller_id")]
+    args = t["items"], links, ["state"], ["score", "late", "qty"]
+    few, many = (folded(star.star_fold(*args, rows_per_task=n), ["state"], args[3]) for n in (1, 10**9))
+    assert few == many
+    blocks = {"reviewed": marts.Block(t["reviews"], "order_id", ["score"]), "ordered": marts.Block(t["orders"], "order_id")}
+    args = t["items"], "seller_id", "order_id", blocks, ["qty"]
+    few, many = (rows(marts.bridged_summary(*args, rows_per_task=n)) for n in (1, 10**9))
+    assert few == many
+
+
 def test_bridged_summary_equals_separate_blocks(tables, salting):
     t = tables
     blocks = {
