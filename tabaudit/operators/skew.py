@@ -9,6 +9,9 @@ counts. A bucket gets one salt per ``rows_per_task`` of its rows, so a task hold
 of the table. A partner row, folded to one row per key before, is repeated once per salt that rows of its key really
 hold (``repeat_used``): a key has no more copies than rows, also when every bucket is hot. Counts and salts are
 functions of the data, so a retried task sends its rows to the same place.
+
+``deal`` sets the number of tasks: by the input's size, so that what a task holds does not grow with the table. Left to
+AQE, small partitions are merged until there is one per core, and a task's sorts and hash tables grow with the input.
 """
 
 from __future__ import annotations
@@ -18,9 +21,23 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tabaudit.sources.storage import bucket_count
+
 BUCKETS = 1 << 12
 ROWS_PER_TASK = 5_000_000
 SALT = "_salt"
+TASK_BYTES = 8 << 20  # of input files
+
+
+def deal(df: DataFrame, keys: Sequence[str], source: DataFrame) -> DataFrame:
+    """Rows dealt by ``keys`` to one task per ``TASK_BYTES`` of ``source``'s files, and no fewer than there are cores.
+
+    A source without files, such as a checkpoint, leaves the number to the session.
+    """
+    if not source.inputFiles():
+        return df.repartition(*keys)
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(max(cores, bucket_count(source, TASK_BYTES)), *keys)
 
 
 def _bucket(key: str) -> str:

@@ -166,7 +166,7 @@ def star_fold(
         hot = skew.hot_buckets(frames[0], links[0].left, rows_per_task)
         salted = skew.spread(frames[0].select(*_unique_order([*keys, *have])), links[0].left, others, hot)
         keys = [*keys, skew.SALT]
-        state = fold(salted.repartition(links[0].left, skew.SALT), keys, have)
+        state = fold(skew.deal(salted, [links[0].left, skew.SALT], frames[0]), keys, have)
     else:
         state = (fold if pays(0) else _as_folded)(frames[0], keys, have)
     for j, link in enumerate(links):

@@ -1,12 +1,14 @@
 """Folded joins against the plain join, with fan-out, hot keys, copies and NULLs."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from tabaudit.operators import marts, skew, star
 from tabaudit.operators.star import Link
+from tabaudit.sources import bucket_count
 
 
 @pytest.fixture(params=["cold", "salted"])
@@ -155,6 +157,29 @@ def test_spread_joins_equal_the_plain_ones_when_every_bucket_is_hot(tables, monk
     assert few == many
 
 
+@pytest.fixture
+def stored_items(spark, tables, tmp_path, monkeypatch):
+    """Items in files, with a task size that asks for more tasks than there are cores."""
+    path = str(tmp_path / "items")
+    tables["items"].write.parquet(path)
+    monkeypatch.setattr(skew, "TASK_BYTES", 100)
+    return spark.read.parquet(path)
+
+
+def _tasks_per_exchange(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return [int(n) for n in re.findall(r"hashpartitioning\(order_id#\d+, _salt#\d+, (\d+)\), REPARTITION_BY_NUM", plan)]
+
+
+def test_star_fold_deals_the_fact_by_its_size(tables, stored_items):
+    t = tables
+    links = [Link(t["reviews"], "order_id"), Link(t["sellers"], "seller_id", unique=True)]
+    got = star.star_fold(stored_items, links, ["state"], ["score"])
+    assert min(_tasks_per_exchange(got)) == bucket_count(stored_items, 100) > 16
+    joined = t["items"].join(t["reviews"], "order_id").join(t["sellers"], "seller_id")
+    assert folded(got, ["state"], ["score"]) == plain(joined, ["state"], ["score"])
+
+
 def test_bridged_summary_equals_separate_blocks(tables, salting):
     t = tables
     blocks = {
