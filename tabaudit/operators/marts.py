@@ -78,7 +78,7 @@ def bridged_summary(
     """
     hot = skew.hot_buckets(bridge, via, rows_per_task)
     salted = skew.spread(bridge.select(via, entity, *measures), via, [entity], hot)
-    state = fold(salted.repartition(via, skew.SALT), [via, skew.SALT, entity], measures)
+    state = fold(skew.deal(salted, [via, skew.SALT], bridge), [via, skew.SALT, entity], measures)
     for name, block in blocks.items():
         rows = block.df if block.where is None else block.df.filter(block.where)
         keys = [block.via, skew.SALT]

@@ -180,6 +180,13 @@ def test_star_fold_deals_the_fact_by_its_size(tables, stored_items):
     assert folded(got, ["state"], ["score"]) == plain(joined, ["state"], ["score"])
 
 
+def test_bridged_summary_deals_the_bridge_by_its_size(tables, stored_items):
+    blocks = {"reviewed": marts.Block(tables["reviews"], "order_id", ["score"])}
+    got = marts.bridged_summary(stored_items, "seller_id", "order_id", blocks, ["qty"])
+    assert min(_tasks_per_exchange(got)) == bucket_count(stored_items, 100) > 16
+    assert rows(got) == rows(marts.bridged_summary(tables["items"], "seller_id", "order_id", blocks, ["qty"]))
+
+
 def test_bridged_summary_equals_separate_blocks(tables, salting):
     t = tables
     blocks = {
