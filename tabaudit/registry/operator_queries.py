@@ -17,6 +17,7 @@ from tabaudit.operators.star import Link
 from tabaudit.registry.core import TABLES, Given, duck, query
 from tabaudit.registry.shared import mean_sql, plain, rate_sql, shared_path
 from tabaudit.registry.standins import aged_orders, deliveries, gappy_events
+from tabaudit.session import cut_lineage
 from tabaudit.sources import (
     bucket_count,
     check_contract,
@@ -1267,8 +1268,8 @@ def _share_of_total(t: Given) -> DataFrame:
 )
 def supplier_revenue_at_risk(t: Given) -> DataFrame:
     """Share of revenue carried by suppliers that are later and scored lower than the whole table."""
-    summary = _supplier_summary(t)
-    # Both benchmarks are sums of the summary's own sums; its exchange serves them and the decision.
+    # Both benchmarks are sums of the summary's own sums: written once, one row per supplier, and read twice.
+    summary = cut_lineage(_supplier_summary(t))
     cut = summary.agg(
         F.struct(
             percent(F.sum("late"), F.sum("outcomes"), None).alias("late"),
