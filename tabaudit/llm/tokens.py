@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 import re
+import struct
 import unicodedata
 
 import numpy as np
@@ -47,16 +48,26 @@ class Encoder:
             name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}
         )
         self.odd = _odd_characters()
+        self.odd_ascii = [chr(c) for c in np.flatnonzero(self.odd[:128])]
         self.seen = _Seen(self.words)
 
+    def _is_odd(self, text: str) -> bool:
+        if text.isascii():
+            return any(c in text for c in self.odd_ascii)
+        return bool(self.odd[code_points(text)].any())
+
     def __call__(self, text: str) -> bytes:
-        if self.odd[code_points(text)].any():
-            return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        if self._is_odd(text):
+            return _packed(self.whole.encode(text, add_special_tokens=False).ids)
         if len(self.seen) > REMEMBERED:
             self.seen = _Seen(self.words, self.seen)
         return b"".join(map(self.seen.__getitem__, WORD.findall(text)))
 
 
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class _Seen(dict):
     """Ids of words; a word that is not here is taken from the older generation or encoded."""
 
@@ -68,7 +79,7 @@ class _Seen(dict):
     def __missing__(self, word: str) -> bytes:
         ids = self.older.get(word)
         if ids is None:
-            ids = np.array(self.words.encode_ordinary(word), "<u4").tobytes()
+            ids = _packed(self.words.encode_ordinary(word))
         self[word] = ids
         return ids
 

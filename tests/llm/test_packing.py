@@ -103,3 +103,9 @@ def test_edges(edges, no_documents, tokenizer):
     assert sum(r.length for r in rows if r.piece == 0 and r.doc_id in (3, 4)) == 2
     assert len({r.doc_id for r in rows}) == 8 and len([r for r in rows if r.doc_id == 2]) == 2
     assert packing.packed(no_documents).count() == 0
+
+
+def test_odd_characters_of_ascii_texts_are_found_by_the_table():
+    own = Encoder()
+    for c in map(chr, range(256)):
+        assert own._is_odd(f"a{c}b") == bool(own.odd[ord(c)]), hex(ord(c))
