@@ -5,9 +5,11 @@ of neighbours that is a piece; the pair with the best score is merged first, the
 is skipped with probability ``dropout``: by a hash keyed with the seed, the document, the word, its occurrence, the
 place and the piece, so that the same seed gives the same ids everywhere and another seed gives others. The document
 enters with its ``doc_id`` and the hash of its text. Without dropout the ids are those of the vocabulary's own encoder. Pieces
-never span the begin of a word, so words are encoded by themselves. What does not depend on dropout is remembered in
-bounded number: the candidates of a word's undisturbed agenda with its ids. A word of which no such candidate is
-skipped has these ids; any other runs its own agenda.
+never span the begin of a word, so words are encoded by themselves.
+
+Documents are encoded some at a time. All occurrences of words of one length are rows of a matrix: each step takes the
+next candidate of every row, skips or merges it, and looks the new neighbours up in a table of all pairs of symbols that
+make a piece. Nothing is remembered between the documents, so memory does not grow with the words of a corpus.
 
 Characters that the vocabulary lacks, and the space mark itself where a text has it, become their bytes. Decoding
 joins pieces and bytes and gives back the text exactly. A null text counts as empty and has no ids. ``doc_id`` may be
@@ -28,19 +30,23 @@ import sentencepiece
 import xxhash
 from pyspark.sql import DataFrame
 
-from tabaudit.llm.common import whole_text
+from tabaudit.llm.common import code_points, whole_text
 
 VOCABULARY = "piece_bpe_32k"
 DROPOUT = 0.1
 SEED = 7
-REMEMBERED = 600_000
 SPACE = "▁"
-UNIT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+# Words with their spaces; the space mark of the vocabulary is put in when a word is encoded.
+UNIT = re.compile(" *[^ ]+| +")
+# Characters and documents that are encoded at once, and symbols of a matrix.
+TOGETHER = 1 << 20
+ROWS = 256
+CELLS = 1 << 20
 SHORT = 48
 NEVER = 1 << 30
 PLACE = 0x9E3779B97F4A7C15
 PIECE = 0xD1342543DE82EF95
-ADDENDS = [place * PLACE for place in range(SHORT)]
+ADDENDS = [place * PLACE & 0xFFFFFFFFFFFFFFFF for place in range(SHORT)]
 
 
 def _spread(key: int, occurrence: int) -> int:
@@ -49,6 +55,72 @@ def _spread(key: int, occurrence: int) -> int:
     return (x ^ (x >> 32)) * 0x94D049BB133111EB & 0xFFFFFFFFFFFFFFFF
 
 
+def _spread_all(keys: np.ndarray, occurrences: np.ndarray) -> np.ndarray:
+    x = (keys + occurrences.astype(np.uint64) * np.uint64(0xA0761D6478BD642F)) * np.uint64(0xBF58476D1CE4E5B9)
+    return (x ^ (x >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
+
+
+def _times_before(numbers: np.ndarray) -> np.ndarray:
+    """How often each number stood before its place."""
+    order = np.argsort(numbers, kind="stable")
+    new = np.ones(len(numbers), bool)
+    new[1:] = numbers[order][1:] != numbers[order][:-1]
+    place = np.arange(len(numbers))
+    out = np.empty(len(numbers), np.int64)
+    out[order] = place - np.maximum.accumulate(np.where(new, place, 0))
+    return out
+
+
+class _Pairs:
+    """The piece that two neighbouring symbols make, or -1: a table of hashes with linear probing."""
+
+    def __init__(self, symbols: dict[str, int], pieces: dict[str, int]):
+        whole, left, right = [], [], []
+        for piece, i in pieces.items():
+            for at in range(1, len(piece)):
+                a, b = symbols.get(piece[:at]), symbols.get(piece[at:])
+                if a is not None and b is not None:
+                    left.append(a)
+                    right.append(b)
+                    whole.append(i)
+        keys = np.array(left, np.int64) << 32 | np.array(right, np.int64)
+        self.bits = max(4, int(2 * len(keys) + 1).bit_length() + 1)
+        self.keys, self.values = np.full(1 << self.bits, -1), np.full(1 << self.bits, -1, np.int32)
+        at, rest = self._slot(keys), np.arange(len(keys))
+        while len(rest):
+            free = rest[self.keys[at[rest]] == -1]
+            # Of those that meet at a free slot the last written stays; the others go on.
+            self.keys[at[free]] = keys[free]
+            rest = rest[self.keys[at[rest]] != keys[rest]]
+            at[rest] = at[rest] + 1 & (1 << self.bits) - 1
+        self.values[at] = np.array(whole, np.int32)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.view(np.uint64) * np.uint64(PLACE) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def __call__(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        keys = left.astype(np.int64) << 32 | right
+        at = self._slot(keys)
+        there = self.keys[at]
+        out = np.where(there == keys, self.values[at], np.int32(-1))
+        rest = np.flatnonzero((there != keys) & (there != -1))
+        while len(rest):
+            at[rest] = at[rest] + 1 & (1 << self.bits) - 1
+            there = self.keys[at[rest]]
+            hit = there == keys[rest]
+            out[rest[hit]] = self.values[at[rest[hit]]]
+            rest = rest[~hit & (there != -1)]
+        return out
+
+
+class _Numbers(dict):
+    """Words numbered as they come."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        return n
+
+
 def document_key(doc_id: object, text: str) -> int:
     """The key of a document: equal texts under other ids have other keys."""
     name = xxhash.xxh64_intdigest(repr(doc_id).encode("utf-8", "surrogatepass"))
@@ -83,7 +155,19 @@ class Codec:
         self.factor = {name: 2 * i + PIECE for name, i in self.ids.items()}
         self.skip_below = int(dropout * 2**32)
         self.seed = seed
-        self.seen: dict[str, tuple] = {}
+        # Symbols are the pieces by their ids, then characters that only stand inside pieces; any other has no number.
+        inside = sorted({c for name in self.ids for c in name} - self.ids.keys())
+        symbols = self.ids | {c: len(self.bytes) + n for n, c in enumerate(inside)}
+        self.nothing = len(self.bytes) + len(inside)
+        self.of_point = np.full(0x110000, self.nothing, np.int32)
+        for name, i in symbols.items():
+            if len(name) == 1:
+                self.of_point[ord(name)] = i
+        self.pairs = _Pairs(symbols, self.ids)
+        # By id, and at -1 for no piece.
+        self.ranks, self.factors = np.full(len(self.bytes) + 1, NEVER, np.int32), np.zeros(len(self.bytes) + 1, np.uint64)
+        for name, i in self.ids.items():
+            self.ranks[i], self.factors[i] = self.rank[name], self.factor[name]
 
     def _skipped(self, key: int, place: int, piece: str) -> bool:
         """Keyed hash of a candidate: the upper half of a product of key, place and piece."""
@@ -160,70 +244,143 @@ class Codec:
         return [s for s in symbols if s]
 
     def unit_ids(self, unit: str, occurrence: int, document: int = 0) -> bytes:
-        return self._ids(self.pieces(unit, occurrence, document))
+        return np.array(self._numbers(self.pieces(unit, occurrence, document)), "<i4").tobytes()
 
-    def _ids(self, pieces: list[str]) -> bytes:
+    def _numbers(self, pieces: list[str]) -> list[int]:
         out = []
         for piece in pieces:
             if piece in self.ids:
                 out.append(self.ids[piece])
             else:
                 out += [self.of_byte[b] for b in piece.encode("utf-8", "surrogatepass")]
-        return np.array(out, "<i4").tobytes()
-
-    def _undisturbed(self, unit: str) -> tuple[int, tuple[int, ...], tuple[int, ...], bytes]:
-        """What a word is without a skip: base of its key, addends and factors of the candidates' hashes, ids.
-
-        Words share the numbers of addends and factors, so that one that is remembered takes little memory.
-        """
-        symbols, rank, adds, factors = list(unit), self.rank, [], []
-        agenda = [rank.get(a + b, NEVER) for a, b in zip(unit, unit[1:], strict=False)]
-        places = list(range(len(unit)))
-        while agenda:
-            least = min(agenda)
-            if least == NEVER:
-                break
-            i = agenda.index(least)
-            pair = symbols[i] + symbols[i + 1]
-            adds.append(ADDENDS[places[i]])
-            factors.append(self.factor[pair])
-            symbols[i] = pair
-            del symbols[i + 1], places[i + 1], agenda[i]
-            if i < len(agenda):
-                agenda[i] = rank.get(pair + symbols[i + 1], NEVER)
-            if i:
-                agenda[i - 1] = rank.get(symbols[i - 1] + pair, NEVER)
-        return self._base(unit), tuple(adds), tuple(factors), self._ids(symbols)
+        return out
 
     def encode(self, text: str, document: int = 0) -> bytes:
         """The ids of a text as little-endian 32-bit integers; ``document`` is its key."""
-        if not text:
-            return b""
-        if len(self.seen) > REMEMBERED:
-            self.seen = {}
-        out, times, seen, below = [], {}, self.seen, self.skip_below
-        mark = np.array([self.of_byte[b] for b in SPACE.encode()], "<i4").tobytes()
-        for n, part in enumerate((SPACE + text.replace(SPACE, "\0" + SPACE)).split("\0" + SPACE) if SPACE in text else (" " + text,)):
-            if n:
-                out.append(mark)
-            for unit in UNIT.findall(part.replace(" ", SPACE)):
-                k = times.get(unit, 0)
-                times[unit] = k + 1
-                if len(unit) > SHORT:
-                    out.append(self.unit_ids(unit, k, document))
-                    continue
-                known = seen.get(unit)
-                if known is None:
-                    known = seen[unit] = self._undisturbed(unit)
-                base, adds, factors, ids = known
-                if below and adds:
-                    key = _spread(base ^ document, k)
-                    for add, factor in zip(adds, factors, strict=True):
-                        if ((key + add) * factor >> 32) & 0xFFFFFFFF < below:
-                            ids = self.unit_ids(unit, k, document)
-                            break
-                out.append(ids)
-        return b"".join(out)
+        return self.encode_all([text], [document])[0].tobytes()
+
+    def encode_all(self, texts: list[str], documents: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after another, and where those of each end; ``documents`` are their keys."""
+        parts, ends, at = [], [0], 0
+        while at < len(texts):
+            to, size = at + 1, len(texts[at])
+            while to < len(texts) and size + len(texts[to]) <= TOGETHER:
+                size += len(texts[to])
+                to += 1
+            ids, own = self._encode(texts[at:to], documents[at:to])
+            parts.append(ids)
+            ends += (own + ends[-1]).tolist()
+            at = to
+        return np.concatenate(parts) if parts else np.zeros(0, "<i4"), np.array(ends)
+
+    def _encode(self, texts: list[str], documents: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        # The space mark itself, where a text has it, becomes its bytes; as a word it is empty.
+        units, sizes = [], []
+        for text in texts:
+            before = len(units)
+            for n, part in enumerate((" " + text).split(SPACE) if text else ()):
+                if n:
+                    units.append("")
+                units += UNIT.findall(part)
+            sizes.append(len(units) - before)
+        numbers = _Numbers()
+        word = np.fromiter(map(numbers.__getitem__, units), np.int64, len(units))
+        words = [unit.replace(" ", SPACE) for unit in numbers]
+        del units, numbers
+        text = np.repeat(np.arange(len(texts)), sizes)
+        times = _times_before(text * max(len(words), 1) + word)
+        base = np.fromiter(map(self._base, words), np.uint64, len(words))
+        keys = _spread_all(base[word] ^ np.array(documents, np.uint64)[text], times)
+        size, parts, ids = np.zeros(len(word), np.int64), [], []
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        order = np.argsort(lengths[word], kind="stable")
+        by_length = lengths[word[order]]
+        mark = np.array([self.of_byte[b] for b in SPACE.encode()], "<i4")
+        for length in np.unique(by_length).tolist():
+            those = order[slice(*np.searchsorted(by_length, [length, length + 1]))]
+            if 0 < length <= SHORT:
+                step = max(1, CELLS // length)
+                for at in range(0, len(those), step):
+                    rows = those[at : at + step]
+                    found, many = self._rows(words, word[rows], keys[rows], length)
+                    parts.append(rows)
+                    ids.append(found)
+                    size[rows] = many
+            else:
+                for row in those.tolist():
+                    unit, n = words[word[row]], int(times[row])
+                    found = np.frombuffer(self.unit_ids(unit, n, documents[text[row]]), "<i4") if unit else mark
+                    parts.append(np.array([row]))
+                    ids.append(found)
+                    size[row] = len(found)
+        stop = np.cumsum(size)
+        flat = np.empty(stop[-1] if len(stop) else 0, "<i4")
+        for rows, found in zip(parts, ids, strict=True):
+            many = size[rows]
+            flat[np.repeat(stop[rows] - np.cumsum(many), many) + np.arange(len(found))] = found
+        return flat, np.concatenate([[0], stop])[np.cumsum(sizes)]
+
+    def _rows(self, words: list[str], word: np.ndarray, keys: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words of one length, one row after another, and how many each has; ``word`` are their numbers."""
+        distinct, row = np.unique(word, return_inverse=True)
+        points = code_points("".join(words[i] for i in distinct.tolist())).reshape(-1, length)
+        symbols = self.of_point[points]
+        agenda = np.full((len(distinct), length), NEVER, np.int32)
+        agenda[:, :-1] = self.ranks[self.pairs(symbols[:, :-1].ravel(), symbols[:, 1:].ravel())].reshape(len(distinct), length - 1)
+        symbols, agenda = symbols[row], agenda[row]
+        here = np.arange(len(row))
+        # A symbol keeps the place of its first character; those merged into another are -1.
+        after = np.tile(np.arange(1, length + 1, dtype=np.int8), (len(row), 1))
+        before = np.tile(np.arange(-1, length, dtype=np.int8), (len(row), 1))
+        adds = np.array(ADDENDS, np.uint64)
+        while length > 1 and len(here):
+            place = agenda[here].argmin(axis=1)
+            least = agenda[here, place]
+            some = least < NEVER
+            here, place = here[some], place[some]
+            if not len(here):
+                break
+            right = after[here, place].astype(np.int64)
+            piece = self.pairs(symbols[here, place], symbols[here, right])
+            if self.skip_below:
+                x = (keys[here] + adds[place]) * self.factors[piece] >> np.uint64(32)
+                skipped = x < np.uint64(self.skip_below)
+                agenda[here[skipped], place[skipped]] = NEVER
+                merged = np.flatnonzero(~skipped)
+                at, place, right, piece = here[merged], place[merged], right[merged], piece[merged]
+            else:
+                at = here
+            symbols[at, place], symbols[at, right], agenda[at, right] = piece, -1, NEVER
+            onward = after[at, right].astype(np.int64)
+            after[at, place], before[at, onward] = onward, place
+            agenda[at, place] = NEVER
+            more = np.flatnonzero(onward < length)
+            self._look(symbols, agenda, at[more], place[more], onward[more])
+            back = before[at, place].astype(np.int64)
+            more = np.flatnonzero(back >= 0)
+            self._look(symbols, agenda, at[more], back[more], place[more])
+        left = symbols >= 0
+        unknown = left & (symbols >= len(self.bytes))
+        many = left.sum(axis=1)
+        found = symbols[left]
+        if unknown.any():
+            # Characters without a piece become their bytes.
+            names = [chr(c) for c in points[row][unknown].tolist()]
+            put = [[self.of_byte[b] for b in c.encode("utf-8", "surrogatepass")] for c in names]
+            sizes = np.ones(len(found), np.int64)
+            odd = np.flatnonzero(unknown[left])
+            sizes[odd] = [len(x) for x in put]
+            of = np.repeat(np.arange(len(row)), many)
+            many = np.bincount(of, sizes, len(row)).astype(np.int64)
+            starts = np.cumsum(sizes) - sizes
+            found = np.repeat(found, sizes)
+            spots = np.repeat(starts[odd], sizes[odd]) + np.concatenate([np.arange(len(x)) for x in put])
+            found[spots] = [i for x in put for i in x]
+        return found, many
+
+    def _look(self, symbols: np.ndarray, agenda: np.ndarray, row: np.ndarray, left: np.ndarray, right: np.ndarray) -> None:
+        """The candidate of two neighbours enters the agenda."""
+        agenda[row, left] = self.ranks[self.pairs(symbols[row, left], symbols[row, right])]
 
     def decode(self, ids: np.ndarray) -> str:
         """The text that was encoded; the space in front is the encoder's own."""
@@ -249,18 +406,16 @@ def encoded(docs: DataFrame, vocabulary: str = VOCABULARY, dropout: float = DROP
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(vocabulary, dropout, seed)
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
                 texts = part.column("text").to_pylist()
                 names = part.column("doc_id").to_pylist()
-                ids = [own.encode(t, document_key(d, t)) for d, t in zip(names, texts, strict=True)]
-                ends = np.cumsum([0, *(len(x) // 4 for x in ids)])
-                flat = pa.array(np.frombuffer(b"".join(ids), "<i4"), pa.int32())
+                flat, ends = own.encode_all(texts, [document_key(d, t) for d, t in zip(names, texts, strict=True)])
                 digests = [hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in texts]
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("doc_id"),
-                        pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat),
+                        pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32())),
                         pa.array(digests, pa.string()),
                     ],
                     ["doc_id", "ids", "text_sha256"],
@@ -278,10 +433,9 @@ def decoded(rows: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(vocabulary, 0.0, 0)
         for batch in batches:
-            lists = batch.column(at)
-            found = [
-                own.decode(x.values.to_numpy()) if x.is_valid and len(x) else "" for x in lists
-            ]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string())], [*names, "decoded"])
+            for first in range(0, batch.num_rows, ROWS):
+                part = batch.slice(first, ROWS)
+                found = [own.decode(x.values.to_numpy()) if x.is_valid and len(x) else "" for x in part.column(at)]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.string())], [*names, "decoded"])
 
     return rows.mapInArrow(decode, f"{kinds}, decoded string")

@@ -1,3 +1,5 @@
+import tracemalloc
+
 import numpy as np
 import public_tokenizers
 import sentencepiece
@@ -53,3 +55,29 @@ def test_edges(edges, no_documents):
     got = sorted(((r.doc_id is None, r.doc_id), r.decoded) for r in rows)
     assert got == sorted(((r.doc_id is None, r.doc_id), r.text or "") for r in edges.collect())
     assert merge_dropout.decoded(merge_dropout.encoded(no_documents)).count() == 0
+
+
+def test_memory_does_not_grow_with_the_words():
+    own = Codec()
+    own.encode_all([" ".join(f"x{i}y" for i in range(2000))], [1])
+    tracemalloc.start()
+    for part in range(5):
+        own.encode_all([" ".join(f"a{i}b" for i in range(part * 20_000, (part + 1) * 20_000))], [part])
+    kept = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert kept < 1_000_000
+
+
+def test_documents_together_are_as_word_by_word():
+    own = Codec(dropout=0.3)
+    texts = [*TEXTS, "a  ▁ b▁", "▁▁ x", "ﬁ ͸é " * 7, "international " * 20, "a" * 47 + " " + "b" * 48, LONG[:3000]]
+    flat, ends = own.encode_all(texts, list(range(len(texts))))
+    for n, text in enumerate(texts):
+        times, out = {}, b""
+        for k, part in enumerate((" " + text).split("▁") if text else ()):
+            out += np.array([own.of_byte[b] for b in "▁".encode()], "<i4").tobytes() if k else b""
+            for unit in merge_dropout.UNIT.findall(part):
+                unit = unit.replace(" ", "▁")
+                out += own.unit_ids(unit, times.get(unit, 0), n)
+                times[unit] = times.get(unit, 0) + 1
+        assert flat[ends[n] : ends[n + 1]].tobytes() == out, text[:80]
