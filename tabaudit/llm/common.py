@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import functools
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -69,6 +70,28 @@ def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Record
         at += batch.num_rows
 
 
+def _hand_back() -> None:
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def handing_back(function: Callable) -> Callable:
+    """``function`` of batches; at the end of a task its freed memory goes back to the system.
+
+    Workers are kept for later tasks and stages, so what they hold would add up beside the executor's own memory.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from function(batches)
+        finally:
+            _hand_back()
+
+    return run
+
+
 @functools.cache
 def _letters_and_digits() -> np.ndarray:
     return np.fromiter((chr(c).isalnum() for c in range(0x110000)), bool, 0x110000)

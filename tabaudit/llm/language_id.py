@@ -20,6 +20,7 @@ every row is predicted by itself. An empty table gives an empty result; other co
 from __future__ import annotations
 
 import functools
+import itertools
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -31,7 +32,7 @@ import sentencepiece
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabaudit.llm.common import code_points, mixed
+from tabaudit.llm.common import code_points, handing_back, mixed
 
 VOCABULARY = "piece_bpe_32k"
 UNDETERMINED = "und"
@@ -40,7 +41,9 @@ LONGEST = 64
 UNKNOWN = 1e-7
 SMOOTHING = 0.1
 PASSES = 1
-REMEMBERED = 500_000
+# Words whose counts or probabilities a task holds at once, and texts that it reads at once.
+REMEMBERED = 200_000
+TEXTS = 512
 
 
 @functools.cache
@@ -108,11 +111,18 @@ def lattice(vocabulary: str) -> Lattice:
 class Model:
     """Log probabilities of the words under every language, remembered up to a bound."""
 
-    def __init__(self, languages: list[str], table: np.ndarray, prior: np.ndarray, vocabulary: str = VOCABULARY):
+    def __init__(
+        self,
+        languages: list[str],
+        table: np.ndarray,
+        prior: np.ndarray,
+        vocabulary: str = VOCABULARY,
+        remembered: int = REMEMBERED,
+    ):
         self.languages, self.table, self.prior = languages, table, prior
         self.lattice = lattice(vocabulary)
         self.seen: dict[str, int] = {}
-        self.values = np.zeros((REMEMBERED, len(languages)), np.float32)
+        self.values = np.zeros((remembered, len(languages)), np.float32)
 
     def forward(self, words: list[str]):
         """Scaled forward values at every place of every word; rows are places, columns languages."""
@@ -215,6 +225,32 @@ def words_of(text: str) -> Counter:
     return found
 
 
+class WordCounts:
+    """How often words occur in each language: a number for every word, and a row of an array."""
+
+    def __init__(self, languages: int):
+        self.languages = languages
+        self.clear()
+
+    def clear(self) -> None:
+        self.numbers: dict[str, int] = {}
+        self.rows = np.zeros((1 << 14, self.languages), np.int64)
+
+    def add(self, words: Counter, language: int) -> None:
+        numbers = self.numbers
+        at = [numbers.setdefault(w, len(numbers)) for w in words]
+        if len(numbers) > len(self.rows):
+            self.rows = np.concatenate([self.rows, np.zeros((len(numbers), self.languages), np.int64)])
+        self.rows[at, language] += np.fromiter(words.values(), np.int64, len(words))
+
+    def parts(self, size: int) -> Iterator[tuple[list[str], np.ndarray]]:
+        """``size`` words at a time with their counts."""
+        words = iter(self.numbers)
+        for at in range(0, len(self.numbers), size):
+            part = list(itertools.islice(words, size))
+            yield part, self.rows[at : at + len(part)]
+
+
 def _start(languages: int) -> np.ndarray:
     """Pieces of equal probability per length; longer ones are rarer."""
     sizes = np.array([len(n) for n in pieces()])
@@ -238,26 +274,21 @@ def train(docs: DataFrame, passes: int = PASSES) -> Model | None:
         fixed = (languages, model.table, model.prior)
 
         def expect(batches: Iterator[pa.RecordBatch], fixed=fixed) -> Iterator[pa.RecordBatch]:
-            own, sums = Model(*fixed), 0
-            counts: dict[str, np.ndarray] = {}
+            own, sums = Model(*fixed, remembered=0), 0
+            counts = WordCounts(len(languages))
 
             def spend():
-                words = list(counts)
-                weights = np.array([counts[w] for w in words]).reshape(-1, len(languages))
-                done = sum(own.expected(words[i : i + 10_000], weights[i : i + 10_000]) for i in range(0, len(words), 10_000))
+                done = sum(own.expected(words, weights) for words, weights in counts.parts(10_000))
                 counts.clear()
                 return done
 
             for batch in batches:
-                for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    at = column[lang]
-                    for word, n in words_of(text).items():
-                        row = counts.get(word)
-                        if row is None:
-                            row = counts[word] = [0] * len(languages)
-                        row[at] += n
-                    if len(counts) > REMEMBERED:
-                        sums = sums + spend()
+                for at in range(0, batch.num_rows, TEXTS):
+                    part = batch.slice(at, TEXTS)
+                    for text, lang in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                        counts.add(words_of(text), column[lang])
+                        if len(counts.numbers) > REMEMBERED:
+                            sums = sums + spend()
             sums = sums + spend()
             if isinstance(sums, np.ndarray):
                 piece, lang = np.nonzero(sums)
@@ -266,7 +297,7 @@ def train(docs: DataFrame, passes: int = PASSES) -> Model | None:
                     ["piece", "lang", "uses"],
                 )
 
-        uses = rows.mapInArrow(expect, "piece int, lang int, uses double").groupBy("piece", "lang").agg(F.sum("uses").alias("uses"))
+        uses = rows.mapInArrow(handing_back(expect), "piece int, lang int, uses double").groupBy("piece", "lang").agg(F.sum("uses").alias("uses"))
         found = uses.toArrow()
         table = np.full(model.table.shape, SMOOTHING)
         np.add.at(
@@ -288,8 +319,8 @@ def predict(docs: DataFrame, model: Model | None, carried: list[Column]) -> Data
     def guess(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model(*fixed) if fixed else None
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
+            for at in range(0, batch.num_rows, TEXTS):
+                part = batch.slice(at, TEXTS)
                 counts = [words_of(t or "") for t in part.column(len(names)).to_pylist()]
                 lang, score = [UNDETERMINED] * len(counts), np.zeros(len(counts))
                 if own and any(counts):
@@ -304,7 +335,7 @@ def predict(docs: DataFrame, model: Model | None, carried: list[Column]) -> Data
                     [*names, "lang_pred", "score"],
                 )
 
-    return rows.mapInArrow(guess, (kinds + ", " if kinds else "") + "lang_pred string, score double")
+    return rows.mapInArrow(handing_back(guess), (kinds + ", " if kinds else "") + "lang_pred string, score double")
 
 
 def held_out(docs: DataFrame) -> Column:

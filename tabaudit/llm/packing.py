@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabaudit.llm.common import stored, whole_text
+from tabaudit.llm.common import handing_back, stored, whole_text
 from tabaudit.llm.tokens import encoder
 
 CAPACITY = 2048
@@ -89,7 +89,7 @@ def encode_pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = V
                 )
                 row += len(owner)
 
-    return texts.mapInArrow(encode, f"row long, doc_id {kind}, piece int, start long, length long, ids binary")
+    return texts.mapInArrow(handing_back(encode), f"row long, doc_id {kind}, piece int, start long, length long, ids binary")
 
 
 # --- the grouping genetic algorithm of one island ----------------------------------------------------------------

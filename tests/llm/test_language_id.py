@@ -1,3 +1,5 @@
+from collections import Counter
+
 import numpy as np
 
 from tabaudit.llm import language_id
@@ -73,3 +75,16 @@ def test_edges(edges, no_documents):
 def test_nothing_to_learn(documents):
     docs = documents([(1, "a text", None), (2, None, "en")])
     assert {r.lang_pred for r in language_id.identify(docs).collect()} == {"und"}
+
+
+def test_counts_of_words_are_arrays():
+    """What a task holds for a word is its name, a number and a row of an array, whatever the number of languages."""
+    counts = language_id.WordCounts(4)
+    for n in range(30_000):
+        counts.add(Counter({f"w{n}": n, "same": 2}), n % 4)
+    parts = [(w, r.copy()) for w, r in counts.parts(7_000)]
+    words, rows = [w for p in parts for w in p[0]], np.concatenate([p[1] for p in parts])
+    assert [len(p[0]) for p in parts] == [7_000] * 4 + [2_001] and words[:2] == ["w0", "same"]
+    assert rows[1].tolist() == [15_000] * 4 and rows[words.index("w9")].tolist() == [0, 9, 0, 0]
+    counts.clear()
+    assert not counts.numbers and not counts.rows.any()
