@@ -14,7 +14,8 @@ Candidates agree on two sketches at least: a pair at the threshold does so with
 * What is still larger is a group of texts that are alike. Its nodes are compared with the three best-connected nodes of
   the bucket, which connects most of a group without its square of pairs. Pairs that are then in different components are
   found by their rarest shingles: similar texts share one of the rarest fifth, so no link between the nodes of a large
-  bucket is lost, whatever its size.
+  bucket is lost, whatever its size. Rarest is by counts of shingles by hash, a table of bounded size: any order that is
+  the same for all texts finds the same links, so two shingles may share a count.
 
 Alignment is exact within the band of diagonals that a pair of the threshold can use: occurrence-labelled shingles
 are unique, so the alignment is the longest increasing run of matches.
@@ -35,13 +36,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabaudit.llm.common import mixed, numbered, rolling, stored, whole_text, word_hashes
+from tabaudit.llm.common import handing_back, mixed, numbered, rolling, stored, whole_text, word_hashes
 
 SHINGLE = 5
 LEAST = 0.8
 SKETCHES = 20
 PICKED = 3
 PAIRED = 32
+SLOTS = 1 << 20
+BLOCK = 1 << 12
+# Most bucket sizes that are broadcast to the tasks with the buckets; beyond, they are joined by shuffle.
+BROADCAST_ROWS = 1_000_000
 
 _SEEDS = mixed(np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0x5851F42D4C957F2D))
 
@@ -150,14 +155,15 @@ def sketched(docs: DataFrame) -> DataFrame:
                 )
 
     return texts.mapInArrow(
-        sketch, f"row long, doc_id {kind}, digest string, node binary, sketches array<long>, words binary"
+        handing_back(sketch), f"row long, doc_id {kind}, digest string, node binary, sketches array<long>, words binary"
     )
 
 
 def _sized(buckets: DataFrame, name: str) -> DataFrame:
     """``buckets`` (node, bucket) of two nodes or more with their number of nodes."""
     sizes = buckets.groupBy("bucket").agg(F.count("*").alias("n"))
-    return buckets.join(stored(sizes.filter("n > 1"), name), "bucket")
+    sizes = stored(sizes.filter("n > 1"), name)
+    return buckets.join(F.broadcast(sizes) if sizes.count() <= BROADCAST_ROWS else sizes, "bucket")
 
 
 def _with_popular(buckets: DataFrame) -> DataFrame:
@@ -206,38 +212,88 @@ def _pairs(sketches: DataFrame) -> tuple[DataFrame, DataFrame]:
     return pairs, two.filter(F.col("n") > PAIRED).select("node").distinct()
 
 
+def _shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
+    """The nodes of some texts (node, words) and their shingles."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 64):
+            part = batch.slice(at, 64)
+            own = [labelled_shingles(np.frombuffer(w.as_py(), "<u4").astype(np.uint64)) for w in part.column(1)]
+            yield part.column(0).to_numpy(), own
+
+
+def _slot(shingles: np.ndarray, slots: int) -> np.ndarray:
+    return (shingles % np.uint64(slots)).astype(np.int64)
+
+
+def _counted(texts: DataFrame) -> np.ndarray:
+    """How many shingles of the texts (node, words) fall into each slot; tasks send their counts by blocks of slots."""
+    size = SLOTS
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size, np.int64)
+        for _, own in _shingled(batches):
+            slots, n = np.unique(_slot(np.concatenate(own), size), return_counts=True)
+            total[slots] += n
+        slots = np.flatnonzero(total)
+        blocks, first = np.unique(slots // BLOCK, return_index=True)
+        ends = pa.array([*first, len(slots)], pa.int32())
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(blocks, pa.int32()),
+                pa.ListArray.from_arrays(ends, pa.array(slots, pa.int32())),
+                pa.ListArray.from_arrays(ends, pa.array(total[slots], pa.int64())),
+            ],
+            ["block", "slots", "n"],
+        )
+
+    def add(block: pa.Table) -> pa.Table:
+        slots, n = (block.column(name).combine_chunks().flatten().to_numpy() for name in ("slots", "n"))
+        order = np.argsort(slots)
+        found, first = np.unique(slots[order], return_index=True)
+        sums = np.add.reduceat(n[order], first)
+        return pa.table({"slots": pa.array([found], pa.list_(pa.int32())), "n": pa.array([sums], pa.list_(pa.int64()))})
+
+    parts = texts.mapInArrow(count, "block int, slots array<int>, n array<long>")
+    found = parts.groupBy("block").applyInArrow(add, "slots array<int>, n array<long>").toArrow()
+    counts = np.ones(size, np.int64)
+    if found.num_rows:
+        slots, n = (found.column(name).combine_chunks().flatten().to_numpy() for name in ("slots", "n"))
+        counts[slots] = n
+    return np.minimum(counts, np.iinfo(np.int32).max).astype(np.int32)
+
+
 def _prefixes(texts: DataFrame, least: float) -> DataFrame:
     """bucket, node, size and place: the rarest shingles of every text (node, words), with their places from the rarest.
 
     A text of ``least`` similarity has at least that share of the other one's shingles, so it cannot miss all of the
     rarest ones that are taken. Shingles that no other text has keep their places and are left out.
     """
+    texts = stored(texts, "near-alike-texts")
+    counts = _counted(texts)
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
-                own = [labelled_shingles(np.frombuffer(w.as_py(), "<u4").astype(np.uint64)) for w in part.column(1)]
-                sizes = np.array([len(x) for x in own])
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.repeat(part.column(0).to_numpy(), sizes)),
-                        pa.array(np.repeat(sizes, sizes), pa.int32()),
-                        pa.array(np.concatenate(own).view(np.int64)),
-                    ],
-                    ["node", "size", "bucket"],
-                )
-
-    marks = texts.mapInArrow(mark, "node long, size int, bucket long")
-    seen = stored(marks.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"), "near-seen")
-    met = marks.join(seen, "bucket").groupBy("node").agg(
-        F.first("size").alias("size"), F.sort_array(F.collect_list(F.struct("n", "bucket"))).alias("rarest")
-    )
-    alone = F.col("size") - F.size("rarest")
-    taken = F.col("size") - F.ceil(F.col("size") * least - 1e-9).cast("int") + 1 - alone
-    met = met.select("node", "size", alone.alias("alone"), F.slice("rarest", F.lit(1), F.greatest(taken, F.lit(0))).alias("rarest"))
-    met = met.select("node", "size", "alone", F.posexplode("rarest").alias("at", "one"))
-    return met.select("one.bucket", "node", "size", (F.col("alone") + F.col("at") + 1).alias("place"))
+        for nodes, own in _shingled(batches):
+            sizes = np.array([len(x) for x in own])
+            taken = sizes - np.ceil(sizes * least - 1e-9).astype(np.int64) + 1
+            buckets, places = [], []
+            for x, n in zip(own, taken.tolist(), strict=True):
+                many = counts[_slot(x, len(counts))]
+                rarest = np.lexsort((x, many))[:n]
+                place = np.flatnonzero(many[rarest] > 1)
+                buckets.append(x[rarest[place]])
+                places.append(place + 1)
+            taken = np.array([len(x) for x in buckets])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.concatenate(buckets).view(np.int64)),
+                    pa.array(np.repeat(nodes, taken)),
+                    pa.array(np.repeat(sizes, taken), pa.int32()),
+                    pa.array(np.concatenate(places), pa.int32()),
+                ],
+                ["bucket", "node", "size", "place"],
+            )
+
+    return texts.mapInArrow(mark, "bucket long, node long, size int, place int")
 
 
 def _across(prefixes: DataFrame, roots: DataFrame, least: float) -> DataFrame:
@@ -261,7 +317,8 @@ def _across(prefixes: DataFrame, roots: DataFrame, least: float) -> DataFrame:
 
 def verified(pairs: DataFrame, words: DataFrame, least: float = LEAST) -> DataFrame:
     """The pairs (a, b) of ``least`` similarity or more; ``words`` has the words of each row."""
-    needed = pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct()
+    # Written first, so that a small set of rows is known to be small and the texts need not be shuffled to find its own.
+    needed = stored(pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct(), "near-needed")
     texts = stored(words.join(needed, "row", "left_semi").select("row", "words"), "near-texts")
     met = pairs.join(texts.select(F.col("row").alias("a"), F.col("words").alias("wa")), "a")
     met = met.join(texts.select(F.col("row").alias("b"), F.col("words").alias("wb")), "b").select("a", "b", "wa", "wb")
@@ -275,7 +332,7 @@ def verified(pairs: DataFrame, words: DataFrame, least: float = LEAST) -> DataFr
                     keep.append(i)
             yield batch.select(["a", "b"]).take(pa.array(keep, pa.int32()))
 
-    return met.mapInArrow(align, "a long, b long")
+    return met.mapInArrow(handing_back(align), "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:

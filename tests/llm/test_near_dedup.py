@@ -85,6 +85,25 @@ def test_partners_within_a_template(documents, monkeypatch):
     assert {r.doc_id: r.class_id for r in found} == dict(enumerate(wanted))
 
 
+@pytest.mark.parametrize("slots", [1, 64])
+def test_shingles_may_share_a_count(documents, monkeypatch, slots):
+    monkeypatch.setattr(near_dedup, "PAIRED", 2)
+    monkeypatch.setattr(near_dedup, "SLOTS", slots)
+    rows = templated()[:200]
+    found = near_dedup.near_classes(documents(rows)).collect()
+    assert {r.doc_id: r.class_id for r in found} == dict(enumerate(brute(rows)))
+
+
+def test_shingles_of_large_groups_are_not_joined(documents):
+    """Each text gives its rarest shingles only, from the task that reads it."""
+    rows = near_dedup.sketched(documents(templated()[:100]))
+    prefixes = near_dedup._prefixes(rows.select(rows["row"].alias("node"), "words"), 0.8)
+    plan = prefixes._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan
+    sizes = {r.node: r.size for r in prefixes.collect()}
+    assert sizes and prefixes.count() <= sum(0.2 * n + 2 for n in sizes.values())
+
+
 def test_edited_copies_without_their_base(documents, monkeypatch):
     monkeypatch.setattr(near_dedup, "PAIRED", 2)
     draw = random.Random(3)
