@@ -2,6 +2,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
 from tabaudit.llm import collocations
 from tests.llm.conftest import EDGES, LONG
@@ -85,6 +86,53 @@ def test_hot_passage_and_long_text(documents):
     assert run(documents, rows, parts=4, limit_rows=0) == brute(rows)
 
 
+ODD = ["a\x00 b\x00\x01 a\x00", "ÄB äB\u00a0c\u3000d 日本. 日本", "\ta  b\r\x0bc \x0c\x1f", "", "\n..", "A"]
+ODD += ["b" * 5000 + " b"]
+
+
+def test_odd_words_and_languages(documents):
+    rows = [(i, text, lang) for i in range(31) for text in ODD for lang in ("", None, "und", "é")]
+    assert run(documents, rows) == brute(rows)
+    assert run(documents, rows, parts=2, limit_rows=0) == brute(rows)
+
+
+def test_slices_hold_every_word(monkeypatch):
+    texts = [t + "\n" for t in ODD + ["one two. three", LONG[:3000], "x y"] * 3]
+    langs = [["en", "", "de"][i % 3] for i in range(len(texts))]
+    batch = pa.RecordBatch.from_arrays([pa.array(langs), pa.array(texts)], ["lang", "text"])
+    truth = []
+    for lang, text in zip(langs, texts):
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", lower(text)):
+            words = re.findall(r"[^\x20\x09]+", piece)
+            truth += [(lang, w, i + 1 < len(words)) for i, w in enumerate(words)]
+    for size in (1, 40, 1 << 20):
+        monkeypatch.setattr(collocations, "SLICE_BYTES", size)
+        for batches in ([batch], [batch.slice(0, 5), batch.slice(5)]):
+            got, hashes = [], {}
+            for s in collocations._slices(iter(batches)):
+                words = s.words.take(pa.array(s.code)).to_pylist()
+                spoken = s.langs.take(pa.array(s.lang)).to_pylist()
+                got += zip(spoken, words, s.same.tolist())
+                for i, key in enumerate(zip(spoken, words)):
+                    assert hashes.setdefault(key, s.single[i]) == s.single[i]
+                    if s.same[i]:
+                        assert hashes.setdefault((*key, words[i + 1]), s.pair[i]) == s.pair[i]
+            assert got == truth and len(set(hashes.values())) == len(hashes)
+
+
+def test_heads_end_before_infrequent_pairs_and_triples(documents):
+    ends = ["a b c d"] * 5 + ["u v w"] * 35 + [f"only{i}" for i in range(20)]
+    rows = [(i, "a b, b c, c d. " + end, "en") for i, end in enumerate(ends)]
+    texts = collocations._texts(documents(rows))
+    heads = collocations.suffixes(texts, collocations.frequent_hashes(texts)).collect()
+    # Before, "a b c d" was a head of four words, because its pairs are frequent.
+    got = {tuple(w for w in (r.w1, r.w2, r.w3, r.w4) if w is not None): r.c for r in heads}
+    assert got == {
+        ("a", "b"): 65, ("b", "c"): 65, ("c", "d"): 65, ("b",): 60, ("c",): 60, ("d",): 65,
+        ("u", "v", "w"): 35, ("v", "w"): 35, ("w",): 35, (): 20,
+    }
+
+
 def test_empty(documents, no_documents):
     assert collocations.collocations(no_documents).count() == 0
     assert run(documents, [(1, None, None), (2, "", "en")]) == []
